@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip
+from .text import let, strip
 
 # Accepted forms, day first, tried in this order:
 #   2026-06-27   27/06/2026   27-06-2026   27.06.2026   27/06/26   27-06-26
@@ -46,7 +46,10 @@ def iso_date(value: Column) -> Column:
     One regular expression picks the branch and one rewrites it, then a single
     ``try_cast`` checks the calendar: no parser exception is raised per format.
     """
-    t = strip(value)
+    return let(strip(value), _iso_date)
+
+
+def _iso_date(t: Column) -> Column:
     dmy = F.split(t, "[-/.]")
     named = F.split(t, r"-|\s+")
     ymd = (

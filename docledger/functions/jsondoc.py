@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import strip
+from .text import let, strip
 
 CONFIDENCE_KEY = "_confidence"
 
@@ -27,20 +27,31 @@ def parse_response(raw: Column) -> Column:
     Trims, strips a code fence, parses; failing that, parses from the first ``{``
     to the last ``}``. Anything that is not an object is an error, not a row drop.
     """
-    text = strip(raw)
+    return let(strip(raw), _parse_stripped)
+
+
+def _parse_stripped(text: Column) -> Column:
     fenced = F.regexp_extract(text, _FENCE, 1)
-    cleaned = F.when(text.rlike(_FENCE), strip(fenced)).otherwise(text)
-    braces = F.regexp_extract(cleaned, r"(?s)(\{.*\})", 1)
-    data = F.coalesce(
-        F.try_parse_json(cleaned), F.try_parse_json(F.nullif(braces, F.lit("")))
-    )
-    is_object = F.coalesce(json_type(data) == "object", F.lit(False))
-    error = (
-        F.when(F.coalesce(text, F.lit("")) == "", "empty output")
-        .when(data.isNull(), "no JSON object found")
-        .when(~is_object, "not a JSON object")
-    )
-    return F.struct(F.when(is_object, data).alias("data"), error.alias("error"))
+    cleaned = F.when(text.startswith("```") & text.rlike(_FENCE), strip(fenced)).otherwise(text)
+
+    def parse(t: Column) -> Column:
+        start = F.instr(t, "{")
+        end = F.length(t) - F.instr(F.reverse(t), "}") + 1
+        braces = F.when(
+            (start > 0) & (end > start) & (end <= F.length(t)), F.substring(t, start, end - start + 1)
+        )
+        return F.coalesce(F.try_parse_json(t), F.try_parse_json(braces))
+
+    def result(data: Column) -> Column:
+        is_object = F.coalesce(json_type(data) == "object", F.lit(False))
+        error = (
+            F.when(F.coalesce(text, F.lit("")) == "", "empty output")
+            .when(data.isNull(), "no JSON object found")
+            .when(~is_object, "not a JSON object")
+        )
+        return F.struct(F.when(is_object, data).alias("data"), error.alias("error"))
+
+    return let(let(cleaned, parse), result)
 
 
 def json_type(v: Column) -> Column:
@@ -134,24 +145,29 @@ def flatten(data: Column, depth: int, keep_confidence: bool = False) -> Column:
     def containers(level: Column) -> Column:
         return F.filter(level, lambda c: c.t.isin("object", "array"))
 
-    level = _children(F.lit(""), data, keep_confidence)
-    levels = [level]
-    for _ in range(depth - 1):
-        level = F.flatten(F.transform(containers(level), lambda c: _children(c.path, c.v, keep_confidence)))
-        levels.append(level)
-    scalars = F.concat(
-        *[F.filter(lv, lambda c: ~c.t.isin("object", "array")) for lv in levels]
-    )
-    out = F.transform(
-        scalars,
-        lambda c: F.struct(
-            c.path.alias("path"), c.v.try_cast("string").alias("v"), c.t.alias("t")
-        ),
-    )
-    too_deep = F.exists(
-        containers(level), lambda c: ~c.v.try_cast("string").isin("{}", "[]")
-    )
-    return F.when(
-        F.coalesce(too_deep, F.lit(False)),
-        F.raise_error(F.lit(f"document nests deeper than {depth} levels")),
-    ).otherwise(out)
+    def scalars(level: Column) -> Column:
+        return F.transform(
+            F.filter(level, lambda c: ~c.t.isin("object", "array")),
+            lambda c: F.struct(
+                c.path.alias("path"), c.v.try_cast("string").alias("v"), c.t.alias("t")
+            ),
+        )
+
+    def last(level: Column) -> Column:
+        too_deep = F.exists(
+            containers(level), lambda c: ~c.v.try_cast("string").isin("{}", "[]")
+        )
+        return F.when(
+            F.coalesce(too_deep, F.lit(False)),
+            F.raise_error(F.lit(f"document nests deeper than {depth} levels")),
+        ).otherwise(scalars(level))
+
+    def from_level(level: Column, left: int) -> Column:
+        if left == 1:
+            return last(level)
+        below = F.flatten(
+            F.transform(containers(level), lambda c: _children(c.path, c.v, keep_confidence))
+        )
+        return F.concat(scalars(level), let(below, lambda nxt: from_level(nxt, left - 1)))
+
+    return let(_children(F.lit(""), data, keep_confidence), lambda lv: from_level(lv, depth))

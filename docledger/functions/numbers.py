@@ -63,10 +63,15 @@ def money(c: Column) -> Column:
 
 def general_format(x: Column) -> Column:
     """Six significant digits without trailing zeros (C's ``%g``)."""
-    sci = F.format_string("%.5e", x)
-    six = sci.cast("double")
+    sci = F.call_function("format_number", x, F.lit("0.#####E0"))
+    six = sci.try_cast("double")
     fixed = F.regexp_replace(six.cast("decimal(20,10)").cast("string"), r"\.?0+$", "")
-    short_sci = F.regexp_replace(sci, r"\.?0+e", "e")
+    power = F.substring_index(sci, "E", -1).try_cast("int")
+    short_sci = F.concat(
+        F.substring_index(sci, "E", 1),
+        F.when(power < 0, "e-").otherwise("e+"),
+        F.lpad(F.abs(power).cast("string"), 2, "0"),
+    )
     size = F.abs(six)
     return (
         F.when(x == 0, F.lit("0"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .numbers import round_int, to_double
-from .text import strip
+from .text import let, strip
 
 # Band floors, value shapes and the scores they earn.
 HIGH_MIN = 95
@@ -48,19 +48,24 @@ def readiness_label(status: Column) -> Column:
 
 def heuristic_score(value: Column, json_type: Column) -> Column:
     """Score by value shape; ``json_type`` tells ``"1234"`` from ``1234``."""
-    t = strip(value)
-    upper = F.upper(t)
     number = F.when(value.try_cast("double") == 0, SCORE_ZERO).otherwise(SCORE_NUMBER)
+
+    def text_score(t: Column) -> Column:
+        upper = F.upper(t)
+        return (
+            F.when(t == "", SCORE_EMPTY)
+            .when(upper.rlike(TAX_ID) | upper.rlike(ACCOUNT_ID), SCORE_ID)
+            .when(t.rlike(DATE_SHAPE), SCORE_DATE)
+            .when(t.rlike(GOODS_CODE), SCORE_GOODS_CODE)
+            .when(F.length(t) <= 2, SCORE_SHORT)
+            .otherwise(SCORE_TEXT)
+        )
+
     return (
         F.when(value.isNull() | (json_type == "null"), SCORE_EMPTY)
         .when(json_type == "bool", SCORE_BOOL)
         .when(json_type == "number", number)
-        .when(t == "", SCORE_EMPTY)
-        .when(upper.rlike(TAX_ID) | upper.rlike(ACCOUNT_ID), SCORE_ID)
-        .when(t.rlike(DATE_SHAPE), SCORE_DATE)
-        .when(t.rlike(GOODS_CODE), SCORE_GOODS_CODE)
-        .when(F.length(t) <= 2, SCORE_SHORT)
-        .otherwise(SCORE_TEXT)
+        .otherwise(let(strip(value), text_score))
     )
 
 

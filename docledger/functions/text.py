@@ -26,6 +26,15 @@ MIME_TYPES = {
 EMPTY_SLUG = "purchase_order"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    Lambda bodies are interpreted, so a repeated sub-expression in one would be
+    evaluated every time it appears; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode white space (Spark's ``trim`` strips only blanks)."""
     return F.btrim(c, F.lit(WHITESPACE))

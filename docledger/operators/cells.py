@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, functions as F
 
 from ..functions import jsondoc
+from ..functions.text import let
 from ..sources.specs import DocSpec, Field
 
 
@@ -62,14 +63,16 @@ def header_from_columns(spec: DocSpec, values: dict[str, tuple[Column, str]]) ->
 
 def header_from_json(spec: DocSpec, data: Column, filename: Column | None = None) -> Column:
     """Header cells from a VARIANT document; the source file name is overwritten."""
-    cells = []
-    for f in spec.header_fields():
-        raw = jsondoc.get_variant(data, f.path)
-        v, t = raw.try_cast("string"), jsondoc.json_type(raw)
+
+    def read(f: Field) -> Column:
         if filename is not None and f.path == "metadata.source.filename":
-            v, t = filename, F.lit("string")
-        cells.append(_normalized(f, spec, v, t))
-    return F.array(*cells)
+            return _normalized(f, spec, filename, F.lit("string"))
+        return let(
+            jsondoc.get_variant(data, f.path),
+            lambda x: _normalized(f, spec, x.try_cast("string"), jsondoc.json_type(x)),
+        )
+
+    return F.array(*[read(f) for f in spec.header_fields()])
 
 
 def item_cells(
@@ -134,10 +137,7 @@ def document_cells(
 ) -> Column:
     """Header, line-item and extra cells of a VARIANT document."""
     flat = jsondoc.flatten(data, depth)
-    header = F.filter(
-        header_from_json(spec, data, filename), lambda c: ~c.t.isin("object", "array")
-    )
-    return F.concat(header, other_cells(spec, flat))
+    return F.concat(header_from_json(spec, data, filename), other_cells(spec, flat))
 
 
 def position(spec: DocSpec, path: str) -> int:
@@ -149,8 +149,10 @@ def at(cells: Column, spec: DocSpec, path: str) -> Column:
     return F.get(cells, position(spec, path))
 
 
-def find(cells: Column, path: str) -> Column:
-    """First cell with a path, by search; for arrays that are not positional."""
+def find(cells: Column, spec: DocSpec, path: str) -> Column:
+    """Cell of a path: by position if the spec knows it, else by search."""
+    if path in [f.path for f in spec.header_fields()]:
+        return at(cells, spec, path)
     return F.get(F.filter(cells, lambda c: c.path == path), 0)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from ..functions.dates import iso_date
 from ..functions.numbers import coerce_number, lenient_number, round_places
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 # Reason and confidence of a repair by kind.
 REASONS = {
@@ -38,7 +38,7 @@ DERIVED_CONFIDENCE = 80
 
 def normalized_value(v: Column, t: Column, kind: Column) -> Column:
     """``struct<v, t>`` after repair by kind; NULL ``v`` when there is no repair."""
-    number = coerce_number(v, t).cast("string")
+    number = F.when(t.isin("string", "number"), coerce_number(v, t)).cast("string")
     date = F.when(t.isin("string", "number"), iso_date(v))
     text = F.when(t == "string", strip(v))
     new = (
@@ -63,13 +63,15 @@ def repair(cells: Column) -> Column:
     """Cells with ``v`` and ``t`` repaired, and ``old`` set where the value changed."""
 
     def one(c: Column) -> Column:
-        new = normalized_value(c.v, c.t, c.kind)
-        changed = _changed(c, new)
-        return (
-            c.withField("v", F.when(changed, new.v).otherwise(c.v))
-            .withField("t", F.when(changed, new.t).otherwise(c.t))
-            .withField("old", F.when(changed, c.v))
-        )
+        def with_new(new: Column) -> Column:
+            changed = _changed(c, new)
+            return (
+                c.withField("v", F.when(changed, new.v).otherwise(c.v))
+                .withField("t", F.when(changed, new.t).otherwise(c.t))
+                .withField("old", F.when(changed, c.v))
+            )
+
+        return let(normalized_value(c.v, c.t, c.kind), with_new)
 
     return F.transform(cells, one)
 

@@ -180,7 +180,7 @@ class NestedFacts:
     """Facts of a document whose header and line items are cells of one array."""
 
     def __init__(self, spec: DocSpec, cells: Column, sections: Column):
-        self.cells, self.sections = cells, sections
+        self.spec, self.cells, self.sections = spec, cells, sections
         self.path = spec.items_path or "items"
         self.filled = F.filter(
             cells,
@@ -188,17 +188,17 @@ class NestedFacts:
         )
 
     def ok(self, path: str) -> Column:
-        return F.coalesce(cl.truthy(cl.find(self.cells, path)), F.lit(False))
+        return F.coalesce(cl.truthy(cl.find(self.cells, self.spec, path)), F.lit(False))
 
     def given(self, path: str) -> Column:
-        return F.coalesce(cl.find(self.cells, path).given, F.lit(False))
+        return F.coalesce(cl.find(self.cells, self.spec, path).given, F.lit(False))
 
     def blank(self, path: str) -> Column:
-        c = cl.find(self.cells, path)
+        c = cl.find(self.cells, self.spec, path)
         return ~F.coalesce(c.given & (c.v != ""), F.lit(False))
 
     def amount(self, path: str) -> Column:
-        return F.coalesce(to_double(cl.given_text(cl.find(self.cells, path))), F.lit(0.0))
+        return F.coalesce(to_double(cl.given_text(cl.find(self.cells, self.spec, path))), F.lit(0.0))
 
     def _distinct_items(self, cells: Column) -> Column:
         index = F.transform(cells, lambda c: F.regexp_extract(c.path, r"\[(\d+)\]", 1))
