@@ -56,15 +56,18 @@ def _parse_stripped(text: Column) -> Column:
 
 def json_type(v: Column) -> Column:
     """``object array string number bool null`` of a VARIANT; NULL when it is missing."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(s.startswith("OBJECT"), "object")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s == "STRING", "string")
-        .when(s == "BOOLEAN", "bool")
-        .when(s == "VOID", "null")
-        .when(s.isNotNull(), "number")
-    )
+
+    def name(s: Column) -> Column:
+        return (
+            F.when(s == "STRING", "string")
+            .when(s.startswith("OBJECT"), "object")
+            .when(s.startswith("ARRAY"), "array")
+            .when(s == "BOOLEAN", "bool")
+            .when(s == "VOID", "null")
+            .when(s.isNotNull(), "number")
+        )
+
+    return let(F.schema_of_variant(v), name)
 
 
 def get_variant(v: Column, dotted: str) -> Column:

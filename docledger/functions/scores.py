@@ -81,8 +81,9 @@ def reported_score(reported: Column) -> Column:
     )
 
 
-def field_score(value: Column, json_type: Column, reported: Column) -> Column:
-    return F.coalesce(reported_score(reported), heuristic_score(value, json_type))
+def field_score(value: Column, json_type: Column, reported: Column | None) -> Column:
+    shape = heuristic_score(value, json_type)
+    return shape if reported is None else F.coalesce(reported_score(reported), shape)
 
 
 def is_present(value: Column, json_type: Column) -> Column:

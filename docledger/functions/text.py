@@ -29,8 +29,9 @@ EMPTY_SLUG = "purchase_order"
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it in ``body``.
 
-    Lambda bodies are interpreted, so a repeated sub-expression in one would be
-    evaluated every time it appears; a lambda variable is not.
+    Lambda bodies are interpreted, so an expression used in one would be evaluated
+    for every element and every mention; a lambda variable is not. (A column of an
+    earlier projection does not help: the optimizer may put it back in place.)
     """
     return F.get(F.transform(F.array(value), body), 0)
 

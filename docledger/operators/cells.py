@@ -9,6 +9,7 @@ and checked inside its own row, without an explode or a shuffle.
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import Column, functions as F
@@ -17,82 +18,99 @@ from ..functions import jsondoc
 from ..functions.text import let
 from ..sources.specs import DocSpec, Field
 
+_CONSTANTS = (
+    "array<struct<path:string,label:string,section:string,kind:string,required:boolean,"
+    "t:string,dv:string,dt:string>>"
+)
 
-def _default(value: Any) -> tuple[Column, Column]:
+
+def _default(value: Any) -> tuple[str | None, str]:
     if value is None:
-        return F.lit(None).cast("string"), F.lit("null")
+        return None, "null"
     if isinstance(value, bool):
-        return F.lit("true" if value else "false"), F.lit("bool")
+        return ("true" if value else "false"), "bool"
     if isinstance(value, (int, float)):
-        return F.lit(str(value)), F.lit("number")
-    return F.lit(value), F.lit("string")
+        return str(value), "number"
+    return value, "string"
+
+
+def _constants(fields: list[Field], skeleton: dict[str, Any], types: dict[str, str]) -> Column:
+    """What a spec says of each field, as one literal array (folded when planned)."""
+    rows = []
+    for f in fields:
+        dv, dt = _default(skeleton.get(f.path))
+        rows.append(
+            {
+                "path": f.path, "label": f.label, "section": f.section, "kind": f.kind,
+                "required": f.required, "t": types.get(f.path, "null"), "dv": dv, "dt": dt,
+            }
+        )
+    return F.from_json(F.lit(json.dumps(rows)), _CONSTANTS)
 
 
-def _cell(f: Field, label: Column, path: Column, v: Column, t: Column, given: Column) -> Column:
+def _cell(k: Column, path: Column, label: Column, v: Column, t: Column, given: Column) -> Column:
     return F.struct(
         path.alias("path"),
         label.alias("label"),
-        F.lit(f.section).alias("section"),
-        F.lit(f.kind).alias("kind"),
-        F.lit(f.required).alias("required"),
+        k.section.alias("section"),
+        k.kind.alias("kind"),
+        k.required.alias("required"),
         v.alias("v"),
         t.alias("t"),
         given.alias("given"),
     )
 
 
-def _normalized(f: Field, spec: DocSpec, v: Column, t: Column) -> Column:
+def _normalized(k: Column, v: Column, t: Column) -> Column:
     """Fill a missing or null value from the skeleton; a given value stays."""
-    dv, dt = _default(spec.skeleton.get(f.path))
     given = F.coalesce(v.isNotNull() & (t != "null"), F.lit(False))
     return _cell(
-        f, F.lit(f.label), F.lit(f.path),
-        F.when(given, v).otherwise(dv), F.when(given, t).otherwise(dt), given,
+        k, k.path, k.label, F.when(given, v).otherwise(k.dv), F.when(given, t).otherwise(k.dt), given
     )
 
 
 def header_from_columns(spec: DocSpec, values: dict[str, tuple[Column, str]]) -> Column:
     """Header cells from table columns; ``values`` maps a path to (value, JSON type)."""
-    missing = (F.lit(None), "null")
-    cells = []
-    for f in spec.header_fields():
-        v, t = values.get(f.path, missing)
-        cells.append(_normalized(f, spec, v.cast("string"), F.lit(t)))
-    return F.array(*cells)
+    fields = spec.header_fields()
+    constants = _constants(fields, spec.skeleton, {p: t for p, (_, t) in values.items()})
+    nothing = (F.lit(None), "null")
+    texts = F.array(*[values.get(f.path, nothing)[0].cast("string") for f in fields])
+    return F.zip_with(constants, texts, lambda k, v: _normalized(k, v, k.t))
 
 
 def header_from_json(spec: DocSpec, data: Column, filename: Column | None = None) -> Column:
     """Header cells from a VARIANT document; the source file name is overwritten."""
-
-    def read(f: Field) -> Column:
-        if filename is not None and f.path == "metadata.source.filename":
-            return _normalized(f, spec, filename, F.lit("string"))
+    fields = spec.header_fields()
+    raw = F.array(*[jsondoc.get_variant(data, f.path) for f in fields])
+
+    def read(k: Column, x: Column) -> Column:
+        v, t = x.try_cast("string"), jsondoc.json_type(x)
+        if filename is not None:
+            named = k.path == "metadata.source.filename"
+            v, t = F.when(named, filename).otherwise(v), F.when(named, "string").otherwise(t)
         return let(
-            jsondoc.get_variant(data, f.path),
-            lambda x: _normalized(f, spec, x.try_cast("string"), jsondoc.json_type(x)),
+            F.struct(v.alias("v"), t.alias("t")), lambda c: _normalized(k, c.v, c.t)
         )
 
-    return F.array(*[read(f) for f in spec.header_fields()])
+    return F.zip_with(_constants(fields, spec.skeleton, {}), raw, read)
 
 
 def item_cells(
     spec: DocSpec, index: Column, values: dict[str, tuple[Column, str]]
 ) -> Column:
     """Cells of one line item held as a table row; only mapped columns exist."""
-    cells = []
-    for f in spec.item_columns:
-        if f.path not in values:
-            continue
-        v, t = values[f.path]
-        at = F.concat(F.lit(f"{spec.items_path}["), index.cast("string"), F.lit("]."))
-        v = v.cast("string")
-        cells.append(
-            _cell(
-                f, F.concat(at, F.lit(f.label)), F.concat(at, F.lit(f.path)),
-                v, F.when(v.isNull(), "null").otherwise(t), v.isNotNull(),
-            )
-        )
-    return F.array(*cells)
+    fields = [f for f in spec.item_columns if f.path in values]
+    constants = _constants(fields, {}, {p: t for p, (_, t) in values.items()})
+    texts = F.array(*[values[f.path][0].cast("string") for f in fields])
+    at = F.concat(F.lit(f"{spec.items_path}["), index.cast("string"), F.lit("]."))
+    return F.zip_with(
+        constants,
+        texts,
+        lambda k, v: _cell(
+            k, F.concat(at, k.path), F.concat(at, k.label), v,
+            F.when(v.isNull(), "null").otherwise(k.t), v.isNotNull(),
+        ),
+    )
 
 
 def other_cells(spec: DocSpec, flat: Column) -> Column:
@@ -103,33 +121,38 @@ def other_cells(spec: DocSpec, flat: Column) -> Column:
     """
     known = [f.path for f in spec.header_fields()]
     closed = known + sorted(spec.blocks()) + list(spec.skeleton_lists)
-    items = F.lit(f"^{spec.items_path}\\[\\d+\\]\\.") if spec.items_path else F.lit("^$")
-    kinds = {f.path: f for f in spec.item_columns}
-    kept = F.filter(
-        flat,
-        lambda c: ~c.path.isin(closed)
-        & ~F.exists(
-            F.array(*[F.lit(p + ".") for p in spec.skeleton_lists] or [F.lit("\x00")]),
-            lambda p: c.path.startswith(p),
-        ),
+    closed_lists = [p + "." for p in spec.skeleton_lists]
+    start = f"{spec.items_path}["
+    columns = F.from_json(
+        F.lit(json.dumps({f.path: {"kind": f.kind, "label": f.label} for f in spec.item_columns})),
+        "map<string,struct<kind:string,label:string>>",
     )
 
+    def allowed(c: Column) -> Column:
+        inside = F.lit(False)
+        for prefix in closed_lists:
+            inside = inside | c.path.startswith(prefix)
+        return ~c.path.isin(closed) & ~inside
+
     def as_cell(c: Column) -> Column:
-        key = F.regexp_replace(c.path, items, F.lit(""))
-        in_item = c.path.rlike(items)
-        kind, label = F.lit(""), c.path
-        for name, f in kinds.items():
-            kind = F.when(in_item & (key == name), f.kind).otherwise(kind)
-            label = F.when(
-                in_item & (key == name), F.regexp_replace(c.path, r"[^.]+$", f.label)
-            ).otherwise(label)
-        return F.struct(
-            c.path.alias("path"), label.alias("label"), F.lit("").alias("section"),
-            kind.alias("kind"), F.lit(False).alias("required"), c.v.alias("v"), c.t.alias("t"),
-            (c.t != "null").alias("given"),
+        key = F.substring_index(c.path, "].", -1)
+        column = F.when(c.path.startswith(start), F.try_element_at(columns, key))
+        prefix = F.substring(c.path, F.lit(1), F.length(c.path) - F.length(key))
+        return let(
+            column,
+            lambda f: F.struct(
+                c.path.alias("path"),
+                F.coalesce(F.concat(prefix, f.label), c.path).alias("label"),
+                F.lit("").alias("section"),
+                F.coalesce(f.kind, F.lit("")).alias("kind"),
+                F.lit(False).alias("required"),
+                c.v.alias("v"),
+                c.t.alias("t"),
+                (c.t != "null").alias("given"),
+            ),
         )
 
-    return F.transform(kept, as_cell)
+    return F.transform(F.filter(flat, allowed), as_cell)
 
 
 def document_cells(
@@ -168,16 +191,24 @@ def truthy(cell: Column) -> Column:
     return F.coalesce(cell.given & (cell.v != "") & ~zero & ~false, F.lit(False))
 
 
-def item_values(cells: Column, items_path: str, key: str) -> Column:
-    """Values of one line-item key, in item order, as ``array<struct<v, t>>``."""
-    pattern = f"^{items_path}\\[\\d+\\]\\.{key}$"
-    index = F.lit(r"\[(\d+)\]")
-    hits = F.transform(
-        F.filter(cells, lambda c: c.path.rlike(pattern)),
-        lambda c: F.struct(
-            F.regexp_extract(c.path, index, 1).cast("int").alias("i"),
+def items(cells: Column, items_path: str) -> Column:
+    """Line-item cells as ``array<struct<i, key, v, t, given>>``, in item order."""
+    start = len(items_path) + 2
+    kept = F.filter(cells, lambda c: c.path.startswith(items_path + "["))
+
+    def split(c: Column) -> Column:
+        rest = F.substring(c.path, F.lit(start), F.length(c.path))
+        return F.struct(
+            F.substring_index(rest, "]", 1).try_cast("int").alias("i"),
+            F.when(F.contains(rest, F.lit("].")), F.substring_index(rest, "].", -1)).alias("key"),
             c.v.alias("v"),
             c.t.alias("t"),
-        ),
-    )
-    return F.array_sort(hits)
+            c.given.alias("given"),
+        )
+
+    return F.array_sort(F.transform(kept, split))
+
+
+def item_values(cells: Column, items_path: str, key: str) -> Column:
+    """Values of one line-item key, in item order."""
+    return F.filter(items(cells, items_path), lambda x: x.key == key)

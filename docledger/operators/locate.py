@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import general_format
-from ..functions.text import strip
+from ..functions.text import let, strip
 from .joins import lookup_join
 
 # Shortest term, hits kept on the first page that has any, page cap,
@@ -39,17 +39,18 @@ def search_terms(value: Column, json_type: Column) -> Column:
 
 def _positions(page: Column, term: Column) -> Column:
     """Up to three places of a term on a page (1-based, not overlapping)."""
-    p1 = F.locate_from(page, term, F.lit(1)) if hasattr(F, "locate_from") else F.call_function(
-        "locate", term, page, F.lit(1)
-    )
-    found = [p1]
-    for _ in range(MAX_HITS - 1):
-        last = found[-1]
-        nxt = F.when(
-            last > 0, F.call_function("locate", term, page, last + F.length(term))
-        ).otherwise(0)
-        found.append(nxt)
-    return F.filter(F.array(*found), lambda p: p > 0)
+
+
+    def following(found: Column, left: int) -> Column:
+        if left == 0:
+            return found
+        last = F.element_at(found, -1)
+        again = F.call_function("locate", term, page, last + F.length(term))
+        more = F.when(last > 0, F.concat(found, F.array(again))).otherwise(found)
+        return let(more, lambda f: following(f, left - 1))
+
+    first = F.array(F.call_function("locate", term, page, F.lit(1)))
+    return F.filter(let(first, lambda f: following(f, MAX_HITS - 1)), lambda p: p > 0)
 
 
 def locate(pages: Column, value: Column, json_type: Column) -> Column:
@@ -58,22 +59,24 @@ def locate(pages: Column, value: Column, json_type: Column) -> Column:
     Works inside the document row on its page texts, ignoring case: the text is not
     exploded and not shuffled. NULL when no term is found.
     """
-    low = F.transform(pages, lambda p: F.lower(p))
 
-    def hit(term: Column) -> Column:
-        needle = F.lower(term)
-        marked = F.transform(
-            low, lambda p, i: F.struct(i.alias("page"), F.contains(p, needle).alias("has"))
-        )
-        first = F.get(F.filter(marked, lambda m: m.has), 0).page
-        return F.struct(
-            term.alias("term"),
-            first.alias("page"),
-            _positions(F.get(low, first), needle).alias("positions"),
-        )
+    def in_pages(low: Column) -> Column:
+        def hit(term: Column) -> Column:
+            needle = F.lower(term)
+            first = F.array_position(F.transform(low, lambda p: F.contains(p, needle)), F.lit(True))
+            return let(
+                first,
+                lambda n: F.struct(
+                    term.alias("term"),
+                    F.when(n > 0, n - 1).cast("int").alias("page"),
+                    F.when(n > 0, _positions(F.get(low, n - 1), needle)).alias("positions"),
+                ),
+            )
 
-    hits = F.transform(search_terms(value, json_type), hit)
-    return F.get(F.filter(hits, lambda h: h.page.isNotNull()), 0)
+        hits = F.transform(search_terms(value, json_type), hit)
+        return F.get(F.filter(hits, lambda h: h.page.isNotNull()), 0)
+
+    return let(F.transform(pages, F.lower), in_pages)
 
 
 def text_layer(pages: Column) -> Column:
@@ -81,9 +84,12 @@ def text_layer(pages: Column) -> Column:
     chars = F.aggregate(
         F.transform(pages, lambda p: F.length(strip(p))), F.lit(0), lambda acc, n: acc + n
     )
-    return F.struct(
-        chars.alias("chars"),
-        F.when(chars >= TEXT_LAYER_CHARS, "digital").otherwise("scanned").alias("layer"),
+    return let(
+        chars,
+        lambda n: F.struct(
+            n.alias("chars"),
+            F.when(n >= TEXT_LAYER_CHARS, "digital").otherwise("scanned").alias("layer"),
+        ),
     )
 
 
@@ -109,10 +115,13 @@ def normalized_boxes(boxes: DataFrame, page_sizes: DataFrame) -> DataFrame:
     sized = lookup_join(usable, page_sizes, ["doc_id", "page"], "inner", measure_dim=False)
     top = F.array_max("box")
     span = F.when(top == 0, 1.0).otherwise(top)
-    fit = F.transform(
-        "box",
-        lambda c: F.greatest(
-            F.lit(0.0), F.least(F.lit(1.0), F.when(span > BOX_SPAN, c / span).otherwise(c))
+    fit = let(
+        span,
+        lambda s: F.transform(
+            "box",
+            lambda c: F.greatest(
+                F.lit(0.0), F.least(F.lit(1.0), F.when(s > BOX_SPAN, c / s).otherwise(c))
+            ),
         ),
     )
     f = [F.get("fit", i) for i in range(4)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsondoc
 from ..functions.numbers import optional_int
-from ..functions.text import strip, title_from_key
+from ..functions.text import let, strip, title_from_key
 from ..sources.specs import (
     CRITICAL_MARKERS, DEFAULT_DEPARTMENT_ORDER, DEFAULT_STATUS, KINDS, STATUSES,
 )
@@ -229,8 +229,11 @@ def derive_spec(samples: DataFrame, raw: str = "raw") -> DataFrame:
     def keys_of(x: Column) -> Column:
         return F.map_keys(x.try_cast("map<string,variant>"))
 
-    blocks = F.transform(
-        top, lambda k, i: F.struct(i.alias("i"), k.alias("k"), member(F.col("v"), k).alias("x"))
+    blocks = let(
+        v.try_cast("map<string,variant>"),
+        lambda m: F.transform(
+            top, lambda k: F.struct(k.alias("k"), F.try_element_at(m, k).alias("x"))
+        ),
     )
     lists = F.filter(
         F.col("blocks"),
@@ -266,5 +269,5 @@ def derive_spec(samples: DataFrame, raw: str = "raw") -> DataFrame:
         F.coalesce(items, F.array().cast("array<struct<part:string,section:string,path:string,label:string,kind:string>>")),
     )
     keep = [c for c in samples.columns if c != raw]
-    prepared = samples.withColumn("v", v).withColumn("blocks", blocks)
+    prepared = samples.withColumn("blocks", blocks)
     return prepared.select(*keep, F.explode(rows).alias("r")).select(*keep, "r.*")

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from ..functions.numbers import round_places, to_double
+from ..functions.text import let
 from ..sources.specs import DocSpec
 from . import cells as cl
 
@@ -48,8 +49,11 @@ def missing_sections(present: Column | None, sections: list[str]) -> list[Column
     """One issue per required section that the source does not have at all."""
     if present is None:
         return []
-    missing = F.filter(
-        F.array(*[F.lit(s) for s in sections]), lambda s: ~F.array_contains(present, s)
+    missing = let(
+        present,
+        lambda known: F.filter(
+            F.array(*[F.lit(s) for s in sections]), lambda s: ~F.array_contains(known, s)
+        ),
     )
     return [
         F.transform(
@@ -179,13 +183,8 @@ def generic_issues(missing: dict[str, Column], spec: DocSpec, item_count: Column
 class NestedFacts:
     """Facts of a document whose header and line items are cells of one array."""
 
-    def __init__(self, spec: DocSpec, cells: Column, sections: Column):
-        self.spec, self.cells, self.sections = spec, cells, sections
-        self.path = spec.items_path or "items"
-        self.filled = F.filter(
-            cells,
-            lambda c: c.path.rlike(f"^{self.path}\\[\\d+\\]\\.") & c.given & (c.v != ""),
-        )
+    def __init__(self, spec: DocSpec, cells: Column, sections: Column, items: Column):
+        self.spec, self.cells, self.sections, self.items = spec, cells, sections, items
 
     def ok(self, path: str) -> Column:
         return F.coalesce(cl.truthy(cl.find(self.cells, self.spec, path)), F.lit(False))
@@ -198,28 +197,27 @@ class NestedFacts:
         return ~F.coalesce(c.given & (c.v != ""), F.lit(False))
 
     def amount(self, path: str) -> Column:
-        return F.coalesce(to_double(cl.given_text(cl.find(self.cells, self.spec, path))), F.lit(0.0))
-
-    def _distinct_items(self, cells: Column) -> Column:
-        index = F.transform(cells, lambda c: F.regexp_extract(c.path, r"\[(\d+)\]", 1))
-        return F.size(F.array_distinct(index))
+        text = cl.given_text(cl.find(self.cells, self.spec, path))
+        return F.coalesce(to_double(text), F.lit(0.0))
 
     def item_count(self) -> Column:
-        return self._distinct_items(
-            F.filter(self.cells, lambda c: c.path.rlike(f"^{self.path}\\[\\d+\\]"))
-        )
+        return F.size(F.array_distinct(F.transform(self.items, lambda x: x.i)))
 
     def real_items(self) -> Column:
         """Items with any value that is not null or empty."""
-        return self._distinct_items(self.filled)
+        filled = F.filter(self.items, lambda x: x.key.isNotNull() & x.given & (x.v != ""))
+        return F.size(F.array_distinct(F.transform(filled, lambda x: x.i)))
+
+    def values(self, key: str) -> Column:
+        return F.filter(self.items, lambda x: x.key == key)
 
     def count_of(self, key: str) -> Column:
-        return F.size(F.filter(self.filled, lambda c: c.path.rlike(rf"\]\.{key}$")))
+        return F.size(F.filter(self.values(key), lambda x: x.given & (x.v != "")))
 
     def sum_of(self, key: str) -> Column:
         """Sum over items; a blank counts as 0, unreadable text makes the sum NULL."""
         numbers = F.transform(
-            cl.item_values(self.cells, self.path, key),
+            self.values(key),
             lambda x: F.when(F.coalesce(x.v, F.lit("")) == "", 0.0).otherwise(to_double(x.v)),
         )
         return F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x)
@@ -227,24 +225,24 @@ class NestedFacts:
     def weight_issues(self) -> Column:
         def by_index(key: str) -> Column:
             pairs = F.transform(
-                cl.item_values(self.cells, self.path, key),
-                lambda x: F.struct(x.i.alias("k"), x.v.alias("v")),
+                self.values(key), lambda x: F.struct(x.i.alias("k"), x.v.alias("v"))
             )
             return F.map_from_entries(pairs)
 
-        gross, line = by_index("gross_weight"), by_index("line_number")
+        def check(maps: Column) -> Column:
+            def heavy(n: Column) -> Column:
+                return to_double(F.try_element_at(maps.gross, n.i))
 
-        def heavy(n: Column) -> Column:
-            return to_double(F.try_element_at(gross, n.i))
+            found = F.filter(
+                self.values("net_weight"), lambda n: weight_violation(heavy(n), to_double(n.v))
+            )
+            return F.transform(
+                found,
+                lambda n: weight_issue(F.try_element_at(maps.line, n.i), heavy(n), to_double(n.v)),
+            )
 
-        found = F.filter(
-            cl.item_values(self.cells, self.path, "net_weight"),
-            lambda n: weight_violation(heavy(n), to_double(n.v)),
-        )
-        return F.transform(
-            found,
-            lambda n: weight_issue(F.try_element_at(line, n.i), heavy(n), to_double(n.v)),
-        )
+        gross, line = by_index("gross_weight"), by_index("line_number")
+        return let(F.struct(gross.alias("gross"), line.alias("line")), check)
 
 
 def order_pack(spec: DocSpec, d: NestedFacts) -> Column:
@@ -313,4 +311,6 @@ PACKS: dict[str, Pack] = {
 
 def issues_for(spec: DocSpec, cells: Column, sections: Column) -> Column:
     """Issues of nested cells by the type's own pack or the generic one."""
-    return PACKS.get(spec.key, generic_pack)(spec, NestedFacts(spec, cells, sections))
+    pack = PACKS.get(spec.key, generic_pack)
+    items = cl.items(cells, spec.items_path or "items")
+    return let(items, lambda found: pack(spec, NestedFacts(spec, cells, sections, found)))
