@@ -46,10 +46,11 @@ def iso_date(value: Column) -> Column:
     One regular expression picks the branch and one rewrites it, then a single
     ``try_cast`` checks the calendar: no parser exception is raised per format.
     """
-    return let(strip(value), _iso_date)
+    return let(strip(value), iso_date_of)
 
 
-def _iso_date(t: Column) -> Column:
+def iso_date_of(t: Column) -> Column:
+    """``iso_date`` of text that is already trimmed."""
     dmy = F.split(t, "[-/.]")
     named = F.split(t, r"-|\s+")
     ymd = (

@@ -86,28 +86,41 @@ def split_confidence(data: Column) -> Column:
     return F.coalesce(texts, F.create_map().cast("map<string,string>"))
 
 
-def _children(path: Column, v: Column, keep_confidence: bool) -> Column:
-    """One level of ``(path, variant)`` pairs under a container, [] under a scalar."""
-    entries = F.map_entries(v.try_cast("map<string,variant>"))
-    if not keep_confidence:
-        entries = F.filter(entries, lambda e: e.key != CONFIDENCE_KEY)
-    members = F.transform(
-        entries,
-        lambda e: F.struct(
-            F.when(path == "", e.key).otherwise(F.concat(path, F.lit("."), e.key)).alias("path"),
-            e.value.alias("v"),
-            json_type(e.value).alias("t"),
-        ),
-    )
-    elements = F.transform(
-        v.try_cast("array<variant>"),
-        lambda e, i: F.struct(
-            F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"),
-            e.alias("v"),
-            json_type(e).alias("t"),
-        ),
+def _node(path: Column, x: Column, keep_confidence: bool) -> Column:
+    """``struct<path, x, t, kids>`` of one value; ``kids`` is NULL for a scalar.
+
+    The type of a container comes from the cast that lists its members, because
+    ``schema_of_variant`` would walk everything below it.
+    """
+
+    def expand(c: Column) -> Column:
+        entries = F.map_entries(c.m)
+        if not keep_confidence:
+            entries = F.filter(entries, lambda e: e.key != CONFIDENCE_KEY)
+        members = F.transform(
+            entries,
+            lambda e: F.struct(
+                F.when(path == "", e.key).otherwise(F.concat(path, F.lit("."), e.key)).alias("path"),
+                e.value.alias("x"),
+            ),
+        )
+        elements = F.transform(
+            c.a,
+            lambda e, i: F.struct(
+                F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"),
+                e.alias("x"),
+            ),
+        )
+        kind = F.when(c.m.isNotNull(), "object").when(c.a.isNotNull(), "array").otherwise(json_type(x))
+        return F.struct(
+            path.alias("path"), x.alias("x"), kind.alias("t"),
+            F.coalesce(members, elements).alias("kids"),
+        )
+
+    listed = F.struct(
+        x.try_cast("map<string,variant>").alias("m"), x.try_cast("array<variant>").alias("a")
     )
-    return F.coalesce(members, elements)
+    return let(listed, expand)
 
 
 def json_depth(raw: Column) -> Column:
@@ -136,41 +149,47 @@ def measured_depth(df: DataFrame, raw_column: str) -> int:
     return max(int(top or 1), 1)
 
 
-def flatten(data: Column, depth: int, keep_confidence: bool = False) -> Column:
-    """All scalars of a document as ``array<struct<path, v, t>>``, within the row.
+def nodes(data: Column, depth: int, keep_confidence: bool = False) -> Column:
+    """Every value below the root as ``array<struct<path, x, t>>``, within the row.
 
-    Levels are unrolled ``depth`` times, so no explode and no shuffle is needed.
-    A document that is deeper raises instead of losing values; ``measured_depth``
-    gives the bound for data whose shape is not known beforehand. ``_confidence``
-    keys are dropped at any level for scoring and kept for the audit.
+    ``x`` is the value as VARIANT; containers are listed too. Levels are unrolled
+    ``depth`` times, so no explode and no shuffle is needed. A document that is
+    deeper raises instead of losing values; ``measured_depth`` gives the bound for
+    data whose shape is not known beforehand. ``_confidence`` keys are dropped at any
+    level for scoring and kept for the audit.
     """
 
-    def containers(level: Column) -> Column:
-        return F.filter(level, lambda c: c.t.isin("object", "array"))
-
-    def scalars(level: Column) -> Column:
+    def bare(level: Column) -> Column:
         return F.transform(
-            F.filter(level, lambda c: ~c.t.isin("object", "array")),
-            lambda c: F.struct(
-                c.path.alias("path"), c.v.try_cast("string").alias("v"), c.t.alias("t")
-            ),
-        )
-
-    def last(level: Column) -> Column:
-        too_deep = F.exists(
-            containers(level), lambda c: ~c.v.try_cast("string").isin("{}", "[]")
+            level, lambda n: F.struct(n.path.alias("path"), n.x.alias("x"), n.t.alias("t"))
         )
-        return F.when(
-            F.coalesce(too_deep, F.lit(False)),
-            F.raise_error(F.lit(f"document nests deeper than {depth} levels")),
-        ).otherwise(scalars(level))
 
     def from_level(level: Column, left: int) -> Column:
-        if left == 1:
-            return last(level)
-        below = F.flatten(
-            F.transform(containers(level), lambda c: _children(c.path, c.v, keep_confidence))
-        )
-        return F.concat(scalars(level), let(below, lambda nxt: from_level(nxt, left - 1)))
+        kids = F.flatten(F.filter(F.transform(level, lambda n: n.kids), lambda k: k.isNotNull()))
+        if left == 0:
+            return F.when(
+                F.size(kids) > 0,
+                F.raise_error(F.lit(f"document nests deeper than {depth} levels")),
+            ).otherwise(bare(level))
+        below = F.transform(kids, lambda k: _node(k.path, k.x, keep_confidence))
+        rest = let(below, lambda nxt: from_level(nxt, left - 1))
+        return rest if left == depth else F.flatten(F.array(bare(level), rest))
+
+    return let(
+        F.array(_node(F.lit(""), data, keep_confidence)), lambda root: from_level(root, depth)
+    )
 
-    return let(_children(F.lit(""), data, keep_confidence), lambda lv: from_level(lv, depth))
+
+def scalars(found: Column) -> Column:
+    """Scalars of ``nodes`` as ``array<struct<path, v, t>>``."""
+    return F.transform(
+        F.filter(found, lambda n: ~n.t.isin("object", "array")),
+        lambda n: F.struct(
+            n.path.alias("path"), n.x.try_cast("string").alias("v"), n.t.alias("t")
+        ),
+    )
+
+
+def flatten(data: Column, depth: int, keep_confidence: bool = False) -> Column:
+    """All scalars of a document as ``array<struct<path, v, t>>``."""
+    return scalars(nodes(data, depth, keep_confidence))

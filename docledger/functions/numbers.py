@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip
+from .text import let, strip
 
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -14,14 +14,17 @@ def to_double(c: Column) -> Column:
 
     ``try_cast`` alone would also take ``1d``, ``1f``, ``NaN`` and ``Infinity``.
     """
-    t = strip(c.cast("string"))
-    return F.when(t.rlike(PLAIN_NUMBER), t.try_cast("double"))
+    return let(
+        strip(c.cast("string")), lambda t: F.when(t.rlike(PLAIN_NUMBER), t.try_cast("double"))
+    )
 
 
 def coerce_number(text: Column, json_type: Column | None = None) -> Column:
     """Formatted number (``"₹1,234.50"``) to double; booleans are not numbers."""
-    cleaned = F.nullif(F.regexp_replace(text, r"[^0-9.\-]", ""), F.lit(""))
-    parsed = cleaned.try_cast("double")
+    parsed = let(
+        F.regexp_replace(text, r"[^0-9.\-]", ""),
+        lambda t: F.when(~t.isin("", "-", ".", "-."), t.try_cast("double")),
+    )
     if json_type is None:
         return parsed
     return (

@@ -48,24 +48,36 @@ def readiness_label(status: Column) -> Column:
 
 def heuristic_score(value: Column, json_type: Column) -> Column:
     """Score by value shape; ``json_type`` tells ``"1234"`` from ``1234``."""
-    number = F.when(value.try_cast("double") == 0, SCORE_ZERO).otherwise(SCORE_NUMBER)
+    typed = _typed_score(value, json_type)
+    return typed.otherwise(let(strip(value), _text_score))
+
+
+def heuristic_of(value: Column, json_type: Column, stripped: Column) -> Column:
+    """``heuristic_score`` of a value whose trimmed text is at hand."""
+    return _typed_score(value, json_type).otherwise(_text_score(stripped))
 
-    def text_score(t: Column) -> Column:
-        upper = F.upper(t)
-        return (
-            F.when(t == "", SCORE_EMPTY)
-            .when(upper.rlike(TAX_ID) | upper.rlike(ACCOUNT_ID), SCORE_ID)
-            .when(t.rlike(DATE_SHAPE), SCORE_DATE)
-            .when(t.rlike(GOODS_CODE), SCORE_GOODS_CODE)
-            .when(F.length(t) <= 2, SCORE_SHORT)
-            .otherwise(SCORE_TEXT)
-        )
 
+def _typed_score(value: Column, json_type: Column) -> Column:
+    number = F.when(value.try_cast("double") == 0, SCORE_ZERO).otherwise(SCORE_NUMBER)
     return (
         F.when(value.isNull() | (json_type == "null"), SCORE_EMPTY)
         .when(json_type == "bool", SCORE_BOOL)
         .when(json_type == "number", number)
-        .otherwise(let(strip(value), text_score))
+    )
+
+
+def _text_score(t: Column) -> Column:
+    upper = F.upper(t)
+    # The two identifier shapes have fixed lengths, so most text skips their patterns.
+    tax_id = (F.length(t) == 15) & upper.rlike(TAX_ID)
+    account_id = (F.length(t) == 10) & upper.rlike(ACCOUNT_ID)
+    return (
+        F.when(t == "", SCORE_EMPTY)
+        .when(tax_id | account_id, SCORE_ID)
+        .when(t.rlike(DATE_SHAPE), SCORE_DATE)
+        .when(t.rlike(GOODS_CODE), SCORE_GOODS_CODE)
+        .when(F.length(t) <= 2, SCORE_SHORT)
+        .otherwise(SCORE_TEXT)
     )
 
 
@@ -74,11 +86,14 @@ def reported_score(reported: Column) -> Column:
 
     The NULL test comes first because ``greatest`` and ``least`` skip NULLs.
     """
-    d = to_double(reported)
-    return F.when(
-        d.isNotNull() & (F.abs(d) < 1e300),
-        round_int(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.rint(d)))),
-    )
+
+    def clamp(d: Column) -> Column:
+        return F.when(
+            d.isNotNull() & (F.abs(d) < 1e300),
+            round_int(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.rint(d)))),
+        )
+
+    return F.when(reported.isNotNull(), let(to_double(reported), clamp))
 
 
 def field_score(value: Column, json_type: Column, reported: Column | None) -> Column:

@@ -1,10 +1,10 @@
 """Document cells: one array of field values per document row.
 
-A cell is ``struct<path, label, section, kind, required, v, t, given>``: the value
-as text, its JSON type, and whether the source gave it (``false`` means that the
-schema default was filled in). The array is built position by position from a spec,
-so a declared field is read by its index, and a whole document is repaired, scored
-and checked inside its own row, without an explode or a shuffle.
+A cell is ``struct<path, kind, v, t, given>``: the value as text, its JSON type, and
+whether the source gave it (``false`` means that the schema default was filled in).
+The array is built position by position from a spec, so a declared field is read by
+its index, and a whole document is repaired, scored and checked inside its own row,
+without an explode or a shuffle. Labels and sections stay in the spec.
 """
 
 from __future__ import annotations
@@ -18,10 +18,7 @@ from ..functions import jsondoc
 from ..functions.text import let
 from ..sources.specs import DocSpec, Field
 
-_CONSTANTS = (
-    "array<struct<path:string,label:string,section:string,kind:string,required:boolean,"
-    "t:string,dv:string,dt:string>>"
-)
+_CONSTANTS = "array<struct<path:string,kind:string,t:string,dv:string,dt:string>>"
 
 
 def _default(value: Any) -> tuple[str | None, str]:
@@ -34,65 +31,73 @@ def _default(value: Any) -> tuple[str | None, str]:
     return value, "string"
 
 
+def _literal(value: Any, data_type: str) -> Column:
+    """A constant array or map; it is folded into one literal when planned."""
+    return F.from_json(F.lit(json.dumps(value)), data_type)
+
+
 def _constants(fields: list[Field], skeleton: dict[str, Any], types: dict[str, str]) -> Column:
-    """What a spec says of each field, as one literal array (folded when planned)."""
     rows = []
     for f in fields:
         dv, dt = _default(skeleton.get(f.path))
-        rows.append(
-            {
-                "path": f.path, "label": f.label, "section": f.section, "kind": f.kind,
-                "required": f.required, "t": types.get(f.path, "null"), "dv": dv, "dt": dt,
-            }
-        )
-    return F.from_json(F.lit(json.dumps(rows)), _CONSTANTS)
+        t = types.get(f.path, "null")
+        rows.append({"path": f.path, "kind": f.kind, "t": t, "dv": dv, "dt": dt})
+    return _literal(rows, _CONSTANTS)
 
 
-def _cell(k: Column, path: Column, label: Column, v: Column, t: Column, given: Column) -> Column:
+def _cell(path: Column, kind: Column, v: Column, t: Column, given: Column) -> Column:
     return F.struct(
-        path.alias("path"),
-        label.alias("label"),
-        k.section.alias("section"),
-        k.kind.alias("kind"),
-        k.required.alias("required"),
-        v.alias("v"),
-        t.alias("t"),
-        given.alias("given"),
-    )
-
-
-def _normalized(k: Column, v: Column, t: Column) -> Column:
-    """Fill a missing or null value from the skeleton; a given value stays."""
-    given = F.coalesce(v.isNotNull() & (t != "null"), F.lit(False))
-    return _cell(
-        k, k.path, k.label, F.when(given, v).otherwise(k.dv), F.when(given, t).otherwise(k.dt), given
+        path.alias("path"), kind.alias("kind"), v.alias("v"), t.alias("t"), given.alias("given")
     )
 
 
 def header_from_columns(spec: DocSpec, values: dict[str, tuple[Column, str]]) -> Column:
-    """Header cells from table columns; ``values`` maps a path to (value, JSON type)."""
+    """Header cells from table columns; ``values`` maps a path to (value, JSON type).
+
+    A missing or null value is filled from the skeleton; a given value stays.
+    """
     fields = spec.header_fields()
     constants = _constants(fields, spec.skeleton, {p: t for p, (_, t) in values.items()})
     nothing = (F.lit(None), "null")
     texts = F.array(*[values.get(f.path, nothing)[0].cast("string") for f in fields])
-    return F.zip_with(constants, texts, lambda k, v: _normalized(k, v, k.t))
+    return F.zip_with(
+        constants,
+        texts,
+        lambda k, v: _cell(
+            k.path, k.kind, F.coalesce(v, k.dv), F.when(v.isNull(), k.dt).otherwise(k.t),
+            v.isNotNull(),
+        ),
+    )
 
 
-def header_from_json(spec: DocSpec, data: Column, filename: Column | None = None) -> Column:
-    """Header cells from a VARIANT document; the source file name is overwritten."""
-    fields = spec.header_fields()
-    raw = F.array(*[jsondoc.get_variant(data, f.path) for f in fields])
-
-    def read(k: Column, x: Column) -> Column:
-        v, t = x.try_cast("string"), jsondoc.json_type(x)
-        if filename is not None:
-            named = k.path == "metadata.source.filename"
-            v, t = F.when(named, filename).otherwise(v), F.when(named, "string").otherwise(t)
-        return let(
-            F.struct(v.alias("v"), t.alias("t")), lambda c: _normalized(k, c.v, c.t)
-        )
+def header_from_nodes(spec: DocSpec, found: Column, filename: Column | None = None) -> Column:
+    """Header cells from the nodes of a document; the file name is overwritten.
+
+    A leaf that holds a container keeps it as JSON text: its members are extras.
+    """
+    by_path = F.map_from_entries(
+        F.transform(found, lambda n: F.struct(n.path, F.struct(n.x.alias("x"), n.t.alias("t"))))
+    )
 
-    return F.zip_with(_constants(fields, spec.skeleton, {}), raw, read)
+    def read(k: Column, n: Column) -> Column:
+        filled = F.when(
+            n.isNull() | (n.t == "null"),
+            _cell(k.path, k.kind, k.dv, k.dt, F.lit(False)),
+        ).otherwise(_cell(k.path, k.kind, n.x.try_cast("string"), n.t, F.lit(True)))
+        if filename is None:
+            return filled
+        return F.when(
+            k.path == "metadata.source.filename",
+            _cell(k.path, k.kind, filename, F.lit("string"), F.lit(True)),
+        ).otherwise(filled)
+
+    constants = _constants(spec.header_fields(), spec.skeleton, {})
+    return let(
+        by_path,
+        lambda m: F.transform(
+            constants, lambda k: let(F.try_element_at(m, k.path), lambda n: read(k, n))
+        ),
+    )
 
 
 def item_cells(
@@ -103,12 +108,15 @@ def item_cells(
     constants = _constants(fields, {}, {p: t for p, (_, t) in values.items()})
     texts = F.array(*[values[f.path][0].cast("string") for f in fields])
     at = F.concat(F.lit(f"{spec.items_path}["), index.cast("string"), F.lit("]."))
-    return F.zip_with(
-        constants,
-        texts,
-        lambda k, v: _cell(
-            k, F.concat(at, k.path), F.concat(at, k.label), v,
-            F.when(v.isNull(), "null").otherwise(k.t), v.isNotNull(),
+    return let(
+        at,
+        lambda start: F.zip_with(
+            constants,
+            texts,
+            lambda k, v: _cell(
+                F.concat(start, k.path), k.kind, v,
+                F.when(v.isNull(), "null").otherwise(k.t), v.isNotNull(),
+            ),
         ),
     )
 
@@ -123,10 +131,7 @@ def other_cells(spec: DocSpec, flat: Column) -> Column:
     closed = known + sorted(spec.blocks()) + list(spec.skeleton_lists)
     closed_lists = [p + "." for p in spec.skeleton_lists]
     start = f"{spec.items_path}["
-    columns = F.from_json(
-        F.lit(json.dumps({f.path: {"kind": f.kind, "label": f.label} for f in spec.item_columns})),
-        "map<string,struct<kind:string,label:string>>",
-    )
+    kinds = _literal({f.path: f.kind for f in spec.item_columns}, "map<string,string>")
 
     def allowed(c: Column) -> Column:
         inside = F.lit(False)
@@ -136,21 +141,8 @@ def other_cells(spec: DocSpec, flat: Column) -> Column:
 
     def as_cell(c: Column) -> Column:
         key = F.substring_index(c.path, "].", -1)
-        column = F.when(c.path.startswith(start), F.try_element_at(columns, key))
-        prefix = F.substring(c.path, F.lit(1), F.length(c.path) - F.length(key))
-        return let(
-            column,
-            lambda f: F.struct(
-                c.path.alias("path"),
-                F.coalesce(F.concat(prefix, f.label), c.path).alias("label"),
-                F.lit("").alias("section"),
-                F.coalesce(f.kind, F.lit("")).alias("kind"),
-                F.lit(False).alias("required"),
-                c.v.alias("v"),
-                c.t.alias("t"),
-                (c.t != "null").alias("given"),
-            ),
-        )
+        kind = F.when(c.path.startswith(start), F.try_element_at(kinds, key))
+        return _cell(c.path, F.coalesce(kind, F.lit("")), c.v, c.t, c.t != "null")
 
     return F.transform(F.filter(flat, allowed), as_cell)
 
@@ -159,8 +151,31 @@ def document_cells(
     spec: DocSpec, data: Column, depth: int, filename: Column | None = None
 ) -> Column:
     """Header, line-item and extra cells of a VARIANT document."""
-    flat = jsondoc.flatten(data, depth)
-    return F.concat(header_from_json(spec, data, filename), other_cells(spec, flat))
+    return let(
+        jsondoc.nodes(data, depth),
+        lambda found: F.flatten(
+            F.array(
+                header_from_nodes(spec, found, filename),
+                other_cells(spec, jsondoc.scalars(found)),
+            )
+        ),
+    )
+
+
+def declared(spec: DocSpec, cells: Column) -> Column:
+    """Cells of the declared fields: the first ones, in spec order."""
+    return F.slice(cells, 1, len(spec.fields))
+
+
+def label_of(spec: DocSpec, path: Column) -> Column:
+    """Label of a cell's path; that of a line item keeps its place in the list."""
+    header = _literal({f.path: f.label for f in spec.fields}, "map<string,string>")
+    items = _literal({f.path: f.label for f in spec.item_columns}, "map<string,string>")
+    key = F.substring_index(path, "].", -1)
+    place = F.substring(path, F.lit(1), F.length(path) - F.length(key))
+    return F.coalesce(
+        F.try_element_at(header, path), F.concat(place, F.try_element_at(items, key)), path
+    )
 
 
 def position(spec: DocSpec, path: str) -> int:

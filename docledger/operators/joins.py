@@ -14,6 +14,18 @@ HOT_ROWS = 1_000_000
 SALTS = 32
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly per-row work every slot when its scan has too few partitions.
+
+    A scan of at least as many splits as there are slots is left alone, so this
+    moves nothing but small inputs.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots)
+
+
 def fits_broadcast(
     df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
 ) -> bool:

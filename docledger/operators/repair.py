@@ -7,6 +7,8 @@ from pyspark.sql import Column, functions as F
 from ..functions.dates import iso_date
 from ..functions.numbers import coerce_number, lenient_number, round_places
 from ..functions.text import let, strip
+from ..sources.specs import DocSpec
+from .cells import label_of
 
 # Reason and confidence of a repair by kind.
 REASONS = {
@@ -24,7 +26,6 @@ GATE_PASS_DATES = [
     "gate_pass.manual_igp_date", "transporter.gr_date", "permits.mf4_date",
 ]
 GATE_PASS_VALUE = "value.net_value_doc_currency"
-GATE_PASS_QUANTITY = r"^items\[\d+\]\.quantity$"
 GATE_PASS_REASONS = {
     "date": "Normalized date to ISO (YYYY-MM-DD).",
     "number": "Parsed numeric value.",
@@ -36,27 +37,21 @@ DERIVED_REASON = "Derived DBK Rate = DBK Amount / FOB(INR) x 100 (printed rate n
 DERIVED_CONFIDENCE = 80
 
 
-def normalized_value(v: Column, t: Column, kind: Column) -> Column:
-    """``struct<v, t>`` after repair by kind; NULL ``v`` when there is no repair."""
-    number = F.when(t.isin("string", "number"), coerce_number(v, t)).cast("string")
-    date = F.when(t.isin("string", "number"), iso_date(v))
-    text = F.when(t == "string", strip(v))
-    new = (
-        F.when(kind == "number", number)
-        .when(kind == "date", date)
-        .when(kind.isin("text", "long_text"), text)
-    )
-    return F.struct(
-        new.alias("v"), F.when(kind == "number", "number").otherwise("string").alias("t")
+def repaired_value(v: Column, t: Column, kind: Column) -> Column:
+    """Repaired text of a value by kind; NULL when nothing changes.
+
+    Only text can change: a JSON number already is one, and is no date.
+    """
+    return F.when(
+        (kind != "") & (t == "string") & v.isNotNull(),
+        F.when(kind == "number", coerce_number(v).cast("string"))
+        .when(kind == "date", _unless_same(iso_date(v), v))
+        .when(kind.isin("text", "long_text"), _unless_same(strip(v), v)),
     )
 
 
-def _changed(c: Column, new: Column) -> Column:
-    differs = F.when(
-        (c.t == "number") & (new.t == "number"),
-        ~(c.v.try_cast("double") == new.v.try_cast("double")),
-    ).otherwise((c.v != new.v) | (c.t != new.t))
-    return F.coalesce(new.v.isNotNull() & c.v.isNotNull() & differs, F.lit(False))
+def _unless_same(new: Column, old: Column) -> Column:
+    return let(new, lambda n: F.when(n != old, n))
 
 
 def repair(cells: Column) -> Column:
@@ -64,47 +59,56 @@ def repair(cells: Column) -> Column:
 
     def one(c: Column) -> Column:
         def with_new(new: Column) -> Column:
-            changed = _changed(c, new)
-            return (
-                c.withField("v", F.when(changed, new.v).otherwise(c.v))
-                .withField("t", F.when(changed, new.t).otherwise(c.t))
-                .withField("old", F.when(changed, c.v))
+            t = F.when(new.isNotNull() & (c.kind == "number"), "number").otherwise(c.t)
+            return F.struct(
+                c.path.alias("path"), c.kind.alias("kind"), F.coalesce(new, c.v).alias("v"),
+                t.alias("t"), c.given.alias("given"), F.when(new.isNotNull(), c.v).alias("old"),
             )
 
-        return let(normalized_value(c.v, c.t, c.kind), with_new)
+        return let(repaired_value(c.v, c.t, c.kind), with_new)
 
     return F.transform(cells, one)
 
 
-def notes(repaired: Column) -> Column:
+def notes(repaired: Column, spec: DocSpec) -> Column:
     """``array<struct<field, old, new, reason, confidence>>`` of the changed cells."""
-
-    def reason(c: Column) -> Column:
-        return F.when(c.kind == "number", REASONS["number"]).when(
-            c.kind == "date", REASONS["date"]
-        ).otherwise(REASONS["text"])
-
     return F.transform(
         F.filter(repaired, lambda c: c.old.isNotNull()),
         lambda c: F.struct(
-            c.label.alias("field"),
+            label_of(spec, c.path).alias("field"),
             c.old.alias("old"),
             c.v.alias("new"),
-            reason(c).alias("reason"),
-            F.when(c.kind == "date", DATE_CONFIDENCE).otherwise(FIX_CONFIDENCE).alias("confidence"),
+            reason_for(c.kind).alias("reason"),
+            confidence_for(c.kind).alias("confidence"),
         ),
     )
 
 
+def reason_for(kind: Column) -> Column:
+    return (
+        F.when(kind == "number", REASONS["number"])
+        .when(kind == "date", REASONS["date"])
+        .otherwise(REASONS["text"])
+    )
+
+
+def confidence_for(kind: Column) -> Column:
+    return F.when(kind == "date", DATE_CONFIDENCE).otherwise(FIX_CONFIDENCE)
+
+
 def gate_pass_kinds(cells: Column) -> Column:
     """Cells with the kinds a gate pass repairs; all others are left alone."""
+    def kind(c: Column) -> Column:
+        number = (c.path == GATE_PASS_VALUE) | (
+            c.path.startswith("items[") & c.path.endswith("].quantity")
+        )
+        return F.when(c.path.isin(GATE_PASS_DATES), "date").when(number, "number").otherwise("")
+
     return F.transform(
         cells,
-        lambda c: c.withField(
-            "kind",
-            F.when(c.path.isin(GATE_PASS_DATES), "date")
-            .when((c.path == GATE_PASS_VALUE) | c.path.rlike(GATE_PASS_QUANTITY), "number")
-            .otherwise(""),
+        lambda c: F.struct(
+            c.path.alias("path"), kind(c).alias("kind"), c.v.alias("v"), c.t.alias("t"),
+            c.given.alias("given"),
         ),
     )
 
@@ -121,7 +125,7 @@ def gate_pass_notes(repaired: Column) -> Column:
             .when(c.path == GATE_PASS_VALUE, GATE_PASS_REASONS["number"])
             .otherwise(GATE_PASS_REASONS["quantity"])
             .alias("reason"),
-            F.when(c.kind == "date", DATE_CONFIDENCE).otherwise(FIX_CONFIDENCE).alias("confidence"),
+            confidence_for(c.kind).alias("confidence"),
         ),
     )
 

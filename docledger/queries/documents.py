@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jsondoc, scores
-from ..operators import audit, confidence, readiness, register, repair, rules
+from ..operators import audit, cell_rows, confidence, readiness, register, repair, rules
 from ..operators import cells as cl
+from ..operators.joins import spread
 from ..plans import bindings as b
 from ..plans import finalize
 from ..sources import tables
@@ -38,10 +39,8 @@ def normalize_defaults(spark, sf):
 WITH {ORDER_CELLS} SELECT doc_id, path, {heuristic('v', 't')} AS score FROM cells
 """)
 def heuristic_scores(spark, sf):
-    docs = b.order_headers(spark, sf).select("doc_id", F.explode("cells").alias("c"))
-    return docs.select(
-        "doc_id", "c.path", scores.heuristic_score(F.col("c.v"), F.col("c.t")).alias("score")
-    )
+    rows = cell_rows.explode(b.order_headers(spark, sf))
+    return cell_rows.score(rows).select("doc_id", "path", "score")
 
 
 _REPORTED = f"""
@@ -63,9 +62,10 @@ def _scored(spark, sf):
 
 @query("confidence_scores", f"WITH {ORDER_CELLS}, {_REPORTED} SELECT doc_id, path, score FROM scored")
 def confidence_scores(spark, sf):
-    return _scored(spark, sf).select("doc_id", F.explode("cells").alias("c")).select(
-        "doc_id", "c.path", "c.score"
-    )
+    headers = b.order_headers(spark, sf, [b.ai_scores().alias("reported")])
+    rows = cell_rows.explode(headers, ["reported"])
+    own = F.try_element_at("reported", F.col("path"))
+    return cell_rows.score(rows, own).select("doc_id", "path", "score")
 
 
 @query("band_counts", f"""
@@ -142,16 +142,20 @@ FROM fixed WHERE changed
 """)
 def auto_fix_notes(spark, sf):
     """Header and line notes: each side stays in its own table, no join is needed."""
-    rows = b.order_headers(spark, sf).unionByName(b.order_lines(spark, sf).select("doc_id", "cells"))
-    notes = repair.notes(repair.repair(F.col("cells")))
-    return rows.select("doc_id", F.explode(notes).alias("n")).select("doc_id", "n.*")
+    docs = b.order_headers(spark, sf).unionByName(b.order_lines(spark, sf).select("doc_id", "cells"))
+    fixed = cell_rows.repair(cell_rows.explode(docs)).where("old IS NOT NULL")
+    kind = F.col("kind")
+    return fixed.select(
+        "doc_id", cl.label_of(ORDER, F.col("path")).alias("field"), "old", F.col("v").alias("new"),
+        repair.reason_for(kind).alias("reason"), repair.confidence_for(kind).alias("confidence"),
+    )
 
 
 @query("export_summary", f"""
 WITH {ORDER_CELLS} SELECT doc_id, pos, section, label, v AS value FROM cells WHERE section <> ''
 """)
 def export_summary(spark, sf):
-    return register.summary_rows(b.order_headers(spark, sf))
+    return register.summary_rows(b.order_headers(spark, sf), ORDER)
 
 
 _LINE_SCORES = f"""
@@ -181,21 +185,17 @@ FROM conf JOIN rdy ON conf.doc_id = rdy.doc_id JOIN iss ON conf.doc_id = iss.doc
 def finalize_documents(spark, sf):
     """Flagship: every order with its customer and lines, normalized to scored."""
 
-    def issues(cells, facts):
-        po = cl.at(cells, ORDER, "purchase_order.po_number")
-        subtotal = cl.at(cells, ORDER, "summary.subtotal")
-        return rules.order_issues(
-            {
-                "po_number": cl.truthy(po),
-                "item_count": facts["item_count"],
-                "line_sum": facts["line_sum"],
-                "subtotal": cl.given_text(subtotal).try_cast("double"),
-            }
-        )
-
+    here = F.col("is_header")
+    po = here & (F.col("path") == "purchase_order.po_number")
+    subtotal = here & F.col("given") & (F.col("path") == "summary.subtotal")
+    facts = {
+        "po_number": F.bool_or(po & F.col("given") & (F.col("v") != "")),
+        "subtotal": F.max(F.when(subtotal, F.col("v").try_cast("double"))),
+        "line_sum": F.coalesce(F.sum(F.col("amount").cast("decimal(18,2)")), F.lit(0)),
+    }
     out = finalize.finalize_tables(
-        b.order_headers(spark, sf), b.order_lines(spark, sf), ORDER,
-        {"line_sum": F.sum(F.col("amount").cast("decimal(18,2)"))}, issues,
+        b.order_headers(spark, sf), b.order_lines(spark, sf), ORDER, ["amount"], facts,
+        rules.order_issues,
     )
     return out.select(
         "doc_id", "type_key", "n_fixes",
@@ -285,7 +285,7 @@ def finalize_gate_pass(spark, sf):
     """Model answers to finalized gate passes: one narrow plan over JSON documents."""
     ids = ["l_orderkey", "l_linenumber", "l_partkey"]
     raw = _fenced(_gate_pass_json(), (F.col("l_orderkey") + F.col("l_linenumber")) % 4)
-    responses = b.table(spark, sf, "lineitem").select(
+    responses = spread(b.table(spark, sf, "lineitem")).select(
         *ids, F.lit("pass.pdf").alias("filename"), raw.alias("raw_text")
     )
     parsed = finalize.parse_documents(responses)
@@ -312,7 +312,7 @@ UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, qf, l_quantity::VARCHAR ||
 """)
 def auto_fix_gate_pass(spark, sf):
     ids = ["l_orderkey", "l_linenumber", "l_partkey"]
-    docs = b.table(spark, sf, "lineitem").select(*ids, F.try_parse_json(_gate_pass_json()).alias("data"))
+    docs = spread(b.table(spark, sf, "lineitem")).select(*ids, F.try_parse_json(_gate_pass_json()).alias("data"))
     cells = docs.select(*ids, cl.document_cells(GATE_PASS, F.col("data"), 4).alias("cells"))
     fixed = repair.repair(repair.gate_pass_kinds(F.col("cells")))
     return cells.select(*ids, F.explode(repair.gate_pass_notes(fixed)).alias("n")).select(*ids, "n.*")
@@ -364,7 +364,7 @@ SELECT event_id, x.path AS path, CASE WHEN x.path = 'tags[1].v' THEN NULL ELSE x
   CASE WHEN x.json_type = 'number' THEN round(TRY_CAST(x.value AS DOUBLE), 4) END AS amount FROM e
 """)
 def flatten_json(spark, sf):
-    raw = b.table(spark, sf, "events").select("event_id", _nested_event().alias("raw"))
+    raw = spread(b.table(spark, sf, "events")).select("event_id", _nested_event().alias("raw"))
     depth = jsondoc.measured_depth(raw, "raw")
     flat = jsondoc.flatten(F.try_parse_json("raw"), depth)
     rows = raw.select("event_id", F.explode(flat).alias("c"))
@@ -457,7 +457,7 @@ def audit_diff(spark, sf):
     def flat(text):
         return jsondoc.flatten(F.try_parse_json(text), 3, keep_confidence=True)
 
-    docs = b.table(spark, sf, "orders").select(
+    docs = spread(b.table(spark, sf, "orders")).select(
         o.alias("doc_id"), flat(before).alias("before"), flat(after).alias("after")
     )
     return audit.audit_rows(docs)
@@ -511,7 +511,7 @@ SELECT k AS doc_id, concat_ws(',',
 """)
 def finalize_shipping(spark, sf):
     """Shipping bills as JSON: repair with the derived rate, rules and line weights."""
-    docs = b.ship_headers(spark, sf).select(
+    docs = spread(b.ship_headers(spark, sf)).select(
         "doc_id", F.lit("bill.pdf").alias("filename"), _shipping_json().alias("raw_text")
     )
     out = finalize.finalize_json(finalize.parse_documents(docs), SHIPPING_BILL, depth=3)

@@ -293,7 +293,9 @@ def nonempty_fields(spark, sf):
         F.col("o_orderkey").alias("doc_id"),
         cl.header_from_columns(ORDER, order_values()).alias("cells"),
     )
-    kept = F.filter("cells", lambda c: (c.section != "") & c.v.isNotNull() & (c.v != ""))
+    kept = F.filter(
+        cl.declared(ORDER, F.col("cells")), lambda c: c.v.isNotNull() & (c.v != "")
+    )
     return docs.select("doc_id", F.explode(kept).alias("c")).select(
         "doc_id", "c.path", F.col("c.v").alias("value")
     )
