@@ -14,16 +14,17 @@ HOT_ROWS = 1_000_000
 SALTS = 32
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give costly per-row work every slot when its scan has too few partitions.
 
     A scan of at least as many splits as there are slots is left alone, so this
-    moves nothing but small inputs.
+    moves nothing but small inputs. Rows move by the hash of ``keys``: a round-robin
+    repartition would first sort every partition.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= slots:
         return df
-    return df.repartition(slots)
+    return df.repartition(slots, *keys)
 
 
 def fits_broadcast(

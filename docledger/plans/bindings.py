@@ -156,7 +156,7 @@ def rupees(x: Column) -> Column:
 
 
 def orders_with_customer(spark: SparkSession, sf: str) -> DataFrame:
-    orders = spread(table(spark, sf, "orders")).withColumnRenamed("o_custkey", "c_custkey")
+    orders = spread(table(spark, sf, "orders"), "o_orderkey").withColumnRenamed("o_custkey", "c_custkey")
     customer = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
     return lookup_join(orders, customer, "c_custkey", "left")
 
@@ -234,7 +234,7 @@ def line_values() -> dict[str, tuple[Column, str]]:
 
 def order_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``(doc_id, cells, amount)`` of every order line."""
-    return spread(table(spark, sf, "lineitem")).select(
+    return spread(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey").select(
         F.col("l_orderkey").alias("doc_id"),
         cl.item_cells(ORDER, F.col("l_linenumber"), line_values()).alias("cells"),
         F.col("l_extendedprice").alias("amount"),

@@ -161,7 +161,7 @@ def derive_spec(spark, sf):
         F.lit('{"metadata": {"a": 1}, "zeta_block": {"order_id": '), b.text_of(o),
         F.lit(', "flag": true, "deep": {"x": 1}}, '), head, F.lit(', "title": "t", '), lists, F.lit("}"),
     )
-    samples = spread(b.table(spark, sf, "orders")).select(o.alias("doc_id"), raw.alias("raw"))
+    samples = spread(b.table(spark, sf, "orders"), "o_orderkey").select(o.alias("doc_id"), raw.alias("raw"))
     return manifests.derive_spec(samples)
 
 

@@ -285,7 +285,7 @@ def finalize_gate_pass(spark, sf):
     """Model answers to finalized gate passes: one narrow plan over JSON documents."""
     ids = ["l_orderkey", "l_linenumber", "l_partkey"]
     raw = _fenced(_gate_pass_json(), (F.col("l_orderkey") + F.col("l_linenumber")) % 4)
-    responses = spread(b.table(spark, sf, "lineitem")).select(
+    responses = spread(b.table(spark, sf, "lineitem"), "l_orderkey", "l_partkey").select(
         *ids, F.lit("pass.pdf").alias("filename"), raw.alias("raw_text")
     )
     parsed = finalize.parse_documents(responses)
@@ -312,7 +312,7 @@ UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, qf, l_quantity::VARCHAR ||
 """)
 def auto_fix_gate_pass(spark, sf):
     ids = ["l_orderkey", "l_linenumber", "l_partkey"]
-    docs = spread(b.table(spark, sf, "lineitem")).select(*ids, F.try_parse_json(_gate_pass_json()).alias("data"))
+    docs = spread(b.table(spark, sf, "lineitem"), "l_orderkey", "l_partkey").select(*ids, F.try_parse_json(_gate_pass_json()).alias("data"))
     cells = docs.select(*ids, cl.document_cells(GATE_PASS, F.col("data"), 4).alias("cells"))
     fixed = repair.repair(repair.gate_pass_kinds(F.col("cells")))
     return cells.select(*ids, F.explode(repair.gate_pass_notes(fixed)).alias("n")).select(*ids, "n.*")
@@ -364,7 +364,7 @@ SELECT event_id, x.path AS path, CASE WHEN x.path = 'tags[1].v' THEN NULL ELSE x
   CASE WHEN x.json_type = 'number' THEN round(TRY_CAST(x.value AS DOUBLE), 4) END AS amount FROM e
 """)
 def flatten_json(spark, sf):
-    raw = spread(b.table(spark, sf, "events")).select("event_id", _nested_event().alias("raw"))
+    raw = spread(b.table(spark, sf, "events"), "event_id").select("event_id", _nested_event().alias("raw"))
     depth = jsondoc.measured_depth(raw, "raw")
     flat = jsondoc.flatten(F.try_parse_json("raw"), depth)
     rows = raw.select("event_id", F.explode(flat).alias("c"))
@@ -457,7 +457,7 @@ def audit_diff(spark, sf):
     def flat(text):
         return jsondoc.flatten(F.try_parse_json(text), 3, keep_confidence=True)
 
-    docs = spread(b.table(spark, sf, "orders")).select(
+    docs = spread(b.table(spark, sf, "orders"), "o_orderkey").select(
         o.alias("doc_id"), flat(before).alias("before"), flat(after).alias("after")
     )
     return audit.audit_rows(docs)
@@ -511,7 +511,7 @@ SELECT k AS doc_id, concat_ws(',',
 """)
 def finalize_shipping(spark, sf):
     """Shipping bills as JSON: repair with the derived rate, rules and line weights."""
-    docs = spread(b.ship_headers(spark, sf)).select(
+    docs = spread(b.ship_headers(spark, sf), "doc_id").select(
         "doc_id", F.lit("bill.pdf").alias("filename"), _shipping_json().alias("raw_text")
     )
     out = finalize.finalize_json(finalize.parse_documents(docs), SHIPPING_BILL, depth=3)
