@@ -36,12 +36,12 @@ def first_seen(rows: DataFrame, order: list[str], keep: list[str]) -> DataFrame:
 
 def known_copies(new: DataFrame, index: DataFrame) -> DataFrame:
     """Uploads whose fingerprint is in the index, with the record of its first use."""
-    return lookup_join(new, index, "sha1", "inner", measure_dim=False)
+    return lookup_join(new, index, "sha1", "inner", measure_dim=False, probe=False)
 
 
 def not_loaded(new: DataFrame, loaded: DataFrame) -> DataFrame:
-    return lookup_join(new, loaded.select("upload_id").distinct(), "upload_id", "left_anti",
-                       measure_dim=False)
+    ids = loaded.select("upload_id").distinct()
+    return lookup_join(new, ids, "upload_id", "left_anti", measure_dim=False, probe=False)
 
 
 def extend_index(index: DataFrame, new: DataFrame, order: list[str], keep: list[str]) -> DataFrame:
@@ -68,7 +68,7 @@ def cache_entries(cache: DataFrame) -> DataFrame:
 def cache_split(documents: DataFrame, cache: DataFrame) -> DataFrame:
     """Documents with their cached payload and a ``hit`` flag."""
     entries = cache_entries(cache).withColumn("hit", F.lit(True))
-    out = lookup_join(documents, entries, "cache_key", "left", measure_dim=False)
+    out = lookup_join(documents, entries, "cache_key", "left", measure_dim=False, probe=False)
     return out.withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 

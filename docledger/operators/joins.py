@@ -59,6 +59,7 @@ def lookup_join(
     on: str | list[str],
     how: str = "left",
     measure_dim: bool = True,
+    probe: bool = True,
     max_rows: int = MAX_BROADCAST_ROWS,
     share: float = HOT_SHARE,
     hot_rows: int = HOT_ROWS,
@@ -69,11 +70,15 @@ def lookup_join(
     A small ``dim``, by measured size, is broadcast. Beyond that, fact rows of hot
     keys are spread over ``salts`` buckets and only the dim rows of those keys are
     repeated, so no task gets a hot key whole and the rest of ``dim`` moves once.
+
+    Finding hot keys reads the key columns of ``fact`` once more. Pass ``probe=False``
+    where they are costly (a hash of all text): the join then relies on adaptive
+    execution, which splits an oversized partition of the fact side by measured bytes.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if measure_dim and fits_broadcast(dim, max_rows):
         return fact.join(F.broadcast(dim), keys, how)
-    hot = hot_keys(fact, keys, share, hot_rows)
+    hot = hot_keys(fact, keys, share, hot_rows) if probe else []
     if not hot:
         return fact.join(dim, keys, how)
     spread = [c for c, t in fact.dtypes if not t.startswith(("map", "variant"))]

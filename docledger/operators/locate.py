@@ -112,7 +112,9 @@ def normalized_boxes(boxes: DataFrame, page_sizes: DataFrame) -> DataFrame:
         & ~F.exists("box", lambda c: c.isNull())
         & (F.col("page") >= 1)
     )
-    sized = lookup_join(usable, page_sizes, ["doc_id", "page"], "inner", measure_dim=False)
+    sized = lookup_join(
+        usable, page_sizes, ["doc_id", "page"], "inner", measure_dim=False, probe=False
+    )
     top = F.array_max("box")
     span = F.when(top == 0, 1.0).otherwise(top)
     fit = let(

@@ -166,19 +166,19 @@ def derive_spec(spark, sf):
 
 
 @query("header_match", """
-WITH t AS (SELECT p_brand AS sheet, p_partkey AS pos, p_name AS header FROM part),
+WITH t AS (SELECT p_partkey // 40 AS sheet, p_partkey AS pos, p_name AS header FROM part),
 h AS (SELECT sheet, replace(header, ' ', '') AS k, min(pos) AS pos FROM t GROUP BY ALL),
 wd AS (SELECT sheet, max(pos) AS width FROM t GROUP BY 1),
-w AS (SELECT p_brand AS sheet, p_partkey AS ord, CASE WHEN p_size % 3 = 0 THEN upper(p_name) || ' (' || p_type || ')' ELSE upper(p_name) || '.' END AS header FROM part),
+w AS (SELECT p_partkey // 40 AS sheet, p_partkey AS ord, CASE WHEN p_size % 3 = 0 THEN upper(p_name) || ' (' || p_type || ')' ELSE upper(p_name) || '.' END AS header FROM part),
 j AS (SELECT w.*, h.pos AS spot, wd.width FROM w LEFT JOIN h ON w.sheet = h.sheet AND h.k = regexp_replace(lower(w.header), '[^a-z0-9]', '', 'g')
   LEFT JOIN wd ON w.sheet = wd.sheet)
 SELECT sheet, ord, header, CAST(coalesce(spot, width + row_number() OVER (PARTITION BY sheet, spot IS NULL ORDER BY ord)) AS INT) AS col, spot IS NOT NULL AS matched FROM j
 """)
 def header_match(spark, sf):
-    """Each brand as a sheet: its part names as headers, and printed forms to place."""
-    parts = b.table(spark, sf, "part")
+    """Forty parts as a sheet: their names as headers, and printed forms to place."""
+    parts = b.table(spark, sf, "part").withColumn("sheet", F.floor(F.col("p_partkey") / 40))
     template = parts.select(
-        F.col("p_brand").alias("sheet"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("header")
+        "sheet", F.col("p_partkey").alias("pos"), F.col("p_name").alias("header")
     )
     name = F.upper("p_name")
     wanted = F.when(
@@ -187,6 +187,6 @@ def header_match(spark, sf):
     return register.match_headers(
         template,
         parts.select(
-            F.col("p_brand").alias("sheet"), F.col("p_partkey").alias("ord"), wanted.alias("header")
+            "sheet", F.col("p_partkey").alias("ord"), wanted.alias("header")
         ),
     )
