@@ -143,12 +143,10 @@ FROM fixed WHERE changed
 def auto_fix_notes(spark, sf):
     """Header and line notes: each side stays in its own table, no join is needed."""
     docs = b.order_headers(spark, sf).unionByName(b.order_lines(spark, sf).select("doc_id", "cells"))
-    fixed = cell_rows.repair(cell_rows.explode(docs)).where("old IS NOT NULL")
-    kind = F.col("kind")
+    fixed = docs.withColumn("cells", repair.repair(F.col("cells")))
     return fixed.select(
-        "doc_id", cl.label_of(ORDER, F.col("path")).alias("field"), "old", F.col("v").alias("new"),
-        repair.reason_for(kind).alias("reason"), repair.confidence_for(kind).alias("confidence"),
-    )
+        "doc_id", F.explode(repair.notes(F.col("cells"), ORDER)).alias("n")
+    ).select("doc_id", "n.*")
 
 
 @query("export_summary", f"""
@@ -185,17 +183,16 @@ FROM conf JOIN rdy ON conf.doc_id = rdy.doc_id JOIN iss ON conf.doc_id = iss.doc
 def finalize_documents(spark, sf):
     """Flagship: every order with its customer and lines, normalized to scored."""
 
-    here = F.col("is_header")
-    po = here & (F.col("path") == "purchase_order.po_number")
-    subtotal = here & F.col("given") & (F.col("path") == "summary.subtotal")
-    facts = {
-        "po_number": F.bool_or(po & F.col("given") & (F.col("v") != "")),
-        "subtotal": F.max(F.when(subtotal, F.col("v").try_cast("double"))),
-        "line_sum": F.coalesce(F.sum(F.col("amount").cast("decimal(18,2)")), F.lit(0)),
-    }
+    def header_facts(cells):
+        subtotal = cl.given_text(cl.at(cells, ORDER, "summary.subtotal"))
+        return {
+            "po_number": cl.truthy(cl.at(cells, ORDER, "purchase_order.po_number")),
+            "subtotal": subtotal.try_cast("double"),
+        }
+
     out = finalize.finalize_tables(
-        b.order_headers(spark, sf), b.order_lines(spark, sf), ORDER, ["amount"], facts,
-        rules.order_issues,
+        b.order_headers(spark, sf), b.order_lines(spark, sf), ORDER, header_facts,
+        {"line_sum": F.col("amount").cast("decimal(18,2)")}, rules.order_issues,
     )
     return out.select(
         "doc_id", "type_key", "n_fixes",
