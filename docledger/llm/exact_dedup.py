@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import fuse
-from .tables import save, small
+from .tables import save, small, text_key, without
 from .words import binary
 
 BATCHES = 2
-PRINTS = "doc_id LONG, n_bytes LONG, digest BINARY, key LONG"
+PRINTS = "doc_id LONG, text_key LONG, n_bytes LONG, digest BINARY, key LONG"
 
 
 def sha256(data: bytes) -> bytes:
@@ -39,24 +39,28 @@ def key_of(digest: bytes) -> int:
 
 
 def _digests(batch, lower: bool, digest):
-    texts = binary(batch.column(1))
+    texts = binary(batch.column("_text"))
     data = [t.lower() for t in texts.to_pylist()] if lower else texts.to_pylist()
     return data, [digest(d) for d in data]
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", lower: bool = True, digest=sha256) -> DataFrame:
-    """``doc_id, n_bytes, digest, key`` of each row; bytes.lower() changes A-Z only."""
+    """``doc_id, text_key, n_bytes, digest, key`` of each row; bytes.lower() changes A-Z only."""
 
     def run(batches):
         for batch in batches:
             data, digests = _digests(batch, lower, digest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(d) for d in data], pa.int64()),
+                [batch.column("doc_id"), batch.column("text_key"), pa.array([len(d) for d in data], pa.int64()),
                  pa.array(digests, pa.binary()), pa.array([key_of(d) for d in digests], pa.int64())],
-                names=["doc_id", "n_bytes", "digest", "key"],
+                names=["doc_id", "text_key", "n_bytes", "digest", "key"],
             )
 
-    return docs.select(id, text).mapInArrow(run, PRINTS)
+    return _narrow(docs, id, text).mapInArrow(run, PRINTS)
+
+
+def _narrow(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.col(id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("_text"))
 
 
 def screened(groups: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
@@ -88,7 +92,7 @@ def _batches(prints: DataFrame, count: int) -> list[DataFrame]:
 def exact_dedup(
     docs: DataFrame, id: str = "doc_id", text: str = "text", batches: int = BATCHES, digest=sha256
 ) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, digest, n_bytes``.
+    """One row per document: ``doc_id, text_key, keep_id, group_size, kept, digest, n_bytes``.
 
     ``digest`` may be any function of bytes: a weak one costs time, never a wrong result.
     """
@@ -117,17 +121,17 @@ def exact_dedup(
     # rows per digest over all batches: one short row per batch and digest
     groups = save(parts.groupBy("key", "digest").agg(F.max("top").alias("top"), F.sum("n").alias("n")), "groups")
     repeated = groups.where("n > 1")
-    exact = save(_equal_texts(docs.select(id, text), repeated, digest).drop("data"), "exact")
+    exact = save(_equal_texts(_narrow(docs, id, text), repeated, digest).drop("data"), "exact")
     clashes = save(exact.groupBy("key", "digest").count().where("count > 1").select("key", "digest"), "clashes")
     rows = prints.join(groups, ["key", "digest"])
     if clashes.count():
         clashed = prints.join(clashes, ["key", "digest"], "left_semi")
         rows = rows.join(clashes, ["key", "digest"], "left_anti")
     out = rows.select(
-        "doc_id", F.col("top.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
+        "doc_id", "text_key", F.col("top.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("row") == F.col("top.row")).alias("kept"), "digest", "n_bytes",
     )
-    return out.unionByName(_clashed(docs.select(id, text), clashed, digest)) if clashes.count() else out
+    return out.unionByName(_clashed(_narrow(docs, id, text), clashed, digest)) if clashes.count() else out
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, digest) -> DataFrame:
@@ -141,11 +145,12 @@ def _texts(docs: DataFrame, wanted: DataFrame, digest) -> DataFrame:
             pick = np.flatnonzero(held.value.contains(keys.view(np.uint64))) if held else np.arange(len(keys))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[pick], pa.int64()), pa.array([digests[i] for i in pick], pa.binary()),
-                 batch.column(0).cast(pa.int64()).take(pa.array(pick, pa.int64())), pa.array([data[i] for i in pick], pa.binary())],
-                names=["key", "digest", "doc_id", "data"],
+                 batch.column("doc_id").take(pa.array(pick)), batch.column("text_key").take(pa.array(pick)),
+                 pa.array([data[i] for i in pick], pa.binary())],
+                names=["key", "digest", "doc_id", "text_key", "data"],
             )
 
-    return docs.mapInArrow(run, "key LONG, digest BINARY, doc_id LONG, data BINARY")
+    return docs.mapInArrow(run, "key LONG, digest BINARY, doc_id LONG, text_key LONG, data BINARY")
 
 
 def _equal_texts(docs: DataFrame, repeated: DataFrame, digest) -> DataFrame:
@@ -164,7 +169,7 @@ def _clashed(docs: DataFrame, clashed: DataFrame, digest) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("digest", "data", "doc_id").orderBy("key")) == 1
     rows = texts.withColumn("first", first).join(groups, ["digest", "data"])
     return rows.select(
-        "doc_id", "keep_id", "group_size", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        "doc_id", "text_key", "keep_id", "group_size", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "digest", F.octet_length("data").cast("long").alias("n_bytes"),
     )
 
@@ -172,8 +177,8 @@ def _clashed(docs: DataFrame, clashed: DataFrame, digest) -> DataFrame:
 def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; rows move only if the dropped ids don't fit a broadcast."""
     result = save(exact_dedup(docs, id, text), "dedup")
-    gone = save(result.where("NOT kept AND NOT doc_id <=> keep_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    out = docs.join(small(gone), F.col(id).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = result.where("NOT kept AND NOT doc_id <=> keep_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    out = without(docs, save(gone.distinct(), "gone"), id, text)
     twins = save(result.where("NOT kept AND doc_id <=> keep_id").select(F.col("doc_id").alias("_twin")).distinct(), "twins")
     if twins.count():
         same = F.col(id).eqNullSafe(F.col("_twin"))

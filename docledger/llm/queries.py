@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, packing, sharding
+from . import exact_dedup, ngram_join, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,12 @@ def op2_sharding(spark, sf_dir):
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query("op3_ngram_join")
+def op3_ngram_join(spark, sf_dir):
+    """No SQL: its join of all shingles is too slow on whole tables."""
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 @query(
     "op5_exact_dedup",
     """

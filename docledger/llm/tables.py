@@ -78,3 +78,16 @@ def numbered(
         (F.col("_pos") + F.col("_shift_pos")).alias("pos"),
         (F.col("_before") + F.col("_shift")).alias("before"),
     )
+
+
+def text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, id: str, text: str) -> DataFrame:
+    """Drop the rows whose id and text are in ``gone`` (``_id, _key``, a saved table).
+
+    Whole rows are shuffled only if ``gone`` is too long for a broadcast.
+    """
+    same = F.col(id).eqNullSafe(F.col("_id")) & (text_key(text) == F.col("_key"))
+    return docs.join(small(gone), same, "left_anti")
