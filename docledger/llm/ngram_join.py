@@ -8,16 +8,19 @@ neighbour within 1 - threshold may be:
   nearly every other, so all would lie in all windows. Regions are therefore anchored at
   single shingles. A set of n shingles goes to the regions of its first
   n - ceil(threshold * n) + 1 shingles in one fixed order: two sets within the threshold
-  share at least one of them, so every link lies inside some region.
-* The region's smallest id is its pivot. All distances to pivots are taken exactly, and
-  links to pivots give first components.
-* A region whose members are in one component by now is done. In the others, pairs of
-  different components are joined if the triangle inequality lets them: their distances
-  to a common pivot may differ by no more than 1 - threshold.
-* A large region that its pivot cannot split (a passage shared by many documents that are
-  otherwise far apart) is dissolved: its shingle moves to the end of the order, and its
-  documents are dealt anew. The join starts again on the new regions with the components
-  found so far.
+  share at least one of them, so every link lies inside some region. The order puts
+  shingles seen to be frequent last, so a passage that many documents share makes regions
+  only where it is most of a document. Any order is exact; this one keeps regions small.
+* A region's pivot is the member with the fewest shingles of its own, as a hub of its near
+  copies would have. All distances to pivots are taken exactly, and the links to pivots
+  give first components. A region in one component by then is done.
+* The other regions are joined again, those with one pivot together: two members of
+  different components are tested if the triangle inequality lets them, that is if their
+  distances to the pivot differ by no more than 1 - threshold. Large cells are cut into
+  chunks, and pairs of chunks are joined in tasks of their own, which give only links.
+* If regions remain that their pivot cannot split, as most of their members are far from
+  it, their shingles move to the end of the order too and the join starts again with the
+  components found so far.
 
 All links between different components are tested, so components are exact. Sets of whole
 texts move only for documents in tested pairs.
@@ -43,58 +46,74 @@ from .words import chunks, shingle_sets
 
 PERCENT = 80
 WORDS = 5
-#: Members a region may have before it is dissolved, if its pivot can't split it.
-REGION = 48
-#: Shingles that may be moved to the end of the order in one pass: 8 MB.
+#: Members a cell may have to be joined by rows; larger cells are joined chunk by chunk.
+CELL = 48
+CHUNK = 128
+#: Shingles that may be put at the end of the order at a time: 8 MB.
 MOVED = 1_000_000
-PASSES = 4
+#: Turns at most. Later turns only spare time: the last one tests whatever is left.
+TURNS = 3
+ONE_SET = "doc_id LONG, text_key LONG, n_shingles LONG, sig BINARY, s LONG, seen LONG"
 
 
 def set_sizes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, text_key, n_shingles, sig``: size and 128-bit hash of each document's set."""
+    """Size and 128-bit hash of each document's set, and in rows without a hash the shingles
+    that several sets of a batch hold, with their number."""
+    names = [f.split()[0] for f in ONE_SET.split(", ")]
 
     def run(batches):
         for batch in batches:
-            sizes, sigs = [], []
+            sizes, sigs, every = [], [], []
             for _, _, data, offsets in chunks(batch.column("_text")):
                 for s in shingle_sets(data, offsets, words):
                     sizes.append(len(s))
                     sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    every.append(s)
+            n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())],
-                names=["doc_id", "text_key", "n_shingles", "sig"],
-            )
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()),
+                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+            every = np.sort(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
+            seen = np.diff(np.append(starts, len(every)))
+            some = seen > 2
+            m = int(some.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(m, pa.int64())] * 3 + [pa.nulls(m, pa.binary()), pa.array(every[starts[some]].view(np.int64)), pa.array(seen[some])],
+                names=names)
 
-    return docs.mapInArrow(run, "doc_id LONG, text_key LONG, n_shingles LONG, sig BINARY")
+    return docs.mapInArrow(run, ONE_SET)
 
 
 def anchors(docs: DataFrame, moved, percent: int, words: int, held=None) -> DataFrame:
-    """``s, x, n``: the regions of each document; only regions in ``held`` if given."""
+    """``s, x, n, own``: the regions of each document; only regions in ``held`` if given, and
+    then ``own`` is the number of its other ones. ``moved``: shingles that come last."""
 
     def run(batches):
-        last = moved.value if moved else None
+        last = moved.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, _, data, offsets in chunks(batch.column("_text")):
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b, data, offsets in chunks(batch.column("_text")):
                 parts, sizes = [], []
                 for s in shingle_sets(data, offsets, words):
                     keep = len(s) + (percent * len(s)) // -100 + 1 if len(s) else 0
-                    if last is not None and len(s):
-                        at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                        late = last[at] == s
+                    sizes.append(len(s))
+                    if len(last) and keep:
+                        late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                         if late[:keep].any():
                             s = np.concatenate([s[~late], s[late]])
                     parts.append(s[:keep])
-                    sizes.append(len(s))
                 counts = np.fromiter(map(len, parts), np.int64, len(parts))
-                s = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-                x, n = np.repeat(ids[a : a + len(parts)], counts), np.repeat(np.array(sizes, np.int64), counts)
+                s, which = np.concatenate(parts), np.repeat(np.arange(b - a), counts)
+                own = np.zeros(b - a, np.int64)
                 if held:
                     pick = held.value.contains(s)
-                    s, x, n = s[pick], x[pick], n[pick]
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(x.astype(np.int64)), pa.array(n)], names=["s", "x", "n"])
+                    own = counts - np.bincount(which[pick], minlength=b - a)
+                    s, which = s[pick], which[pick]
+                columns = [s.view(np.int64), ids[a:b][which], np.array(sizes, np.int64)[which], own[which]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["s", "x", "n", "own"])
 
-    return docs.mapInArrow(run, "s LONG, x LONG, n LONG")
+    return docs.mapInArrow(run, "s LONG, x LONG, n LONG, own LONG")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -114,81 +133,150 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "x LONG, items ARRAY<LONG>")
 
 
-def _distances(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Add ``both``, the size of the intersection, to pairs ``a, b``."""
-    ids = save(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct(), "ids")
-    sets = save(whole_sets(docs, ids, words), "sets")
     left = sets.select(F.col("x").alias("a"), F.col("items").alias("left"))
     right = sets.select(F.col("x").alias("b"), F.col("items").alias("right"))
     both = F.size(F.array_intersect("left", "right")).cast("long")
     return pairs.join(left, "a").join(right, "b").withColumn("both", both).drop("left", "right")
 
 
-def _near(percent: int):
-    return F.expr(f"100 * both >= {percent} * (na + nb - both)")
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x")))
+
+
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of a chunk's sets, by blocks of a 0/1 matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(seen > 1) - 1
+    pick = seen[column] > 1
+    owner, column = owner[pick], shared[column[pick]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [at, at + columns])
+        block = np.zeros((len(sets), columns), np.float32)
+        block[owner[a:b], column[a:b] - at] = 1
+        out += block @ block.T
+    return out.astype(np.int64)
+
 
+def _chunk_join(percent: int):
+    width = (100 - percent) / 100 + 1e-9
 
-def links(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, region: int = REGION, passes: int = PASSES) -> DataFrame:
+    def run(group, rows):
+        lo, hi = group[1].as_py(), group[2].as_py()
+        data = {k: rows.column(k).to_numpy(zero_copy_only=False) for k in ("x", "n", "c", "d", "part")}
+        sets = [np.asarray(v, np.int64) for v in rows.column("items").to_pylist()]
+        both = overlaps(sets)
+        n, d = data["n"], data["d"].astype(float)
+        gap = np.abs(d[:, None] - d[None])
+        near = 100 * both >= percent * (n[:, None] + n[None] - both)
+        near &= (data["c"][:, None] != data["c"][None]) & ~(gap > width)
+        if lo != hi:
+            near &= data["part"][:, None] != data["part"][None]
+        a, b = np.nonzero(np.triu(near, 1))
+        root = {v: v for v in data["c"].tolist()}
+        out = []
+        for i, j in zip(a.tolist(), b.tolist()):  # a link is worth giving if it joins components
+            p, q = data["c"][i].item(), data["c"][j].item()
+            while root[p] != p:
+                p = root[p]
+            while root[q] != q:
+                q = root[q]
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((data["x"][i].item(), data["x"][j].item()))
+        return pa.table([pa.array([v[0] for v in out], pa.int64()), pa.array([v[1] for v in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def links(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT, words: int = WORDS, cell: int = CELL, chunk: int = CHUNK, turns: int = TURNS) -> DataFrame:
     """``a, b``: links that connect what the threshold connects. ``docs``: ``doc_id, _text``, one row per set."""
     spark = docs.sparkSession
-    moved_keys, moved = np.zeros(0, np.uint64), None
-    found = comp = checked = None
+    found = checked = None
     size_fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    for turn in range(passes):
-        counted = anchors(docs, moved, percent, words).groupBy("s").agg(
-            F.count(F.lit(1)).alias("size"), F.min("x").alias("pivot"), F.max("x").alias("top"))
-        regions = save(counted.where("pivot < top").drop("top"), "regions")
-        held = fuse.screen(regions.select("s"), "s")
-        members = save(anchors(docs, moved, percent, words, held).join(regions, "s"), "members")
-        sizes = save(members.select("x", "n").distinct(), "sizes")
+    for turn in range(turns):
+        moved = spark.sparkContext.broadcast(np.sort(frequent))
+        counted = anchors(docs, moved, percent, words).groupBy("s").agg(F.min("x").alias("least"), F.max("x").alias("most"))
+        shared = save(counted.where("least < most").select("s"), "shared")
+        held = fuse.screen(shared, "s")
+        members = save(anchors(docs, moved, percent, words, held), "members")
+        hub = F.min(F.struct("own", "x", "n")).alias("hub")
+        regions = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"), hub).where("size > 1")
+        regions = save(regions.select("s", "size", F.col("hub.x").alias("pivot"), F.col("hub.n").alias("np")), "regions")
+        members = save(members.join(regions, "s").where("x != pivot"), "placed")
         # distances to pivots
-        pairs = members.where("x != pivot").select(F.col("pivot").alias("a"), F.col("x").alias("b"), F.col("n").alias("nb")).distinct()
-        pairs = pairs.join(sizes.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").where(size_fits)
+        pairs = members.select(F.col("pivot").alias("a"), F.col("x").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb"))
+        pairs = pairs.where(size_fits).distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        tested = save(_distances(save(pairs, "pairs"), docs, words), "tested")
+        pairs = save(pairs, "pairs")
+        sets = save(whole_sets(docs, save(_ids(pairs).distinct(), "ids"), words), "sets")
+        tested = save(_with_sets(pairs, sets), "tested")
         near = tested.where(_near(percent)).select("a", "b")
         found = near if found is None else found.unionByName(near)
         checked = tested if checked is None else checked.unionByName(tested)
-        comp = save(components(found), "components")
-        # regions that hold several components
-        own = F.coalesce("component", "x").alias("c")
-        named = members.join(comp.withColumnRenamed("node", "x"), "x", "left").select("s", "x", "n", "size", "pivot", own)
-        named = save(named.where("size > 2"), "named")
-        mixed = save(named.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.first("size").alias("size"))
-                     .where("least < most").select("s", "size"), "mixed")
-        stuck = mixed.where(F.col("size") > region)
-        new = np.array([r["s"] for r in stuck.orderBy(F.desc("size"), "s").limit(MOVED).collect()], np.int64).view(np.uint64)
-        final = turn + 1 == passes or not len(new)
-        if final:
-            stuck = mixed
-        else:
-            moved_keys = np.union1d(moved_keys, new)
-            moved = spark.sparkContext.broadcast(moved_keys)
-            continue
-        left = named.join(stuck.select("s"), "s", "left_semi")
+        comp = save(components(found), "components").select(F.col("node").alias("x"), F.col("component").alias("c"))
+        # regions that hold several components beside their pivot
         gap = checked.select(F.col("a").alias("pivot"), F.col("b").alias("x"), F.expr("1 - both / (na + nb - both)").alias("d"))
-        left = save(left.where("x != pivot").join(gap, ["pivot", "x"], "left"), "left")
-        p = left.select("s", F.col("x").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("d").alias("da"))
-        q = left.select("s", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("d").alias("db"))
-        window = F.expr(f"da IS NULL OR db IS NULL OR abs(da - db) <= {(100 - percent) / 100 + 1e-9}")
-        more = p.join(q, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size_fits & window)
-        more = more.select("a", "b", "na", "nb").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        more = _distances(save(more, "more"), docs, words)
-        return found.unionByName(more.where(_near(percent)).select("a", "b"))
+        named = members.where("size > 2").join(comp, "x", "left").withColumn("c", F.coalesce("c", "x"))
+        named = save(named.join(gap, ["pivot", "x"], "left").select("s", "pivot", "x", "n", "c", "d"), "named")
+        mixed = named.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("size"),
+                                       F.sum(F.expr("int(d <= 0.5)")).alias("close"))
+        mixed = save(mixed.where("least < most").select("s", "size", "close"), "mixed")
+        stuck = mixed.where((F.col("size") > cell) & (F.coalesce("close", F.lit(0)) * 2 < F.col("size")))
+        again = [r["s"] for r in stuck.orderBy(F.desc("size"), "s").limit(MOVED).collect()] if turn + 1 < turns else []
+        again = np.setdiff1d(np.array(again, np.int64).view(np.uint64), frequent)
+        if not len(again):
+            return found.unionByName(_cells(docs, named.join(mixed.select("s"), "s", "left_semi"), checked, percent, words, cell, chunk, size_fits))
+        frequent = np.union1d(frequent, again)
+
+
+def _cells(docs, left, checked, percent, words, cell, chunk, size_fits) -> DataFrame:
+    """Links among the members of each pivot that are not yet in one component."""
+    left = left.select("pivot", "x", "n", "c", "d").distinct()
+    counts = left.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
+    left = save(left.join(counts, "pivot"), "cells")
+    few, many = left.where(F.col("size") <= cell), left.where(F.col("size") > cell)
+    p = few.select("pivot", F.col("x").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("d").alias("da"))
+    q = few.select("pivot", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("d").alias("db"))
+    window = F.expr(f"da IS NULL OR db IS NULL OR abs(da - db) <= {(100 - percent) / 100 + 1e-9}")
+    more = p.join(q, "pivot").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size_fits & window)
+    more = more.select("a", "b", "na", "nb").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    more = save(more, "more")
+    many = many.withColumn("chunks", F.ceil(F.col("size") / chunk)).withColumn("part", F.expr("pmod(xxhash64(x), chunks)"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    many = many.withColumn("other", other).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+    ids = save(_ids(more).unionByName(many.select("x")).distinct(), "ids")
+    sets = save(whole_sets(docs, ids, words), "sets")
+    tasks = many.select("pivot", "lo", "hi", "part", "x", "n", "c", "d").join(sets, "x").groupBy("pivot", "lo", "hi")
+    far = tasks.applyInArrow(_chunk_join(percent), "a LONG, b LONG")
+    return far.unionByName(_with_sets(more, sets).where(_near(percent)).select("a", "b"))
+
+
+def _near(percent: int):
+    return F.expr(f"100 * both >= {percent} * (na + nb - both)")
 
 
 def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS, **limits) -> DataFrame:
     """One row per document: ``doc_id, text_key, n_shingles, component_id``."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("_text"))
-    base = save(set_sizes(rows, words), "set_sizes")
+    scanned = save(set_sizes(rows, words), "set_sizes")
+    seen = scanned.where("sig IS NULL").groupBy("s").agg(F.sum("seen").alias("seen")).where(F.col("seen") > CELL)
+    frequent = np.array([r["s"] for r in seen.orderBy(F.desc("seen"), "s").limit(MOVED).collect()], np.int64).view(np.uint64)
+    base = scanned.where("sig IS NOT NULL").drop("s", "seen")
     classes = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     classed = save(base.join(classes, "sig", "left").drop("sig"), "classed")
-    idle = save(classed.where("rep IS NULL OR rep != doc_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "idle")
-    points = without(rows.select("doc_id", "_text"), idle, "doc_id", "_text")
-    comp = save(components(links(points, percent, words, **limits)), "components")
+    idle = classed.where("rep IS NULL OR rep != doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    points = without(rows.select("doc_id", "_text"), save(idle.distinct(), "idle"), "doc_id", "_text")
+    comp = save(components(links(points, frequent, percent, words, **limits)), "components")
     joined = classed.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    return joined.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    return joined.select("doc_id", "text_key", "n_shingles", group.alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, ngram_join, packing, sharding
+from . import exact_dedup, ngram_join, packing, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark, sf_dir):
+    """No SQL: SQL has no such hashes."""
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
 @query("op2_sharding")
 def op2_sharding(spark, sf_dir):
     """No SQL: DuckDB has no CRC-32."""
@@ -67,3 +73,14 @@ def op5_exact_dedup(spark, sf_dir):
 def op6_packing(spark, sf_dir):
     """No SQL: SQL has no tokenizer."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark, sf_dir):
+    """No SQL: SQL has no forest."""
+    docs = table(spark, sf_dir, "documents")
+    rows = secrets.scan(docs, secrets.train_on(docs), ["doc_id"])
+    return rows.select(
+        "doc_id", F.col("llm_candidates").alias("n_candidates"), F.size("llm_findings").cast("long").alias("n_secrets"),
+        F.col("llm_findings").alias("findings"), F.sha2("llm_redacted", 256).alias("redacted_sha256"),
+    )

@@ -116,7 +116,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> list[np.n
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= n:
-            out.append(np.unique(every[a : b - n + 1]))
+            own = np.sort(every[a : b - n + 1])
+            fresh = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=fresh[1:])
+            out.append(own[fresh])
         elif b > a:
             out.append(grams(hashes[a:b], b - a))
         else:
