@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, ngram_join, packing, quality, secrets, sharding
+from . import embedding_join, exact_dedup, ngram_join, packing, quality, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,24 @@ def op10_secret_scan(spark, sf_dir):
         "doc_id", F.col("llm_candidates").alias("n_candidates"), F.size("llm_findings").cast("long").alias("n_secrets"),
         F.col("llm_findings").alias("findings"), F.sha2("llm_redacted", 256).alias("redacted_sha256"),
     )
+
+
+@query("op7_embedding_join")
+def op7_embedding_join(spark, sf_dir):
+    """No SQL: components need a search of any length."""
+    return embedding_join.embedding_join(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op9_warc",
+    """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+    SELECT page_id, n AS payload_bytes, h AS payload_digest,
+           CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM f
+    """,
+)
+def op9_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("request", "metadata")
