@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_join, exact_dedup, ngram_join, packing, quality, secrets, sharding, warc
+from . import embedding_join, exact_dedup, ngram_join, packing, quality, secrets, sentencepiece_fst, sharding, warc
+
+def piece_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +57,20 @@ def op3_ngram_join(spark, sf_dir):
     return ngram_join.ngram_join(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark, sf_dir):
+    """No SQL: SQL has no tokenizer. Texts are encoded and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
+    ids = sentencepiece_fst.encode(docs, piece_tokenizer()).drop("text")
+    rows = sentencepiece_fst.decode(ids, piece_tokenizer())
+    sha = F.sha2("decoded", 256)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
+        F.octet_length("decoded").cast("long").alias("decoded_bytes"), sha.alias("decoded_sha256"),
+        sha.eqNullSafe(F.col("text_sha256")).alias("same_text"),
+    )
+
+
 @query(
     "op5_exact_dedup",
     """
