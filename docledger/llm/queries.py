@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_join, exact_dedup, ngram_join, packing, quality, secrets, sentencepiece_fst, sharding, warc
+from . import embedding_join, exact_dedup, ngram_join, packing, quality, secrets, sentencepiece_fst, sharding, suffix_dedup, warc
 
 def piece_tokenizer() -> str:
     import public_tokenizers
@@ -112,6 +112,12 @@ def op7_embedding_join(spark, sf_dir):
     return embedding_join.embedding_join(table(spark, sf_dir, "embeddings"))
 
 
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark, sf_dir):
+    """No SQL: all 50-byte strings of whole tables are too many for it."""
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 @query(
     "op9_warc",
     """
