@@ -5,10 +5,11 @@ smaller id. Suffixes of all documents do not fit one transform, so they are deal
 
 * Every window of ``LENGTH`` bytes belongs to its minimizer, the least hash of the short
   grams in it, so equal windows meet wherever they occur. Runs of neighbouring windows with
-  one minimizer are one string. Minimizers met in one document only are screened out; the
-  first scan counts them, the second gives the strings of the others.
-* Equal strings are combined map-side with their smallest document. A minimizer with one
-  string needs no more; the strings of the others are binned by minimizer.
+  one minimizer are one string. Minimizers met in one document only are screened out: the
+  first scan counts them, the second gives hashes of the others' strings.
+* Equal strings are combined map-side by hash with their smallest document. A minimizer with
+  one string needs no more. For the others a third scan gives each string once, out of its
+  smallest document, and they are binned by minimizer.
 * In a bin, shards of strings get suffix arrays and transforms of their own. The transforms
   are merged by refining their interleave: each round reads the symbols in the order so far
   and deals the suffixes they lead to by symbol, which sorts by one more byte. Borders
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import fuse
 from .exact_dedup import fingerprints
 from .tables import save, text_key, without
-from .words import chunks, span_hashes
+from .words import chunks, mix, span_hashes
 
 LENGTH = 50
 GRAM = 12
@@ -92,23 +93,53 @@ def _first_scan(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _second_scan(docs: DataFrame, length: int, held) -> DataFrame:
+    names = ["m", "sid", "doc", "key", "start", "size"]
+
+    def run(batches):
+        for batch in batches:
+            ids, keys = fuse.ids(batch.column("doc_id")).view(np.int64), batch.column("text_key").to_numpy()
+            for a, b, data, offsets in chunks(batch.column("_text")):
+                m, d, starts, ends = minimizers(data, offsets, length)
+                pick = held.value.contains(m) if held else np.ones(len(m), bool)
+                m, d, starts, ends = m[pick], d[pick], starts[pick], ends[pick]
+                sid = span_hashes(data, starts, ends)
+                columns = [m.view(np.int64), sid.view(np.int64), ids[a:b][d], keys[a:b][d], (starts - offsets[d]).astype(np.int32), (ends - starts).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return docs.mapInArrow(run, "m LONG, sid LONG, doc LONG, key LONG, start INT, size INT")
+
+
+def _third_scan(docs: DataFrame, length: int, held) -> DataFrame:
+    """``m, sid, least, string`` where the pair of string and document is in ``held``: each string
+    out of its smallest document, and some others out of any."""
+
     def run(batches):
         for batch in batches:
             ids = fuse.ids(batch.column("doc_id")).view(np.int64)
-            keys = batch.column("text_key").to_numpy()
             for a, b, data, offsets in chunks(batch.column("_text")):
                 m, d, starts, ends = minimizers(data, offsets, length)
-                if held:
-                    pick = held.value.contains(m)
-                    m, d, starts, ends = m[pick], d[pick], starts[pick], ends[pick]
+                sid = span_hashes(data, starts, ends)
+                doc = ids[a:b][d]
+                pick = held.value.contains(sid ^ mix(doc.view(np.uint64))) if held else np.ones(len(m), bool)
+                m, sid, doc, starts, ends = m[pick], sid[pick], doc[pick], starts[pick], ends[pick]
                 sizes = ends - starts
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 where = np.repeat(starts - at[:-1], sizes) + np.arange(at[-1])
                 strings = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data[where].tobytes())])
-                columns = [m.view(np.int64), ids[a:b][d], keys[a:b][d], starts - offsets[d]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), strings], names=["m", "doc", "key", "start", "string"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (m.view(np.int64), sid.view(np.int64), doc)), strings], names=["m", "sid", "least", "string"])
 
-    return docs.mapInArrow(run, "m LONG, doc LONG, key LONG, start LONG, string BINARY")
+    return docs.mapInArrow(run, "m LONG, sid LONG, least LONG, string BINARY")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Add ``pair``, what ``_third_scan`` looks up, to ``sid, least``."""
+
+    def run(batches):
+        for batch in batches:
+            sid, least = (batch.column(c).to_numpy().view(np.uint64) for c in ("sid", "least"))
+            yield pa.RecordBatch.from_arrays([pa.array((sid ^ mix(least)).view(np.int64))], names=["pair"])
+
+    return rows.select("sid", "least").mapInArrow(run, "pair LONG")
 
 
 def suffix_array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,21 +228,36 @@ _RANGES = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 _FOUND = "m LONG, sid LONG, ranges ARRAY<STRUCT<lo: LONG, hi: LONG>>"
 
 
-def _bins(strings: DataFrame, length: int) -> DataFrame:
-    """``m, sid, ranges`` of the strings that hold windows of a smaller document; ``strings`` saved."""
-    counts = strings.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    several = save(strings.join(counts, "m"), "several")
-    few, many = several.where(F.col("n") <= HOT), several.where(F.col("n") > HOT)
+def _inner(points: DataFrame, strings: DataFrame, length: int) -> DataFrame:
+    """``m, sid, ranges`` of the strings that hold windows of a smaller document; ``strings``: ``m, sid, least``, saved."""
+    counts = save(strings.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    held = fuse.screen(save(_pairs(strings.join(counts.select("m"), "m", "left_semi")).distinct(), "several"), "pair")
+    several = _third_scan(points, length, held)
+    if held is None:
+        several = several.join(counts.select("m"), "m", "left_semi")
+    hot = fuse.screen(counts.where(F.col("n") > HOT).select("m"), "m")
 
     def work(rows):
-        found = repeated([s for s in rows.column("string").to_pylist()], rows.column("least").to_numpy(), length)
-        some = [k for k, r in enumerate(found) if r]
-        cells = [[{"lo": a, "hi": b} for a, b in found[k]] for k in some]
-        return pa.table([rows.column("m").take(pa.array(some, pa.int64())), rows.column("sid").take(pa.array(some, pa.int64())), pa.array(cells, _RANGES)],
-                        names=["m", "sid", "ranges"])
-
-    bins = max(1, -(-few.count() // BIN))
-    merged = few.withColumn("bin", F.expr(f"pmod(xxhash64(m), {bins})")).groupBy("bin").applyInArrow(work, _FOUND)
+        # equal strings once, with the smallest document any row has
+        least: dict[tuple[int, bytes], list[int]] = {}
+        for m, sid, doc, s in zip(*(rows.column(c).to_pylist() for c in ("m", "sid", "least", "string"))):
+            row = least.setdefault((m, s), [doc, sid])
+            row[0] = min(row[0], doc)
+        found = repeated([s for _, s in least], np.array([r[0] for r in least.values()], np.int64), length)
+        out = [(m, sid, [{"lo": a, "hi": b} for a, b in ranges]) for ((m, _), (_, sid)), ranges in zip(least.items(), found) if ranges]
+        return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), _RANGES))], names=["m", "sid", "ranges"])
+
+    def route(want: bool):
+        def run(batches):
+            for batch in batches:
+                is_hot = hot.value.contains(fuse.ids(batch.column("m"))) if hot else np.ones(batch.num_rows, bool)
+                yield batch.filter(pa.array(is_hot == want))
+
+        return several.mapInArrow(run, several.schema)
+
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    bins = max(1, -(-total // BIN))
+    merged = route(False).withColumn("bin", F.expr(f"pmod(xxhash64(m), {bins})")).groupBy("bin").applyInArrow(work, _FOUND)
 
     def windows(batches):
         for batch in batches:
@@ -221,9 +267,9 @@ def _bins(strings: DataFrame, length: int) -> DataFrame:
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["m", "sid", "least", "at", "window"])
 
-    single = many.select("m", "sid", "least", "string").mapInArrow(windows, "m LONG, sid LONG, least LONG, at LONG, window BINARY")
+    single = route(True).mapInArrow(windows, "m LONG, sid LONG, least LONG, at LONG, window BINARY")
     lowest = single.groupBy("window").agg(F.min("least").alias("lowest"), F.max("least").alias("highest")).where("lowest < highest")
-    hits = single.join(lowest, "window").where("lowest < least")
+    hits = single.join(lowest, "window").where("lowest < least").join(strings.select("m", "sid", "least"), ["m", "sid", "least"], "left_semi")
     ranges = hits.select("m", "sid", F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))).alias("ranges"))
     return merged.unionByName(ranges)
 
@@ -261,13 +307,13 @@ def removed_ranges(points: DataFrame, length: int = LENGTH) -> DataFrame:
     found = _second_scan(points, length, held)
     if held is None:
         found = found.join(shared, "m", "left_semi")
-    occurrences = save(found.withColumn("sid", F.xxhash64("string")), "occurrences")
-    strings = save(occurrences.groupBy("m", "sid", "string").agg(F.min("doc").alias("least")), "strings")
-    inner = _bins(strings, length)
-    seen = occurrences.select("m", "sid", "doc", "key", "start", F.octet_length("string").cast("long").alias("size"))
-    seen = save(seen.join(strings.select("m", "sid", "least"), ["m", "sid"]), "seen")
+    occurrences = save(found, "occurrences")
+    strings = save(occurrences.groupBy("m", "sid").agg(F.min("doc").alias("least")), "strings")
+    inner = save(_inner(points, strings, length), "inner")
+    seen = save(occurrences.join(strings, ["m", "sid"]).join(
+        inner, ["m", "sid"], "left").where("doc > least OR ranges IS NOT NULL").select("doc", "key", "start", "size", "least", "ranges"), "seen")
     whole = seen.where("doc > least").select("doc", "key", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
-    first = seen.where("doc = least").join(inner, ["m", "sid"]).select("doc", "key", "start", F.explode("ranges").alias("r"))
+    first = seen.where("doc = least").select("doc", "key", "start", F.explode("ranges").alias("r"))
     first = first.select("doc", "key", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi")).alias("hi"))
     return whole.unionByName(first).groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 

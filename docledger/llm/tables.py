@@ -12,11 +12,24 @@ from ..session import scratch_folder
 BROADCAST_ROWS = 2_000_000
 
 
+#: Spark's setting to drop a query's shuffle files as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared scratch folder and read back: cuts lineage, survives lost executors."""
-    path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared scratch folder and read back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write are dropped when it ends; the table replaces them.
+    """
+    spark = df.sparkSession
+    path = scratch_folder(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
