@@ -22,8 +22,9 @@ neighbour within 1 - threshold may be:
   it, their shingles move to the end of the order too and the join starts again with the
   components found so far.
 
-All links between different components are tested, so components are exact. Sets of whole
-texts move only for documents in tested pairs.
+All links between different components are tested, so components are exact. Before sets of
+whole texts move, a pair must pass a bound on 256-byte sketches: each bit in which two
+sketches differ is a shingle that only one set holds.
 
 Defined results: null, empty and blank texts have empty sets and are linked with nothing.
 A null id takes no part and has a null component. Rows repeated under one id are one
@@ -53,7 +54,14 @@ CHUNK = 128
 MOVED = 1_000_000
 #: Turns at most. Later turns only spare time: the last one tests whatever is left.
 TURNS = 3
-ONE_SET = "doc_id LONG, text_key LONG, n_shingles LONG, sig BINARY, s LONG, seen LONG"
+SKETCH_BITS = 2048
+ONE_SET = "doc_id LONG, text_key LONG, n_shingles LONG, sig BINARY, sketch BINARY, s LONG, seen LONG"
+
+
+def sketch(items: np.ndarray) -> bytes:
+    bits = np.zeros(SKETCH_BITS, bool)
+    bits[(items % np.uint64(SKETCH_BITS)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
 
 
 def set_sizes(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -63,23 +71,24 @@ def set_sizes(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sizes, sigs, every = [], [], []
+            sizes, sigs, sketches, every = [], [], [], []
             for _, _, data, offsets in chunks(batch.column("_text")):
                 for s in shingle_sets(data, offsets, words):
                     sizes.append(len(s))
                     sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    sketches.append(sketch(s))
                     every.append(s)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()),
-                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+                 pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
             every = np.sort(np.concatenate(every)) if every else np.zeros(0, np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
             seen = np.diff(np.append(starts, len(every)))
             some = seen > 2
             m = int(some.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64())] * 3 + [pa.nulls(m, pa.binary()), pa.array(every[starts[some]].view(np.int64)), pa.array(seen[some])],
+                [pa.nulls(m, pa.int64())] * 3 + [pa.nulls(m, pa.binary())] * 2 + [pa.array(every[starts[some]].view(np.int64)), pa.array(seen[some])],
                 names=names)
 
     return docs.mapInArrow(run, ONE_SET)
@@ -141,6 +150,24 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("both", both).drop("left", "right")
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b, na, nb`` whose sketches don't rule the threshold out."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(n, -1) for c in ("left", "right"))
+            apart = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+            # at the threshold the sets differ in (1 - t) / (1 + t) of the sum of their sizes
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = pa.array(apart * (100 + percent) <= (100 - percent) * total)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
+
+    left = sketches.select(F.col("x").alias("a"), F.col("sketch").alias("left"))
+    right = sketches.select(F.col("x").alias("b"), F.col("sketch").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(run, "a LONG, b LONG, na LONG, nb LONG").distinct()
+
+
 def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x")))
 
@@ -194,7 +221,7 @@ def _chunk_join(percent: int):
     return run
 
 
-def links(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT, words: int = WORDS, cell: int = CELL, chunk: int = CHUNK, turns: int = TURNS) -> DataFrame:
+def links(docs: DataFrame, frequent: np.ndarray, sketches: DataFrame, percent: int = PERCENT, words: int = WORDS, cell: int = CELL, chunk: int = CHUNK, turns: int = TURNS) -> DataFrame:
     """``a, b``: links that connect what the threshold connects. ``docs``: ``doc_id, _text``, one row per set."""
     spark = docs.sparkSession
     found = checked = None
@@ -214,7 +241,7 @@ def links(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT, words:
         pairs = pairs.where(size_fits).distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = save(pairs, "pairs")
+        pairs = save(_possible(pairs, sketches, percent), "pairs")
         sets = save(whole_sets(docs, save(_ids(pairs).distinct(), "ids"), words), "sets")
         tested = save(_with_sets(pairs, sets), "tested")
         near = tested.where(_near(percent)).select("a", "b")
@@ -232,11 +259,12 @@ def links(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT, words:
         again = [r["s"] for r in stuck.orderBy(F.desc("size"), "s").limit(MOVED).collect()] if turn + 1 < turns else []
         again = np.setdiff1d(np.array(again, np.int64).view(np.uint64), frequent)
         if not len(again):
-            return found.unionByName(_cells(docs, named.join(mixed.select("s"), "s", "left_semi"), checked, percent, words, cell, chunk, size_fits))
+            left = named.join(mixed.select("s"), "s", "left_semi")
+            return found.unionByName(_cells(docs, left, checked, sets, sketches, percent, words, cell, chunk, size_fits))
         frequent = np.union1d(frequent, again)
 
 
-def _cells(docs, left, checked, percent, words, cell, chunk, size_fits) -> DataFrame:
+def _cells(docs, left, checked, sets, sketches, percent, words, cell, chunk, size_fits) -> DataFrame:
     """Links among the members of each pivot that are not yet in one component."""
     left = left.select("pivot", "x", "n", "c", "d").distinct()
     counts = left.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
@@ -247,12 +275,13 @@ def _cells(docs, left, checked, percent, words, cell, chunk, size_fits) -> DataF
     window = F.expr(f"da IS NULL OR db IS NULL OR abs(da - db) <= {(100 - percent) / 100 + 1e-9}")
     more = p.join(q, "pivot").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size_fits & window)
     more = more.select("a", "b", "na", "nb").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = save(more, "more")
+    more = save(_possible(more, sketches, percent), "more")
     many = many.withColumn("chunks", F.ceil(F.col("size") / chunk)).withColumn("part", F.expr("pmod(xxhash64(x), chunks)"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     many = many.withColumn("other", other).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
-    ids = save(_ids(more).unionByName(many.select("x")).distinct(), "ids")
-    sets = save(whole_sets(docs, ids, words), "sets")
+    ids = _ids(more).unionByName(many.select("x")).distinct()
+    ids = save(ids.join(sets.select("x"), "x", "left_anti"), "ids")
+    sets = sets.unionByName(save(whole_sets(docs, ids, words), "sets"))
     tasks = many.select("pivot", "lo", "hi", "part", "x", "n", "c", "d").join(sets, "x").groupBy("pivot", "lo", "hi")
     far = tasks.applyInArrow(_chunk_join(percent), "a LONG, b LONG")
     return far.unionByName(_with_sets(more, sets).where(_near(percent)).select("a", "b"))
@@ -270,10 +299,12 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
     frequent = np.array([r["s"] for r in seen.orderBy(F.desc("seen"), "s").limit(MOVED).collect()], np.int64).view(np.uint64)
     base = scanned.where("sig IS NOT NULL").drop("s", "seen")
     classes = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    sketches = save(base.join(classes, "sig").where("doc_id = rep").select(F.col("rep").alias("x"), "sketch"), "sketches")
+    base = base.drop("sketch")
     classed = save(base.join(classes, "sig", "left").drop("sig"), "classed")
     idle = classed.where("rep IS NULL OR rep != doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     points = without(rows.select("doc_id", "_text"), save(idle.distinct(), "idle"), "doc_id", "_text")
-    comp = save(components(links(points, frequent, percent, words, **limits)), "components")
+    comp = save(components(links(points, frequent, sketches, percent, words, **limits)), "components")
     joined = classed.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return joined.select("doc_id", "text_key", "n_shingles", group.alias("component_id"))

@@ -37,7 +37,7 @@ from .words import chunks
 
 SPACE = "▁"
 UNKNOWN = " ⁇ "
-MEMO = 2_000_000
+MEMO = 500_000
 UNIGRAM, MERGES = 1, 2
 
 

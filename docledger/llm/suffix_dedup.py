@@ -10,12 +10,13 @@ smaller id. Suffixes of all documents do not fit one transform, so they are deal
 * Equal strings are combined map-side by hash with their smallest document. A minimizer with
   one string needs no more. For the others a third scan gives each string once, out of its
   smallest document, and they are binned by minimizer.
-* In a bin, shards of strings get suffix arrays and transforms of their own. The transforms
-  are merged by refining their interleave: each round reads the symbols in the order so far
-  and deals the suffixes they lead to by symbol, which sorts by one more byte. Borders
-  between blocks that come up in round k are common prefixes of length k - 1, so after
-  ``LENGTH`` rounds the blocks are the repeated intervals. No suffix is sorted again. The
-  least document of a block decides over its windows.
+* In a bin, shards of strings are sorted into suffix arrays and transforms of their own. The
+  transforms are merged by refining their interleave: each round reads the symbols before
+  the suffixes in the order so far and deals the suffixes they lead to by symbol, which
+  sorts by that many more bytes (a symbol stands for ``GROUP`` bytes, so few rounds do).
+  Blocks with no border between them after ``LENGTH`` bytes are the intervals of common
+  prefixes at least that long, the repeated ones. No suffix is sorted again. The least
+  document of a block decides over its windows.
 * A minimizer with very many strings (one line that a great part of the documents hold,
   with something else behind it in each) is dealt out further by whole windows.
 
@@ -48,6 +49,8 @@ WINDOWS = 256
 HOT = 256
 BIN = 500
 SHARD = 128
+#: Bytes of one symbol in suffix sorting and merging; nine bits each must fit 64.
+GROUP = 7
 
 
 def minimizers(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +96,7 @@ def _first_scan(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _second_scan(docs: DataFrame, length: int, held) -> DataFrame:
-    names = ["m", "sid", "doc", "key", "start", "size"]
+    names = ["m", "sid", "doc", "key", "start", "size"]  # m shortened: it only groups here
 
     def run(batches):
         for batch in batches:
@@ -103,32 +106,39 @@ def _second_scan(docs: DataFrame, length: int, held) -> DataFrame:
                 pick = held.value.contains(m) if held else np.ones(len(m), bool)
                 m, d, starts, ends = m[pick], d[pick], starts[pick], ends[pick]
                 sid = span_hashes(data, starts, ends)
-                columns = [m.view(np.int64), sid.view(np.int64), ids[a:b][d], keys[a:b][d], (starts - offsets[d]).astype(np.int32), (ends - starts).astype(np.int32)]
+                columns = [_short(m), sid.view(np.int64), ids[a:b][d], keys[a:b][d], (starts - offsets[d]).astype(np.int32), (ends - starts).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return docs.mapInArrow(run, "m LONG, sid LONG, doc LONG, key LONG, start INT, size INT")
+    return docs.mapInArrow(run, "m INT, sid LONG, doc LONG, key LONG, start INT, size INT")
 
 
-def _third_scan(docs: DataFrame, length: int, held) -> DataFrame:
+def _short(m: np.ndarray) -> np.ndarray:
+    """Half of a minimizer, which is all that grouping needs: strings are told apart by ``sid``."""
+    return (m >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _third_scan(docs: DataFrame, length: int, held, hot, want_hot: bool) -> DataFrame:
     """``m, sid, least, string`` where the pair of string and document is in ``held``: each string
-    out of its smallest document, and some others out of any."""
+    out of its smallest document, and some others out of any. Only of ``hot`` minimizers, or
+    only of the others."""
 
     def run(batches):
         for batch in batches:
             ids = fuse.ids(batch.column("doc_id")).view(np.int64)
             for a, b, data, offsets in chunks(batch.column("_text")):
                 m, d, starts, ends = minimizers(data, offsets, length)
-                sid = span_hashes(data, starts, ends)
-                doc = ids[a:b][d]
+                m, sid, doc = _short(m), span_hashes(data, starts, ends), ids[a:b][d]
                 pick = held.value.contains(sid ^ mix(doc.view(np.uint64))) if held else np.ones(len(m), bool)
+                if hot:
+                    pick &= hot.value.contains(m.astype(np.int64).view(np.uint64)) == want_hot
                 m, sid, doc, starts, ends = m[pick], sid[pick], doc[pick], starts[pick], ends[pick]
                 sizes = ends - starts
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 where = np.repeat(starts - at[:-1], sizes) + np.arange(at[-1])
                 strings = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data[where].tobytes())])
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (m.view(np.int64), sid.view(np.int64), doc)), strings], names=["m", "sid", "least", "string"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (m, sid.view(np.int64), doc)), strings], names=["m", "sid", "least", "string"])
 
-    return docs.mapInArrow(run, "m LONG, sid LONG, least LONG, string BINARY")
+    return docs.mapInArrow(run, "m INT, sid LONG, least LONG, string BINARY")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -142,135 +152,135 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select("sid", "least").mapInArrow(run, "pair LONG")
 
 
-def suffix_array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols (byte + 1; 0 ends a string) of the strings in a row, their sorted suffixes, and each position's string."""
-    sizes = np.array([len(s) + 1 for s in strings])
-    symbols = np.zeros(sizes.sum(), np.uint16)
-    owner = np.repeat(np.arange(len(strings)), sizes)
-    ends = np.cumsum(sizes) - 1
-    inside = np.ones(len(symbols), bool)
-    inside[ends] = False
-    symbols[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
-    n = len(symbols)
-    rank = symbols.astype(np.int64) + len(strings)
-    rank[ends] = np.arange(len(strings))  # ends differ, so no comparison goes past one
-    step, order = 1, None
-    while True:
-        after = np.zeros(n, np.int64)
-        after[:-step] = rank[step:] + 1
-        key = rank * (max(n, 300) + len(strings) + 300) + after
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        step *= 2
-        if fresh[-1] == n - 1 or step >= n:
-            return symbols, order, owner
-
-
-def transform(symbols: np.ndarray, order: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol before each sorted suffix, and the row of the suffix it leads to."""
-    before = symbols[order - 1]  # what stands before a string's first byte is the end of the one before it
-    before[order == 0] = 0
-    first = np.concatenate([[True], owner[1:] != owner[:-1]])
-    row = np.empty(len(order), np.int64)
-    row[order] = np.arange(len(order))
-    ends = np.flatnonzero(np.concatenate([owner[1:] != owner[:-1], [True]]))
-    lead = np.where(first[order], ends[owner[order]], order - 1)  # a string leads back to its own end
-    return before, row[lead]
-
-
-def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all transforms in the order of their first ``depth`` symbols, and the block of each.
-
-    Rows are numbered through all shards. The interleave starts as shard after shard.
+class Symbols:
+    """Strings in a row, each read as a ring with an end mark (0; bytes are 1 to 256).
+
+    ``code(k)`` ranks the ``k`` symbols from each position on; ``ends(k)`` says which hold an end.
     """
-    base = np.cumsum([0] + [len(b) for b, _ in shards])
-    symbol = np.concatenate([b for b, _ in shards])
-    lead = np.concatenate([f + k for (_, f), k in zip(shards, base)])
-    order, block = np.arange(len(symbol)), np.zeros(len(symbol), np.int64)
-    for _ in range(depth):
-        read = symbol[order]
+
+    def __init__(self, strings: list[bytes]):
+        sizes = np.array([len(s) + 1 for s in strings])
+        self.size = int(sizes.sum())
+        self.owner = np.repeat(np.arange(len(strings)), sizes)
+        self.first = np.cumsum(sizes) - sizes
+        self.rings = np.repeat(sizes, sizes)
+        self.offset = np.arange(self.size) - self.first[self.owner]
+        self.symbols = np.zeros(self.size, np.uint64)
+        self.symbols[self.offset < self.rings - 1] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64) + np.uint64(1)
+
+    def shift(self, k: int) -> np.ndarray:
+        """The position ``k`` further on (or back) around each position's ring."""
+        return self.first[self.owner] + (self.offset + k) % self.rings
+
+    def code(self, k: int) -> np.ndarray:
+        packed = np.zeros(self.size, np.uint64)
+        for i in range(k):
+            packed = packed << np.uint64(9) | self.symbols[self.shift(i)]
+        values, ranks = np.unique(packed, return_inverse=True)
+        return ranks.astype(np.uint16 if len(values) <= 1 << 16 else np.int64)  # 16 bits sort by radix
+
+    def ends(self, k: int) -> np.ndarray:
+        return self.offset + k > self.rings - 1
+
+
+def suffix_array(text: Symbols, code: np.ndarray, lo: int, hi: int, depth: int) -> np.ndarray:
+    """Positions ``lo`` to ``hi`` in the order of their first ``depth`` symbols or more."""
+    order = np.arange(lo, hi)
+    for k in range((depth + GROUP - 1) // GROUP - 1, -1, -1):
+        at = text.first[text.owner[order]] + (text.offset[order] + k * GROUP) % text.rings[order]
+        order = order[np.argsort(code[at], kind="stable")]
+    return order
+
+
+def merge(text: Symbols, shards: list[np.ndarray], code: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """All positions in the order of their first ``depth`` symbols, and the block of each.
+
+    The interleave starts as shard after shard. A position's transform symbol is the group
+    of symbols before it, and it leads to the position where that group begins.
+    """
+    order, block = np.concatenate(shards), np.zeros(text.size, np.int64)
+    rounds = [(GROUP, code)] * (depth // GROUP) + ([(depth % GROUP, text.code(depth % GROUP))] if depth % GROUP else [])
+    for k, symbol in rounds:
+        lead = text.shift(-k)
+        before, ends = symbol[lead], text.ends(k)[lead]
+        read = before[order]
         dealt = np.argsort(read, kind="stable")
-        read, block = read[dealt], block[dealt]
+        order, block, read = order[dealt], block[dealt], read[dealt]
         border = np.ones(len(read), bool)
-        border[1:] = (read[1:] != read[:-1]) | (block[1:] != block[:-1]) | (read[1:] == 0)  # each end is one of its own
-        order, block = lead[order][dealt], np.cumsum(border) - 1
+        border[1:] = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
+        border |= ends[order]  # what holds an end is like nothing else
+        order, block = lead[order], np.cumsum(border) - 1
     return order, block
 
 
 def repeated(strings: list[bytes], least: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
     """Per string the byte ranges whose windows also occur in a string with a smaller ``least``."""
-    parts, owners, positions = [], [], []
-    for at in range(0, len(strings), SHARD):
-        symbols, order, owner = suffix_array(strings[at : at + SHARD])
-        parts.append(transform(symbols, order, owner))
-        first = np.searchsorted(owner, np.arange(owner[-1] + 1))
-        owners.append(owner[order] + at)
-        positions.append(order - first[owner[order]])
-    order, block = merge(parts, length)
-    owner, position = np.concatenate(owners)[order], np.concatenate(positions)[order]
-    mine = least[owner]
+    text = Symbols(strings)
+    code = text.code(GROUP)
+    cuts = [*text.first[::SHARD].tolist(), text.size]
+    shards = [suffix_array(text, code, a, b, length) for a, b in zip(cuts, cuts[1:])]
+    order, block = merge(text, shards, code, length)
+    mine = least[text.owner[order]]
     lowest = np.full(int(block[-1]) + 1, np.iinfo(np.int64).max)
     np.minimum.at(lowest, block, mine)
-    hit = lowest[block] < mine
+    hit = np.zeros(text.size, bool)
+    hit[order] = lowest[block] < mine
     out: list[list[tuple[int, int]]] = [[] for _ in strings]
-    for s, p in sorted(zip(owner[hit].tolist(), position[hit].tolist())):
+    opens = hit.copy()
+    opens[1:] &= ~hit[:-1]
+    closes = hit.copy()
+    closes[:-1] &= ~hit[1:]
+    # windows that hold an end are never hit, so a run of hits lies in one string
+    for a, b in zip(np.flatnonzero(opens).tolist(), np.flatnonzero(closes).tolist()):
+        s, at = int(text.owner[a]), int(text.first[text.owner[a]])
         ranges = out[s]
-        if ranges and p <= ranges[-1][1]:
-            ranges[-1] = (ranges[-1][0], p + length)
+        if ranges and a - at <= ranges[-1][1]:
+            ranges[-1] = (ranges[-1][0], b - at + length)
         else:
-            ranges.append((p, p + length))
+            ranges.append((a - at, b - at + length))
     return out
 
 
 _RANGES = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-_FOUND = "m LONG, sid LONG, ranges ARRAY<STRUCT<lo: LONG, hi: LONG>>"
+_FOUND = "m INT, sid LONG, ranges ARRAY<STRUCT<lo: LONG, hi: LONG>>"
 
 
 def _inner(points: DataFrame, strings: DataFrame, length: int) -> DataFrame:
     """``m, sid, ranges`` of the strings that hold windows of a smaller document; ``strings``: ``m, sid, least``, saved."""
     counts = save(strings.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     held = fuse.screen(save(_pairs(strings.join(counts.select("m"), "m", "left_semi")).distinct(), "several"), "pair")
-    several = _third_scan(points, length, held)
-    if held is None:
-        several = several.join(counts.select("m"), "m", "left_semi")
-    hot = fuse.screen(counts.where(F.col("n") > HOT).select("m"), "m")
+    crowded = counts.where(F.col("n") > HOT).select(F.col("m").cast("long"))
+    hot = fuse.screen(crowded, "m") if crowded.count() else None
 
     def work(rows):
         # equal strings once, with the smallest document any row has
-        least: dict[tuple[int, bytes], list[int]] = {}
+        least: dict[bytes, list[int]] = {}
         for m, sid, doc, s in zip(*(rows.column(c).to_pylist() for c in ("m", "sid", "least", "string"))):
-            row = least.setdefault((m, s), [doc, sid])
+            row = least.setdefault(s, [doc, m, sid])
             row[0] = min(row[0], doc)
-        found = repeated([s for _, s in least], np.array([r[0] for r in least.values()], np.int64), length)
-        out = [(m, sid, [{"lo": a, "hi": b} for a, b in ranges]) for ((m, _), (_, sid)), ranges in zip(least.items(), found) if ranges]
-        return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), _RANGES))], names=["m", "sid", "ranges"])
-
-    def route(want: bool):
-        def run(batches):
-            for batch in batches:
-                is_hot = hot.value.contains(fuse.ids(batch.column("m"))) if hot else np.ones(batch.num_rows, bool)
-                yield batch.filter(pa.array(is_hot == want))
-
-        return several.mapInArrow(run, several.schema)
+        found = repeated(list(least), np.array([r[0] for r in least.values()], np.int64), length)
+        out = [(m, sid, [{"lo": a, "hi": b} for a, b in ranges]) for (_, m, sid), ranges in zip(least.values(), found) if ranges]
+        return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), _RANGES))], names=["m", "sid", "ranges"])
 
     total = counts.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-total // BIN))
-    merged = route(False).withColumn("bin", F.expr(f"pmod(xxhash64(m), {bins})")).groupBy("bin").applyInArrow(work, _FOUND)
+    some = _third_scan(points, length, held, hot, False)
+    merged = some.withColumn("bin", F.expr(f"pmod(xxhash64(m), {bins})")).groupBy("bin").applyInArrow(work, _FOUND)
+    if hot is None:
+        return merged
 
     def windows(batches):
         for batch in batches:
             ids, sids, least = (batch.column(c).to_pylist() for c in ("m", "sid", "least"))
             rows = [(m, sid, f, k, s[k : k + length]) for m, sid, f, s in zip(ids, sids, least, batch.column("string").to_pylist()) for k in range(len(s) - length + 1)]
-            types = [pa.int64()] * 4 + [pa.binary()]
+            types = [pa.int32(), *[pa.int64()] * 3, pa.binary()]
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["m", "sid", "least", "at", "window"])
 
-    single = route(True).mapInArrow(windows, "m LONG, sid LONG, least LONG, at LONG, window BINARY")
+    single = _third_scan(points, length, held, hot, True).mapInArrow(windows, "m INT, sid LONG, least LONG, at LONG, window BINARY")
     lowest = single.groupBy("window").agg(F.min("least").alias("lowest"), F.max("least").alias("highest")).where("lowest < highest")
     hits = single.join(lowest, "window").where("lowest < least").join(strings.select("m", "sid", "least"), ["m", "sid", "least"], "left_semi")
-    ranges = hits.select("m", "sid", F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))).alias("ranges"))
+    ranges = hits.groupBy("m", "sid").agg(F.collect_list(F.struct(F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))).alias("ranges"))
     return merged.unionByName(ranges)
 
 
@@ -310,12 +320,12 @@ def removed_ranges(points: DataFrame, length: int = LENGTH) -> DataFrame:
     occurrences = save(found, "occurrences")
     strings = save(occurrences.groupBy("m", "sid").agg(F.min("doc").alias("least")), "strings")
     inner = save(_inner(points, strings, length), "inner")
-    seen = save(occurrences.join(strings, ["m", "sid"]).join(
-        inner, ["m", "sid"], "left").where("doc > least OR ranges IS NOT NULL").select("doc", "key", "start", "size", "least", "ranges"), "seen")
-    whole = seen.where("doc > least").select("doc", "key", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
-    first = seen.where("doc = least").select("doc", "key", "start", F.explode("ranges").alias("r"))
-    first = first.select("doc", "key", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi")).alias("hi"))
-    return whole.unionByName(first).groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    known = occurrences.join(strings, ["m", "sid"]).join(inner, ["m", "sid"], "left")
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("size").cast("long").alias("hi")))
+    lost = known.withColumn("lost", F.when(F.col("doc") > F.col("least"), everything).otherwise(F.col("ranges")))
+    lost = lost.select("doc", "key", "start", F.explode("lost").alias("r"))
+    span = F.struct((F.col("start") + F.col("r.lo")).cast("int").alias("lo"), (F.col("start") + F.col("r.hi")).cast("int").alias("hi"))
+    return lost.groupBy("doc", "key").agg(F.collect_list(span).alias("ranges"))
 
 
 def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from .words import BLANK, runs, span_hashes
 
 #: Words a worker remembers, about 100 MB; the table starts anew beyond that.
-TABLE_WORDS = 1_200_000
+TABLE_WORDS = 800_000
 
 
 class WordTable:
@@ -121,7 +121,7 @@ class PartEncoder:
         return got
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > TABLE_WORDS:
+        if len(self.known) > TABLE_WORDS // 2:
             self.known.clear()
         out = []
         for w in words:
