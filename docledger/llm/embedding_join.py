@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
@@ -30,7 +31,7 @@ from .tables import save
 
 COSINE = 0.93
 BLOCK = 8  # dimensions
-CHUNK = 1024
+CHUNK = 2048
 SEED = 3
 SLACK = 1e-9
 _ROTATIONS: dict[int, np.ndarray] = {}
@@ -44,8 +45,14 @@ def rotation(size: int) -> np.ndarray:
     return _ROTATIONS[size]
 
 
-def units(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
+def matrix(column, size: int) -> np.ndarray:
+    """An Arrow column of vectors of one size as rows of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+
+
+def units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
 
 
@@ -67,12 +74,12 @@ def strips(points: DataFrame, cosine: float, vector: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = batch.column("vector").to_pylist()
-            sizes = np.array([len(r) for r in rows])
+            vectors = batch.column("vector")
+            sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
             take, block_of, strip_of = [], [], []
             for size in np.unique(sizes):
                 here = np.flatnonzero(sizes == size)
-                y = units([rows[i] for i in here]) @ rotation(int(size))
+                y = units(matrix(vectors.take(pa.array(here)), int(size))) @ rotation(int(size))
                 for k, ((a, _), share) in enumerate(zip(_blocks(int(size)), _shares(int(size), budget))):
                     radius = np.sqrt(share)
                     at = y[:, a] / (2 * radius)
@@ -97,7 +104,7 @@ def _join(cosine: float):
     def run(group, rows):
         _, size, block, strip, lo, hi = (g.as_py() for g in group)
         rep, copies = rows.column("rep").to_numpy(), rows.column("copies").to_numpy()
-        u = units(rows.column("vector").to_pylist())
+        u = units(matrix(rows.column("vector"), size))
         y = u @ rotation(size)
         blocks, shares = _blocks(size), _shares(size, budget)
         home = np.floor(y[:, blocks[block][0]] / (2 * np.sqrt(shares[block])))

@@ -2,7 +2,8 @@
 
 Each page becomes a response (or a revisit of an equal payload), a request and a metadata
 record; the other two name the first as concurrent to them. Spark's text writer puts a
-record per line with the record terminator as line separator, so its files are archives.
+record per line with the record terminator as line separator, so its files are archives
+(gzip-compressed).
 Files are read whole (their size is bounded by ``FILE_BYTES`` or one record), parsed by
 length, and the records are joined through their concurrent-to identifiers. Payloads are
 hashed where they are read and shuffled only if asked for.
@@ -91,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str =
     longest = prints.agg(F.max("n")).first()[0] or 0
     records = rows.withColumn("capture", capture).select(F.explode(F.array(head, request, metadata)).alias("value"))
     per_file = max(3, min(30_000, FILE_BYTES // (longest + 2048)))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    records.write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
     return plan
 
 
