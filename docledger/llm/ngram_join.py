@@ -17,10 +17,7 @@ neighbour within 1 - threshold may be:
 * The other regions are joined again, those with one pivot together: two members of
   different components are tested if the triangle inequality lets them, that is if their
   distances to the pivot differ by no more than 1 - threshold. Large cells are cut into
-  chunks, and pairs of chunks are joined in tasks of their own, which give only links.
-* If regions remain that their pivot cannot split, as most of their members are far from
-  it, their shingles move to the end of the order too and the join starts again with the
-  components found so far.
+  chunks, and pairs of chunks are joined in tasks of their own.
 
 All links between different components are tested, so components are exact. Before sets of
 whole texts move, a pair must pass a bound on 256-byte sketches: each bit in which two
@@ -47,13 +44,11 @@ from .words import chunks, shingle_sets
 
 PERCENT = 80
 WORDS = 5
-#: Members a cell may have to be joined by rows; larger cells are joined chunk by chunk.
+#: Members a cell may have to be joined by rows; one of n is joined in sqrt(n / CHUNK) chunks.
 CELL = 48
-CHUNK = 128
+CHUNK = 32
 #: Shingles that may be put at the end of the order at a time: 8 MB.
 MOVED = 1_000_000
-#: Turns at most. Later turns only spare time: the last one tests whatever is left.
-TURNS = 3
 SKETCH_BITS = 2048
 ONE_SET = "doc_id LONG, text_key LONG, n_shingles LONG, sig BINARY, sketch BINARY, s LONG, seen LONG"
 
@@ -172,101 +167,69 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x")))
 
 
-def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Sizes of all intersections of a chunk's sets, by blocks of a 0/1 matrix."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.cumsum(seen > 1) - 1
-    pick = seen[column] > 1
-    owner, column = owner[pick], shared[column[pick]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
-        a, b = np.searchsorted(column, [at, at + columns])
-        block = np.zeros((len(sets), columns), np.float32)
-        block[owner[a:b], column[a:b] - at] = 1
-        out += block @ block.T
-    return out.astype(np.int64)
-
-
-def _chunk_join(percent: int):
+def _chunk_join(percent: int, tile: int = 256):
+    """Pairs of different components in a pair of chunks that sizes, sketches and windows allow."""
     width = (100 - percent) / 100 + 1e-9
 
     def run(group, rows):
         lo, hi = group[1].as_py(), group[2].as_py()
-        data = {k: rows.column(k).to_numpy(zero_copy_only=False) for k in ("x", "n", "c", "d", "part")}
-        sets = [np.asarray(v, np.int64) for v in rows.column("items").to_pylist()]
-        both = overlaps(sets)
-        n, d = data["n"], data["d"].astype(float)
-        gap = np.abs(d[:, None] - d[None])
-        near = 100 * both >= percent * (n[:, None] + n[None] - both)
-        near &= (data["c"][:, None] != data["c"][None]) & ~(gap > width)
-        if lo != hi:
-            near &= data["part"][:, None] != data["part"][None]
-        a, b = np.nonzero(np.triu(near, 1))
-        root = {v: v for v in data["c"].tolist()}
+        x, n, c, d, part = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("x", "n", "c", "d", "part"))
+        d = d.astype(float)
+        bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(x), -1)
+        left = np.flatnonzero(part == lo)
+        right = left if lo == hi else np.flatnonzero(part == hi)
         out = []
-        for i, j in zip(a.tolist(), b.tolist()):  # a link is worth giving if it joins components
-            p, q = data["c"][i].item(), data["c"][j].item()
-            while root[p] != p:
-                p = root[p]
-            while root[q] != q:
-                q = root[q]
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out.append((data["x"][i].item(), data["x"][j].item()))
-        return pa.table([pa.array([v[0] for v in out], pa.int64()), pa.array([v[1] for v in out], pa.int64())], names=["a", "b"])
+        for at in range(0, len(left), tile):
+            p = left[at : at + tile]
+            for to in range(0, len(right), tile):
+                q = right[to : to + tile]
+                total = n[p][:, None] + n[q][None]
+                may = 100 * np.minimum(n[p][:, None], n[q][None]) >= percent * np.maximum(n[p][:, None], n[q][None])
+                may &= (c[p][:, None] != c[q][None]) & ~(np.abs(d[p][:, None] - d[q][None]) > width)
+                if lo == hi:
+                    may &= p[:, None] < q[None]
+                i, j = np.nonzero(may)
+                apart = np.bitwise_count(bits[p[i]] ^ bits[q[j]]).sum(1, dtype=np.int64)
+                keep = apart * (100 + percent) <= (100 - percent) * total[i, j]
+                out.append((p[i[keep]], q[j[keep]]))
+        i, j = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+        a, b = np.where(x[i] < x[j], i, j), np.where(x[i] < x[j], j, i)
+        return pa.table([pa.array(v) for v in (x[a], x[b], n[a], n[b])], names=["a", "b", "na", "nb"])
 
     return run
 
 
-def links(docs: DataFrame, frequent: np.ndarray, sketches: DataFrame, percent: int = PERCENT, words: int = WORDS, cell: int = CELL, chunk: int = CHUNK, turns: int = TURNS) -> DataFrame:
+def links(docs: DataFrame, frequent: np.ndarray, sketches: DataFrame, percent: int = PERCENT, words: int = WORDS, cell: int = CELL) -> DataFrame:
     """``a, b``: links that connect what the threshold connects. ``docs``: ``doc_id, _text``, one row per set."""
-    spark = docs.sparkSession
-    found = checked = None
     size_fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    for turn in range(turns):
-        moved = spark.sparkContext.broadcast(np.sort(frequent))
-        counted = anchors(docs, moved, percent, words).groupBy("s").agg(F.min("x").alias("least"), F.max("x").alias("most"))
-        shared = save(counted.where("least < most").select("s"), "shared")
-        held = fuse.screen(shared, "s")
-        members = save(anchors(docs, moved, percent, words, held), "members")
-        hub = F.min(F.struct("own", "x", "n")).alias("hub")
-        regions = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"), hub).where("size > 1")
-        regions = save(regions.select("s", "size", F.col("hub.x").alias("pivot"), F.col("hub.n").alias("np")), "regions")
-        members = save(members.join(regions, "s").where("x != pivot"), "placed")
-        # distances to pivots
-        pairs = members.select(F.col("pivot").alias("a"), F.col("x").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb"))
-        pairs = pairs.where(size_fits).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = save(_possible(pairs, sketches, percent), "pairs")
-        sets = save(whole_sets(docs, save(_ids(pairs).distinct(), "ids"), words), "sets")
-        tested = save(_with_sets(pairs, sets), "tested")
-        near = tested.where(_near(percent)).select("a", "b")
-        found = near if found is None else found.unionByName(near)
-        checked = tested if checked is None else checked.unionByName(tested)
-        comp = save(components(found), "components").select(F.col("node").alias("x"), F.col("component").alias("c"))
-        # regions that hold several components beside their pivot
-        gap = checked.select(F.col("a").alias("pivot"), F.col("b").alias("x"), F.expr("1 - both / (na + nb - both)").alias("d"))
-        named = members.where("size > 2").join(comp, "x", "left").withColumn("c", F.coalesce("c", "x"))
-        named = save(named.join(gap, ["pivot", "x"], "left").select("s", "pivot", "x", "n", "c", "d"), "named")
-        mixed = named.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("size"),
-                                       F.sum(F.expr("int(d <= 0.5)")).alias("close"))
-        mixed = save(mixed.where("least < most").select("s", "size", "close"), "mixed")
-        stuck = mixed.where((F.col("size") > cell) & (F.coalesce("close", F.lit(0)) * 2 < F.col("size")))
-        again = [r["s"] for r in stuck.orderBy(F.desc("size"), "s").limit(MOVED).collect()] if turn + 1 < turns else []
-        again = np.setdiff1d(np.array(again, np.int64).view(np.uint64), frequent)
-        if not len(again):
-            left = named.join(mixed.select("s"), "s", "left_semi")
-            return found.unionByName(_cells(docs, left, checked, sets, sketches, percent, words, cell, chunk, size_fits))
-        frequent = np.union1d(frequent, again)
-
-
-def _cells(docs, left, checked, sets, sketches, percent, words, cell, chunk, size_fits) -> DataFrame:
+    moved = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
+    counted = anchors(docs, moved, percent, words).groupBy("s").agg(F.min("x").alias("least"), F.max("x").alias("most"))
+    shared = save(counted.where("least < most").select("s"), "shared")
+    held = fuse.screen(shared, "s")
+    members = save(anchors(docs, moved, percent, words, held), "members")
+    hub = F.min(F.struct("own", "x", "n")).alias("hub")
+    regions = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"), hub).where("size > 1")
+    regions = save(regions.select("s", "size", F.col("hub.x").alias("pivot"), F.col("hub.n").alias("np")), "regions")
+    members = save(members.join(regions, "s").where("x != pivot").drop("own"), "placed")
+    # distances to pivots
+    pairs = members.select(F.col("pivot").alias("a"), F.col("x").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb"))
+    pairs = save(_possible(pairs.where(size_fits).distinct(), sketches, percent), "pairs")
+    sets = save(whole_sets(docs, save(_ids(pairs).distinct(), "ids"), words), "sets")
+    checked = save(_with_sets(pairs, sets), "checked")
+    found = checked.where(_near(percent)).select("a", "b")
+    comp = save(components(found), "components").select(F.col("node").alias("x"), F.col("component").alias("c"))
+    # regions that hold several components beside their pivot
+    gap = checked.select(F.col("a").alias("pivot"), F.col("b").alias("x"), F.expr("1 - both / (na + nb - both)").alias("d"))
+    named = members.where("size > 2").join(comp, "x", "left").withColumn("c", F.coalesce("c", "x")).select("s", "pivot", "x", "n", "c")
+    mixed = named.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+    left = named.join(save(mixed.select("s"), "mixed"), "s", "left_semi").select("pivot", "x", "n", "c").distinct()
+    left = left.join(gap, ["pivot", "x"], "left")
+    return found.unionByName(_cells(docs, left, checked, sets, sketches, percent, words, cell, size_fits))
+
+
+def _cells(docs, left, checked, sets, sketches, percent, words, cell, size_fits) -> DataFrame:
     """Links among the members of each pivot that are not yet in one component."""
-    left = left.select("pivot", "x", "n", "c", "d").distinct()
+    left = save(left, "left")
     counts = left.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
     left = save(left.join(counts, "pivot"), "cells")
     few, many = left.where(F.col("size") <= cell), left.where(F.col("size") > cell)
@@ -275,16 +238,18 @@ def _cells(docs, left, checked, sets, sketches, percent, words, cell, chunk, siz
     window = F.expr(f"da IS NULL OR db IS NULL OR abs(da - db) <= {(100 - percent) / 100 + 1e-9}")
     more = p.join(q, "pivot").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size_fits & window)
     more = more.select("a", "b", "na", "nb").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = save(_possible(more, sketches, percent), "more")
-    many = many.withColumn("chunks", F.ceil(F.col("size") / chunk)).withColumn("part", F.expr("pmod(xxhash64(x), chunks)"))
+    more = _possible(more, sketches, percent)
+    chunks_of = F.ceil(F.sqrt(F.col("size") / CHUNK)).cast("long")  # grow as the chunks do
+    many = many.withColumn("chunks", chunks_of).withColumn("part", F.expr("pmod(xxhash64(x), chunks)"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    many = many.withColumn("other", other).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
-    ids = _ids(more).unionByName(many.select("x")).distinct()
-    ids = save(ids.join(sets.select("x"), "x", "left_anti"), "ids")
+    many = many.join(sketches, "x").withColumn("other", other).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+    tasks = many.select("pivot", "lo", "hi", "part", "x", "n", "c", "d", "sketch").groupBy("pivot", "lo", "hi")
+    far = tasks.applyInArrow(_chunk_join(percent), "a LONG, b LONG, na LONG, nb LONG").distinct()
+    far = far.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    more = save(more.unionByName(far).distinct(), "more")
+    ids = save(_ids(more).distinct().join(sets.select("x"), "x", "left_anti"), "ids")
     sets = sets.unionByName(save(whole_sets(docs, ids, words), "sets"))
-    tasks = many.select("pivot", "lo", "hi", "part", "x", "n", "c", "d").join(sets, "x").groupBy("pivot", "lo", "hi")
-    far = tasks.applyInArrow(_chunk_join(percent), "a LONG, b LONG")
-    return far.unionByName(_with_sets(more, sets).where(_near(percent)).select("a", "b"))
+    return _with_sets(more, sets).where(_near(percent)).select("a", "b")
 
 
 def _near(percent: int):

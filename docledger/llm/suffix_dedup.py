@@ -42,7 +42,8 @@ from .tables import save, text_key, without
 from .words import chunks, mix, span_hashes
 
 LENGTH = 50
-GRAM = 12
+#: Bytes of a minimizer's gram: long enough that unrelated texts seldom share one.
+GRAM = 24
 #: Windows a string may have, so that texts of one repeated word give short strings too.
 WINDOWS = 256
 #: Distinct strings of one minimizer that are merged in one bin, strings in a bin and shard.
