@@ -203,8 +203,8 @@ def links(docs: DataFrame, frequent: np.ndarray, sketches: DataFrame, percent: i
     """``a, b``: links that connect what the threshold connects. ``docs``: ``doc_id, _text``, one row per set."""
     size_fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     moved = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
-    counted = anchors(docs, moved, percent, words).groupBy("s").agg(F.min("x").alias("least"), F.max("x").alias("most"))
-    shared = save(counted.where("least < most").select("s"), "shared")
+    counted = anchors(docs, moved, percent, words).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    shared = save(counted.where("n > 1").select("s"), "shared")
     held = fuse.screen(shared, "s")
     members = save(anchors(docs, moved, percent, words, held), "members")
     hub = F.min(F.struct("own", "x", "n")).alias("hub")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text worked on at once; numpy holds some tens of bytes per byte of text.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
