@@ -89,7 +89,7 @@ def reported_score(reported: Column) -> Column:
 
     def clamp(d: Column) -> Column:
         return F.when(
-            d.isNotNull() & (F.abs(d) < 1e300),
+            d.isNotNull() & (F.abs(d) < F.lit(float("inf"))),  # NaN is above infinity
             round_int(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.rint(d)))),
         )
 

@@ -60,9 +60,10 @@ def cache_key(type_key: Column, prompt_version: Column, sha1: Column) -> Column:
 
 
 def cache_entries(cache: DataFrame) -> DataFrame:
-    """Latest readable payload per key; a corrupt payload is a miss."""
+    """Latest readable payload per key, of equally late ones that of the largest hash; a corrupt payload is a miss."""
     readable = cache.where(F.try_parse_json("payload").isNotNull())
-    return readable.groupBy("cache_key").agg(F.max_by("payload", "stored_at").alias("payload"))
+    latest = F.max_by("payload", F.struct("stored_at", F.xxhash64("payload")))
+    return readable.groupBy("cache_key").agg(latest.alias("payload"))
 
 
 def cache_split(documents: DataFrame, cache: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 << 20
@@ -39,14 +39,14 @@ def fits_broadcast(
 def hot_keys(fact: DataFrame, keys: list[str], share: float, min_rows: int) -> list:
     """Keys that hold at least ``share`` of the rows: never more than ``1/share`` of them.
 
-    Counts are combined map-side, and only the top few reach the driver.
+    ``fact`` is read once: counts are combined map-side, their sum is observed on the way,
+    and only the top few reach the driver.
     """
-    total = fact.count()
-    floor = max(total * share, min_rows)
-    if floor > total:
-        return []
-    counts = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= floor)
-    return counts.orderBy(F.desc("n")).limit(math.ceil(1 / share)).collect()
+    seen = Observation()
+    counts = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).observe(seen, F.sum("n").alias("total"))
+    top = counts.orderBy(F.desc("n")).limit(math.ceil(1 / share)).collect()
+    floor = max((seen.get["total"] or 0) * share, min_rows)
+    return [r for r in top if r["n"] >= floor]
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -75,6 +75,8 @@ def lookup_join(
     where they are costly (a hash of all text): the join then relies on adaptive
     execution, which splits an oversized partition of the fact side by measured bytes.
     """
+    if how.replace("_", "") in ("right", "rightouter", "full", "outer", "fullouter"):
+        raise ValueError(f"a {how} join keeps rows of the side that salting repeats")
     keys = [on] if isinstance(on, str) else list(on)
     if measure_dim and fits_broadcast(dim, max_rows):
         return fact.join(F.broadcast(dim), keys, how)
@@ -82,7 +84,7 @@ def lookup_join(
     if not hot:
         return fact.join(dim, keys, how)
     spread = [c for c, t in fact.dtypes if not t.startswith(("map", "variant"))]
-    row_salt = F.pmod(F.xxhash64(*spread, F.monotonically_increasing_id()), F.lit(salts))
+    row_salt = F.pmod(F.xxhash64(*spread), F.lit(salts))  # of columns only: a task run again deals alike
 
     def is_hot() -> Column:
         return _any(
