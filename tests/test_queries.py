@@ -38,7 +38,9 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 1500
-    assert set(entry_module.oracle_sql()) == set(entry_module.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 def plan_of(df) -> str:
