@@ -12,11 +12,12 @@ neighbour within 1 - threshold may be:
   shingles seen to be frequent last, so a passage that many documents share makes regions
   only where it is most of a document. Any order is exact; this one keeps regions small.
 * A region's pivot is the member with the fewest shingles of its own, as a hub of its near
-  copies would have. All distances to pivots are taken exactly, and the links to pivots
-  give first components. A region in one component by then is done.
+  copies would have. Each document's distance to the pivot most like it is taken exactly,
+  and those links give first components; distances to its other pivots are taken where
+  they could join two components. A region in one component by then is done.
 * The other regions are joined again, those with one pivot together: two members of
-  different components are tested if the triangle inequality lets them, that is if their
-  distances to the pivot differ by no more than 1 - threshold. Large cells are cut into
+  different components are tested if the triangle inequality lets them, that is unless
+  their distances to the pivot are known and differ by more than 1 - threshold. Large cells are cut into
   chunks, and pairs of chunks are joined in tasks of their own.
 
 All links between different components are tested, so components are exact. Before sets of
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import fuse
 from .components import components
-from .tables import save, text_key, without
+from .tables import save, small, text_key, without
 from .words import chunks, shingle_sets
 
 PERCENT = 80
@@ -47,6 +48,10 @@ WORDS = 5
 #: Members a cell may have to be joined by rows; one of n is joined in sqrt(n / CHUNK) chunks.
 CELL = 48
 CHUNK = 32
+#: Pairs that share one copy of their pivot's set.
+FAN = 64
+#: Pairs of five longs that may be broadcast to the sets: about 64 MB.
+PAIRS = 1_000_000
 #: Shingles that may be put at the end of the order at a time: 8 MB.
 MOVED = 1_000_000
 SKETCH_BITS = 2048
@@ -137,16 +142,25 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "x LONG, items ARRAY<LONG>")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add ``both``, the size of the intersection, to pairs ``a, b``."""
-    left = sets.select(F.col("x").alias("a"), F.col("items").alias("left"))
-    right = sets.select(F.col("x").alias("b"), F.col("items").alias("right"))
-    both = F.size(F.array_intersect("left", "right")).cast("long")
-    return pairs.join(left, "a").join(right, "b").withColumn("both", both).drop("left", "right")
+def _measured(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Add ``both``, the size of the intersection, to pairs ``a, b, na, nb`` (a saved table).
+
+    The set of ``b`` moves once for each pair, that of ``a`` once for every ``FAN`` pairs, so
+    a pivot of many documents is spread over many tasks.
+    """
+    fans = save(pairs.groupBy(F.col("a").alias("x")).agg(F.ceil(F.count(F.lit(1)) / FAN).cast("long").alias("fans")), "fans")
+    dealt = pairs.join(small(fans), F.col("a") == F.col("x")).withColumn("fan", F.expr("pmod(xxhash64(b), fans)"))
+    dealt = save(dealt.select("a", F.col("b").alias("x"), "na", "nb", "fan"), "dealt")
+    ids = save(dealt.select("x").distinct(), "ids")
+    right = whole_sets(docs, ids, words).withColumnRenamed("items", "right").join(small(dealt, PAIRS), "x")
+    left = whole_sets(docs, fans.select("x"), words).join(small(fans), "x")
+    left = left.select(F.col("x").alias("a"), F.explode(F.expr("sequence(0L, fans - 1)")).alias("fan"), F.col("items").alias("left"))
+    both = F.size(F.array_intersect("left", "right")).cast("long").alias("both")
+    return right.join(left, ["a", "fan"]).select("a", F.col("x").alias("b"), "na", "nb", both)
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b, na, nb`` whose sketches don't rule the threshold out."""
+    """The pairs ``a, b, na, nb`` whose sketches don't rule the threshold out, and the bits they differ in."""
 
     def run(batches):
         for batch in batches:
@@ -155,16 +169,12 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             apart = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
             # at the threshold the sets differ in (1 - t) / (1 + t) of the sum of their sizes
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            keep = pa.array(apart * (100 + percent) <= (100 - percent) * total)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
+            batch = batch.append_column("apart", pa.array(apart))
+            yield batch.select(["a", "b", "na", "nb", "apart"]).filter(pa.array(apart * (100 + percent) <= (100 - percent) * total))
 
     left = sketches.select(F.col("x").alias("a"), F.col("sketch").alias("left"))
     right = sketches.select(F.col("x").alias("b"), F.col("sketch").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(run, "a LONG, b LONG, na LONG, nb LONG").distinct()
-
-
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(run, "a LONG, b LONG, na LONG, nb LONG, apart LONG").distinct()
 
 
 def _chunk_join(percent: int, tile: int = 256):
@@ -214,20 +224,31 @@ def links(docs: DataFrame, frequent: np.ndarray, sketches: DataFrame, percent: i
     # distances to pivots
     pairs = members.select(F.col("pivot").alias("a"), F.col("x").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb"))
     pairs = save(_possible(pairs.where(size_fits).distinct(), sketches, percent), "pairs")
-    sets = save(whole_sets(docs, save(_ids(pairs).distinct(), "ids"), words), "sets")
-    checked = save(_with_sets(pairs, sets), "checked")
+    # each document's most similar pivot first, the others only across components
+    least = F.min(F.struct("apart", "a", "na", "nb")).alias("p")
+    first = save(pairs.groupBy("b").agg(least).select("p.a", "b", "p.na", "p.nb"), "first")
+    checked = save(_measured(first, docs, words), "checked")
     found = checked.where(_near(percent)).select("a", "b")
-    comp = save(components(found), "components").select(F.col("node").alias("x"), F.col("component").alias("c"))
+    comp = save(components(found), "components")
+    rest = pairs.drop("apart").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        name = comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        rest = rest.join(name, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    rest = save(_measured(save(rest.where("ca != cb").drop("ca", "cb"), "rest"), docs, words), "checked")
+    more = rest.where(_near(percent)).select("a", "b")
+    comp = components(more.unionByName(comp.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+    comp = save(comp, "components").select(F.col("node").alias("x"), F.col("component").alias("c"))
+    checked, found = checked.unionByName(rest), found.unionByName(more)
     # regions that hold several components beside their pivot
     gap = checked.select(F.col("a").alias("pivot"), F.col("b").alias("x"), F.expr("1 - both / (na + nb - both)").alias("d"))
     named = members.where("size > 2").join(comp, "x", "left").withColumn("c", F.coalesce("c", "x")).select("s", "pivot", "x", "n", "c")
     mixed = named.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
     left = named.join(save(mixed.select("s"), "mixed"), "s", "left_semi").select("pivot", "x", "n", "c").distinct()
     left = left.join(gap, ["pivot", "x"], "left")
-    return found.unionByName(_cells(docs, left, checked, sets, sketches, percent, words, cell, size_fits))
+    return found.unionByName(_cells(docs, left, checked, sketches, percent, words, cell, size_fits))
 
 
-def _cells(docs, left, checked, sets, sketches, percent, words, cell, size_fits) -> DataFrame:
+def _cells(docs, left, checked, sketches, percent, words, cell, size_fits) -> DataFrame:
     """Links among the members of each pivot that are not yet in one component."""
     left = save(left, "left")
     counts = left.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
@@ -238,7 +259,7 @@ def _cells(docs, left, checked, sets, sketches, percent, words, cell, size_fits)
     window = F.expr(f"da IS NULL OR db IS NULL OR abs(da - db) <= {(100 - percent) / 100 + 1e-9}")
     more = p.join(q, "pivot").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size_fits & window)
     more = more.select("a", "b", "na", "nb").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = _possible(more, sketches, percent)
+    more = _possible(more, sketches, percent).drop("apart")
     chunks_of = F.ceil(F.sqrt(F.col("size") / CHUNK)).cast("long")  # grow as the chunks do
     many = many.withColumn("chunks", chunks_of).withColumn("part", F.expr("pmod(xxhash64(x), chunks)"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
@@ -247,9 +268,7 @@ def _cells(docs, left, checked, sets, sketches, percent, words, cell, size_fits)
     far = tasks.applyInArrow(_chunk_join(percent), "a LONG, b LONG, na LONG, nb LONG").distinct()
     far = far.join(checked.select("a", "b"), ["a", "b"], "left_anti")
     more = save(more.unionByName(far).distinct(), "more")
-    ids = save(_ids(more).distinct().join(sets.select("x"), "x", "left_anti"), "ids")
-    sets = sets.unionByName(save(whole_sets(docs, ids, words), "sets"))
-    return _with_sets(more, sets).where(_near(percent)).select("a", "b")
+    return _measured(more, docs, words).where(_near(percent)).select("a", "b")
 
 
 def _near(percent: int):
