@@ -50,6 +50,8 @@ CELL = 48
 CHUNK = 32
 #: Pairs that share one copy of their pivot's set.
 FAN = 64
+#: Turns in which the first pairs are measured; each has its share of the sets on disk.
+ROUNDS = 4
 #: Pairs of five longs that may be broadcast to the sets: about 64 MB.
 PAIRS = 1_000_000
 #: Shingles that may be put at the end of the order at a time: 8 MB.
@@ -142,21 +144,29 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "x LONG, items ARRAY<LONG>")
 
 
-def _measured(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def _measured(pairs: DataFrame, docs: DataFrame, words: int, rounds: int = 1) -> DataFrame:
     """Add ``both``, the size of the intersection, to pairs ``a, b, na, nb`` (a saved table).
 
     The set of ``b`` moves once for each pair, that of ``a`` once for every ``FAN`` pairs, so
-    a pivot of many documents is spread over many tasks.
+    a pivot of many documents is spread over many tasks. Pairs are dealt to ``rounds``, and
+    the sets that a round has moved are dropped before the next one.
     """
-    fans = save(pairs.groupBy(F.col("a").alias("x")).agg(F.ceil(F.count(F.lit(1)) / FAN).cast("long").alias("fans")), "fans")
-    dealt = pairs.join(small(fans), F.col("a") == F.col("x")).withColumn("fan", F.expr("pmod(xxhash64(b), fans)"))
-    dealt = save(dealt.select("a", F.col("b").alias("x"), "na", "nb", "fan"), "dealt")
-    ids = save(dealt.select("x").distinct(), "ids")
-    right = whole_sets(docs, ids, words).withColumnRenamed("items", "right").join(small(dealt, PAIRS), "x")
-    left = whole_sets(docs, fans.select("x"), words).join(small(fans), "x")
-    left = left.select(F.col("x").alias("a"), F.explode(F.expr("sequence(0L, fans - 1)")).alias("fan"), F.col("items").alias("left"))
-    both = F.size(F.array_intersect("left", "right")).cast("long").alias("both")
-    return right.join(left, ["a", "fan"]).select("a", F.col("x").alias("b"), "na", "nb", both)
+    fans = save(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("long").alias("fans")), "fans")
+    dealt = pairs.join(small(fans), "a").withColumn("fan", F.expr("pmod(xxhash64(b), fans)"))
+    dealt = dealt.select("a", F.col("b").alias("x"), "na", "nb", "fan", F.expr(f"pmod(xxhash64(a, fan), {rounds})").alias("turn"))
+    dealt = save(dealt, "dealt")
+    out = None
+    for turn in range(rounds):
+        mine = dealt.where(F.col("turn") == turn).drop("turn")
+        heads = save(mine.select(F.col("a").alias("x"), "fan").distinct(), "heads")
+        right = whole_sets(docs, save(mine.select("x").distinct(), "ids"), words).withColumnRenamed("items", "right")
+        left = whole_sets(docs, save(heads.select("x").distinct(), "ids"), words).join(small(heads), "x")
+        left = left.select(F.col("x").alias("a"), "fan", F.col("items").alias("left"))
+        both = F.size(F.array_intersect("left", "right")).cast("long").alias("both")
+        sized = right.join(small(mine, PAIRS), "x").join(left, ["a", "fan"]).select("a", F.col("x").alias("b"), "na", "nb", both)
+        sized = save(sized, "sized")
+        out = out.unionByName(sized) if out else sized
+    return out
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -227,14 +237,14 @@ def links(docs: DataFrame, frequent: np.ndarray, sketches: DataFrame, percent: i
     # each document's most similar pivot first, the others only across components
     least = F.min(F.struct("apart", "a", "na", "nb")).alias("p")
     first = save(pairs.groupBy("b").agg(least).select("p.a", "b", "p.na", "p.nb"), "first")
-    checked = save(_measured(first, docs, words), "checked")
+    checked = _measured(first, docs, words, ROUNDS)
     found = checked.where(_near(percent)).select("a", "b")
     comp = save(components(found), "components")
     rest = pairs.drop("apart").join(first.select("a", "b"), ["a", "b"], "left_anti")
     for end in ("a", "b"):
         name = comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
         rest = rest.join(name, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    rest = save(_measured(save(rest.where("ca != cb").drop("ca", "cb"), "rest"), docs, words), "checked")
+    rest = _measured(save(rest.where("ca != cb").drop("ca", "cb"), "rest"), docs, words)
     more = rest.where(_near(percent)).select("a", "b")
     comp = components(more.unionByName(comp.select(F.col("component").alias("a"), F.col("node").alias("b"))))
     comp = save(comp, "components").select(F.col("node").alias("x"), F.col("component").alias("c"))
