@@ -21,8 +21,8 @@ neighbour within 1 - threshold may be:
   chunks, and pairs of chunks are joined in tasks of their own.
 
 All links between different components are tested, so components are exact. Before sets of
-whole texts move, a pair must pass a bound on 256-byte sketches: each bit in which two
-sketches differ is a shingle that only one set holds.
+whole texts move, a pair must pass a bound on sketches of about a bit for each shingle: for
+each bit in which two sketches differ there is a shingle that only one set holds.
 
 Defined results: null, empty and blank texts have empty sets and are linked with nothing.
 A null id takes no part and has a null component. Rows repeated under one id are one
@@ -56,14 +56,34 @@ ROUNDS = 4
 PAIRS = 1_000_000
 #: Shingles that may be put at the end of the order at a time: 8 MB.
 MOVED = 1_000_000
+#: Bits of a sketch at least; longer sets have longer ones.
 SKETCH_BITS = 2048
 ONE_SET = "doc_id LONG, text_key LONG, n_shingles LONG, sig BINARY, sketch BINARY, s LONG, seen LONG"
 
 
 def sketch(items: np.ndarray) -> bytes:
-    bits = np.zeros(SKETCH_BITS, bool)
-    bits[(items % np.uint64(SKETCH_BITS)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
+    """Parities of the shingles in as many cells, a power of two, as there are shingles."""
+    cells = max(SKETCH_BITS, 1 << (max(len(items), 1) - 1).bit_length())
+    counts = np.bincount((items % np.uint64(cells)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(bool)).tobytes()
+
+
+def differing(left: list[bytes], right: list[bytes], block: int = 4096) -> np.ndarray:
+    """Bits in which pairs of sketches differ; the longer of two is folded onto the shorter."""
+    out = np.zeros(len(left), np.int64)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, (p, q) in enumerate(zip(left, right)):
+        alike.setdefault((len(p), len(q)), []).append(k)
+    for every in alike.values():
+        for at in range(0, len(every), block):
+            some = every[at : at + block]
+            p, q = (np.frombuffer(b"".join([side[k] for k in some]), np.uint64).reshape(len(some), -1) for side in (left, right))
+            while p.shape[1] != q.shape[1]:
+                p, q = (p, q) if p.shape[1] > q.shape[1] else (q, p)
+                half = p.shape[1] // 2
+                p = p[:, :half] ^ p[:, half:]
+            out[some] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+    return out
 
 
 def set_sizes(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -174,9 +194,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(n, -1) for c in ("left", "right"))
-            apart = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+            apart = differing(batch.column("left").to_pylist(), batch.column("right").to_pylist())
             # at the threshold the sets differ in (1 - t) / (1 + t) of the sum of their sizes
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             batch = batch.append_column("apart", pa.array(apart))
@@ -195,7 +213,7 @@ def _chunk_join(percent: int, tile: int = 256):
         lo, hi = group[1].as_py(), group[2].as_py()
         x, n, c, d, part = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("x", "n", "c", "d", "part"))
         d = d.astype(float)
-        bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(x), -1)
+        sketches = rows.column("sketch").to_pylist()
         left = np.flatnonzero(part == lo)
         right = left if lo == hi else np.flatnonzero(part == hi)
         out = []
@@ -209,7 +227,7 @@ def _chunk_join(percent: int, tile: int = 256):
                 if lo == hi:
                     may &= p[:, None] < q[None]
                 i, j = np.nonzero(may)
-                apart = np.bitwise_count(bits[p[i]] ^ bits[q[j]]).sum(1, dtype=np.int64)
+                apart = differing([sketches[k] for k in p[i]], [sketches[k] for k in q[j]])
                 keep = apart * (100 + percent) <= (100 - percent) * total[i, j]
                 out.append((p[i[keep]], q[j[keep]]))
         i, j = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))

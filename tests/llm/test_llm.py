@@ -98,6 +98,21 @@ def near_groups(sets):
     return group
 
 
+def test_sketches_bound_the_difference_of_sets():
+    rng = np.random.default_rng(5)
+    shared = rng.integers(1, 1 << 62, 20_000).astype(np.uint64)
+    left, right, true = [], [], []
+    for n, own in ((0, 3), (5, 0), (900, 200), (2000, 90), (2040, 400), (4000, 700), (20_000, 5000)):
+        p = np.unique(np.concatenate([shared[:n], rng.integers(1, 1 << 62, own).astype(np.uint64)]))
+        q = np.unique(shared[:n])
+        left.append(ngram_join.sketch(p))
+        right.append(ngram_join.sketch(q))
+        true.append(len(np.setxor1d(p, q)))
+    apart = ngram_join.differing(left, right, block=2)
+    assert (apart <= np.array(true)).all() and (apart >= np.array(true) * 0.5).all()
+    assert (apart == ngram_join.differing(right, left)).all()
+
+
 def test_ngram_join(docs, empty):
     got = ngram_join.ngram_join(docs).collect()
     assert len(got) == len(ROWS) and ngram_join.ngram_join(empty).count() == 0
