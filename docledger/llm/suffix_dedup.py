@@ -97,6 +97,7 @@ def _first_scan(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _second_scan(docs: DataFrame, length: int, held) -> DataFrame:
+    """Strings of the minimizers in ``held``; without it of all, with whole minimizers to join by."""
     names = ["m", "sid", "doc", "key", "start", "size"]  # m shortened: it only groups here
 
     def run(batches):
@@ -107,10 +108,10 @@ def _second_scan(docs: DataFrame, length: int, held) -> DataFrame:
                 pick = held.value.contains(m) if held else np.ones(len(m), bool)
                 m, d, starts, ends = m[pick], d[pick], starts[pick], ends[pick]
                 sid = span_hashes(data, starts, ends)
-                columns = [_short(m), sid.view(np.int64), ids[a:b][d], keys[a:b][d], (starts - offsets[d]).astype(np.int32), (ends - starts).astype(np.int32)]
+                columns = [_short(m) if held else m.view(np.int64), sid.view(np.int64), ids[a:b][d], keys[a:b][d], (starts - offsets[d]).astype(np.int32), (ends - starts).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return docs.mapInArrow(run, "m INT, sid LONG, doc LONG, key LONG, start INT, size INT")
+    return docs.mapInArrow(run, f"m {'INT' if held else 'LONG'}, sid LONG, doc LONG, key LONG, start INT, size INT")
 
 
 def _short(m: np.ndarray) -> np.ndarray:
@@ -250,8 +251,19 @@ def _inner(points: DataFrame, strings: DataFrame, length: int) -> DataFrame:
     """``m, sid, ranges`` of the strings that hold windows of a smaller document; ``strings``: ``m, sid, least``, saved."""
     counts = save(strings.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     held = fuse.screen(save(_pairs(strings.join(counts.select("m"), "m", "left_semi")).distinct(), "several"), "pair")
-    crowded = counts.where(F.col("n") > HOT).select(F.col("m").cast("long"))
-    hot = fuse.screen(crowded, "m") if crowded.count() else None
+    crowded = save(counts.where(F.col("n") > HOT).select(F.col("m").cast("long")), "crowded")
+    some_crowded = crowded.count() > 0
+    hot = fuse.screen(crowded, "m") if some_crowded else None
+
+    def scanned(want_hot: bool) -> DataFrame:
+        """The third scan, with joins in place of the filters that are too long to broadcast."""
+        out = _third_scan(points, length, held, hot, want_hot)
+        if held is None:
+            out = out.join(strings.select("m", "sid", "least"), ["m", "sid", "least"], "left_semi")
+            out = out.join(counts.select("m"), "m", "left_semi")
+        if some_crowded and hot is None:
+            out = out.join(crowded.select(F.col("m").cast("int")), "m", "left_semi" if want_hot else "left_anti")
+        return out
 
     def work(rows):
         # equal strings once, with the smallest document any row has
@@ -265,9 +277,8 @@ def _inner(points: DataFrame, strings: DataFrame, length: int) -> DataFrame:
 
     total = counts.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-total // BIN))
-    some = _third_scan(points, length, held, hot, False)
-    merged = some.withColumn("bin", F.expr(f"pmod(xxhash64(m), {bins})")).groupBy("bin").applyInArrow(work, _FOUND)
-    if hot is None:
+    merged = scanned(False).withColumn("bin", F.expr(f"pmod(xxhash64(m), {bins})")).groupBy("bin").applyInArrow(work, _FOUND)
+    if not some_crowded:
         return merged
 
     def windows(batches):
@@ -278,7 +289,7 @@ def _inner(points: DataFrame, strings: DataFrame, length: int) -> DataFrame:
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["m", "sid", "least", "at", "window"])
 
-    single = _third_scan(points, length, held, hot, True).mapInArrow(windows, "m INT, sid LONG, least LONG, at LONG, window BINARY")
+    single = scanned(True).mapInArrow(windows, "m INT, sid LONG, least LONG, at LONG, window BINARY")
     lowest = single.groupBy("window").agg(F.min("least").alias("lowest"), F.max("least").alias("highest")).where("lowest < highest")
     hits = single.join(lowest, "window").where("lowest < least").join(strings.select("m", "sid", "least"), ["m", "sid", "least"], "left_semi")
     ranges = hits.groupBy("m", "sid").agg(F.collect_list(F.struct(F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))).alias("ranges"))
@@ -317,7 +328,7 @@ def removed_ranges(points: DataFrame, length: int = LENGTH) -> DataFrame:
     held = fuse.screen(shared, "m")
     found = _second_scan(points, length, held)
     if held is None:
-        found = found.join(shared, "m", "left_semi")
+        found = found.join(shared, "m", "left_semi").withColumn("m", F.shiftright("m", 32).cast("int"))  # as _short
     occurrences = save(found, "occurrences")
     strings = save(occurrences.groupBy("m", "sid").agg(F.min("doc").alias("least")), "strings")
     inner = save(_inner(points, strings, length), "inner")

@@ -157,6 +157,21 @@ def test_suffix_dedup(docs, empty):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_suffix_dedup_without_screens(docs, monkeypatch, hot):
+    """Input too long for any broadcast filter gives the same rows."""
+    monkeypatch.setattr(fuse.screen, "__defaults__", (0,))
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    test_suffix_dedup(docs, docs.where("doc_id = -1"))
+
+
+def test_near_and_exact_dedup_without_screens(spark, docs, monkeypatch):
+    monkeypatch.setattr(fuse.screen, "__defaults__", (0,))
+    test_ngram_join(docs, docs.where("doc_id = -1"))
+    test_ngram_join_of_a_family(spark, 2)
+    test_exact_dedup(spark, docs, docs.where("doc_id = -1"), exact_dedup.sha256)
+
+
 def test_repeated_ranges_of_merged_transforms():
     rng = np.random.default_rng(2)
     base = bytes(rng.integers(97, 100, 400).tolist())
