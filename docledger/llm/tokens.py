@@ -16,7 +16,8 @@ import numpy as np
 
 from .words import BLANK, runs, span_hashes
 
-#: Words a worker remembers, about 100 MB; the table starts anew beyond that.
+#: Words a worker remembers, about 100 MB; the table starts anew beyond that, with all words
+#: of the call at hand, however many.
 TABLE_WORDS = 800_000
 
 
@@ -35,8 +36,6 @@ class WordTable:
         self.used = 0
 
     def _learn(self, keys, words):
-        if len(self.keys) + len(keys) > TABLE_WORDS:
-            self.clear()
         coded = self.encode(words)
         counts = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         total = int(counts.sum())
@@ -60,14 +59,14 @@ class WordTable:
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         at, known = self._find(keys)
         if not known.all():
-            size = len(self.keys)
             new = np.flatnonzero(~known)
+            if len(self.keys) + len(new) > TABLE_WORDS:
+                self.clear()
+                new = np.arange(len(keys))
             raw = data.tobytes()
             self._learn(keys[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
-            if len(self.keys) != size + len(new):  # the table began anew
-                old = np.flatnonzero(known)
-                self._learn(keys[old], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[old]])
             at, known = self._find(keys)
+            assert known.all()
         counts = self.counts[at][which]
         total = int(counts.sum())
         where = np.repeat(self.starts[at][which] - (np.cumsum(counts) - counts), counts) + np.arange(total)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docledger.llm import (embedding_join, exact_dedup, fuse, ngram_join, packing, quality, secrets, sentencepiece_fst,
-                           sharding, suffix_dedup, warc)
+                           sharding, suffix_dedup, tokens, warc)
 from docledger.llm import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -200,6 +200,16 @@ def test_packing(docs, empty):
         assert at <= 4096
 
 
+def test_word_table_keeps_the_words_of_a_call(monkeypatch):
+    """Old and new words that together exceed the table all get their own ids."""
+    monkeypatch.setattr(tokens, "TABLE_WORDS", 6)
+    table = tokens.WordTable(lambda words: [np.array([int(w[1:]), len(w)], "<u4").tobytes() for w in words])
+    for lo, hi in ((0, 5), (2, 9), (0, 20), (18, 23)):
+        text = " ".join(f"w{k}" for k in range(lo, hi)).encode()
+        got = table.texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        assert got.tolist() == [x for k in range(lo, hi) for x in (k, len(f"w{k}"))]
+
+
 def test_minimum_bin_slack_is_least():
     taken = packing.fill({7: 3, 5: 2, 11: 1}, 24)
     assert sum(k * c for k, c in taken.items()) == 24 and all(c <= {7: 3, 5: 2, 11: 1}[k] for k, c in taken.items())
