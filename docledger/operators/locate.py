@@ -93,9 +93,9 @@ def text_layer(pages: Column) -> Column:
     )
 
 
-def first_pages(pages: Column) -> Column:
-    """Pages sent to a model: the first 15 of a scanned file."""
-    return F.slice(pages, 1, MAX_PAGES)
+def first_pages(pages: Column, scanned: Column) -> Column:
+    """Pages sent to a model: the first 15 of a scanned file, all of a digital one."""
+    return F.when(scanned, F.slice(pages, 1, MAX_PAGES)).otherwise(pages)
 
 
 def normalized_boxes(boxes: DataFrame, page_sizes: DataFrame) -> DataFrame:

@@ -202,7 +202,23 @@ u AS (SELECT doc_id, unnest(pages) AS page, generate_subscripts(pages, 1) - 1 AS
 SELECT doc_id, page_no, length(page) AS n_chars FROM u
 """)
 def page_cap(spark, sf):
-    kept = locate.first_pages(b.pages_of(F.col("text")))
+    """Every document taken as scanned."""
+    kept = locate.first_pages(b.pages_of(F.col("text")), F.lit(True))
+    return b.table(spark, sf, "documents").select(
+        "doc_id", F.posexplode(kept).alias("page_no", "page")
+    ).select("doc_id", "page_no", F.length("page").alias("n_chars"))
+
+
+@query("model_pages", f"""
+WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS pages FROM documents),
+l AS (SELECT doc_id, CASE WHEN list_sum(list_transform(pages, lambda x: length(trim(x, {WS})))) >= 40 THEN pages ELSE pages[1:15] END AS pages FROM p),
+u AS (SELECT doc_id, unnest(pages) AS page, generate_subscripts(pages, 1) - 1 AS page_no FROM l)
+SELECT doc_id, page_no, length(page) AS n_chars FROM u
+""")
+def model_pages(spark, sf):
+    """Only documents without a text layer lose pages beyond the cap."""
+    pages = b.pages_of(F.col("text"))
+    kept = locate.first_pages(pages, locate.text_layer(pages)["layer"] == "scanned")
     return b.table(spark, sf, "documents").select(
         "doc_id", F.posexplode(kept).alias("page_no", "page")
     ).select("doc_id", "page_no", F.length("page").alias("n_chars"))

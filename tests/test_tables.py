@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docledger.operators import classify, intake, joins, manifests, register, rollups
+from docledger.operators import classify, intake, joins, locate, manifests, register, rollups
 from docledger.plans.bindings import CANDIDATES
 from docledger.session import scratch_folder
 from docledger.sources import tables
@@ -123,6 +123,21 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 2
 
 
+def test_sums_keep_small_addends(spark):
+    cases = {"a": [0.0000004] * 3, "b": [1e12, 0.25, 0.0000004], "c": [1e300, -1e300, 0.1, 0.2], "d": [1e-20, 2e-20], "e": [None]}
+    rows = spark.createDataFrame([(k, v) for k, vs in cases.items() for v in vs], "k STRING, v DOUBLE")
+    got = {r.k: r.s for r in rows.groupBy("k").agg(register.exact_sum(F.col("v")).alias("s")).collect()}
+    assert got == {"a": 0.0000012, "b": 1e12 + 0.25 + 0.0000004, "c": pytest.approx(0.3), "d": pytest.approx(3e-20), "e": 0.0}
+
+
+def test_page_cap_is_for_scanned_files(spark):
+    rows = [("digital", [f"page {k} has text" for k in range(20)]), ("scanned", [""] * 20)]
+    df = spark.createDataFrame(rows, "layer STRING, pages ARRAY<STRING>")
+    scanned = locate.text_layer(F.col("pages"))["layer"] == "scanned"
+    kept = df.select("layer", F.size(locate.first_pages(F.col("pages"), scanned)).alias("n"))
+    assert {r.layer: r.n for r in kept.collect()} == {"digital": 20, "scanned": 15}
+
+
 def test_line_aggregates_of_a_hot_document(spark):
     lines = spark.range(2000).select(
         F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("doc"), F.col("id").alias("n"),
