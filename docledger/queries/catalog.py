@@ -124,6 +124,16 @@ def candidates_fallback(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+@query("candidates_all", f"""
+WITH {TYPES}, a AS (SELECT * FROM types WHERE status = 'production'),
+d AS (SELECT department AS asked, count(*) FILTER (status = 'production') AS n FROM types GROUP BY 1)
+SELECT asked, key FROM d JOIN a ON n = 0 OR department = asked
+""")
+def candidates_all(spark, sf):
+    """Every department, with live types of its own or without."""
+    return classify.candidates_by_department(b.types(spark, sf))
+
+
 @query("catalog_order", f"""
 WITH {TYPES}, r AS (SELECT *, row_number() OVER (PARTITION BY department ORDER BY CASE WHEN status = 'production' THEN 0 ELSE 1 END, lower(business_process), key) AS pick,
   row_number() OVER (PARTITION BY department ORDER BY lower(business_process), key) AS place FROM types)

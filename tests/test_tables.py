@@ -79,6 +79,14 @@ def test_candidates(spark):
     assert pick("x") == ["a"] and pick("z") == ["a", "c"] and pick("none") == ["a", "c"]
 
 
+def test_candidates_of_every_department(spark):
+    rows = [("a", "x", "production"), ("b", "x", "draft"), ("c", "y", "production"), ("d", "z", "draft"), ("e", None, "production")]
+    df = spark.createDataFrame(rows, "key STRING, department STRING, status STRING")
+    got = sorted(map(str, map(tuple, classify.candidates_by_department(df).collect())))
+    want = [(d, k) for d, ks in (("x", "a"), ("y", "c"), ("z", "ace"), (None, "ace")) for k in ks]
+    assert got == sorted(map(str, want))
+
+
 def test_usage_log_skips_only_bad_lines(spark, tmp_path):
     path = tmp_path / "log"
     path.mkdir()
