@@ -20,7 +20,10 @@ neighbour within 1 - threshold may be:
   their distances to the pivot are known and differ by more than 1 - threshold. Large cells are cut into
   chunks, and pairs of chunks are joined in tasks of their own.
 
-All links between different components are tested, so components are exact. Before sets of
+All links between different components are tested, so components are exact. The result is
+components, not all links: pairs already in one component are not measured, so links
+between different texts and the number of links of a document are not to be had. Regions
+are not joined again with pivots of their own; chunks stand for that recursion. Before sets of
 whole texts move, a pair must pass a bound on sketches of about a bit for each shingle: for
 each bit in which two sketches differ there is a shingle that only one set holds.
 
