@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_join, exact_dedup, ngram_join, packing, quality, secrets, sentencepiece_fst, sharding, suffix_dedup, warc
+from . import embedding_join, exact_dedup, hard_negatives, ngram_join, packing, quality, secrets, sentencepiece_fst, sharding, suffix_dedup, warc
 
 def piece_tokenizer() -> str:
     import public_tokenizers
@@ -131,3 +131,36 @@ def op8_suffix_dedup(spark, sf_dir):
 )
 def op9_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("request", "metadata")
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+          AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
+    ),
+    s AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+               CAST(list_sum([a.x[k] * b.x[k] FOR k IN range(1, len(a.x) + 1)]) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+    ),
+    p AS (
+        SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+    )
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id,
+           positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+    QUALIFY row_number() OVER w <= 5
+    """,
+)
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0)

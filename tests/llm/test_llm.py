@@ -300,7 +300,7 @@ def test_forest_on_held_out_findings(spark):
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = q.QUERIES[name](spark, SF)
     cur = db.execute(q.ORACLES[name])
