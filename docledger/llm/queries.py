@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_join, exact_dedup, hard_negatives, ngram_join, packing, quality, secrets, sentencepiece_fst, sharding, suffix_dedup, warc
+from . import embedding_join, exact_dedup, hard_negatives, ngram_join, packing, passages, quality, secrets, sentencepiece_fst, sharding, spelling, suffix_dedup, warc
 
 def piece_tokenizer() -> str:
     import public_tokenizers
@@ -164,3 +164,19 @@ def op13_hard_negatives(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    """No SQL: DuckDB has no CRC-32."""
+    runs = spelling.runs(table(spark, sf_dir, "documents"))
+    h = F.crc32(F.concat_ws(":", "doc_id", "run"))
+    at = F.pmod(h, F.length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return spelling.variants(spelling.vocabulary(runs, F.when(h % 199 == 0, less).otherwise(F.col("run"))))
+
+
+@query("op11_passage_dedup")
+def op11_passage_dedup(spark, sf_dir):
+    """No SQL: all 20-word windows of whole tables are too many for it."""
+    return passages.passage_dedup(table(spark, sf_dir, "documents")).drop("text_key")
