@@ -5,7 +5,7 @@ document with a smaller id or earlier in the same one. Documents stream past ind
 
 * Windows are dealt out by minimizer, the least hash of the short word grams in them, so equal
   windows meet wherever they occur. Runs of neighbouring windows with one minimizer are one
-  string. Minimizers that occur once are screened out: a first scan counts them, a second one
+  string. Minimizers that occur at one position only are screened out: a first scan counts them, a second one
   gives the strings of the others, as hashes with their places. A minimizer met very often
   (a line that a great part of the documents hold, with something else around it) gives
   strings of one window each, dealt out by their own hash.
@@ -69,13 +69,15 @@ def sequence_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return out
 
 
-def strings(hashes: np.ndarray, docs: np.ndarray, length: int, crowded=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, first and last word, and whether it is a single window, of each string of a chunk."""
+def strings(hashes: np.ndarray, docs: np.ndarray, length: int, crowded=None) -> tuple[np.ndarray, ...]:
+    """Minimizer, first and last word, whether it is a single window, and its minimizers, of each string of a chunk."""
     none = np.zeros(0, np.int64)
+    nothing = none.astype(np.uint64), none, none, none.astype(bool), none
     n = len(hashes) - length + 1
     if n <= 0:
-        return none.astype(np.uint64), none, none, none.astype(bool)
-    least, width, have = grams(hashes, min(GRAM, length)), length - min(GRAM, length) + 1, 1
+        return nothing
+    every = least = grams(hashes, min(GRAM, length))
+    width, have = length - min(GRAM, length) + 1, 1
     while 2 * have <= width:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
@@ -86,14 +88,18 @@ def strings(hashes: np.ndarray, docs: np.ndarray, length: int, crowded=None) ->
     opens[1:] &= (least[1:] != least[:-1]) | (docs[1:n] != docs[: n - 1]) | ~valid[:-1]
     starts = np.flatnonzero(opens)
     if not len(starts):
-        return none.astype(np.uint64), none, none, none.astype(bool)
+        return nothing
     run = np.maximum(np.cumsum(opens) - 1, 0)
     single = crowded.value.contains(least[starts]) if crowded else np.zeros(len(starts), bool)
     begins = valid & (single[run] | ((np.arange(n) - starts[run]) % WINDOWS == 0))
     closes = valid.copy()
     closes[:-1] &= begins[1:] | ~valid[1:]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + length
-    return least[starts], starts, ends, single[run[starts]]
+    m, sizes = least[starts], ends - starts - length + width
+    at = np.cumsum(sizes) - sizes
+    inside = every[np.repeat(starts - at, sizes) + np.arange(int(sizes.sum()))]
+    times = np.add.reduceat((inside == np.repeat(m, sizes)).astype(np.int64), at)
+    return m, starts, ends, single[run[starts]], times
 
 
 def _scan(docs: DataFrame, length: int, crowded, columns: str, give) -> DataFrame:
@@ -105,12 +111,12 @@ def _scan(docs: DataFrame, length: int, crowded, columns: str, give) -> DataFram
             ids, keys = fuse.ids(batch.column("doc_id")).view(np.int64), batch.column("text_key").to_numpy()
             for a, b, data, offsets in chunks(batch.column("_text")):
                 hashes, of, _ = words(data, offsets)
-                m, starts, ends, single = strings(hashes, of, length, crowded)
+                m, starts, ends, single, times = strings(hashes, of, length, crowded)
                 if not len(m):
                     continue
                 doc = of[starts]
                 first = np.searchsorted(of, doc)  # the document's first word in the chunk
-                place = {"m": m, "single": single, "from": starts, "to": ends, "doc": ids[a:b][doc], "key": keys[a:b][doc],
+                place = {"m": m, "single": single, "times": times, "from": starts, "to": ends, "doc": ids[a:b][doc], "key": keys[a:b][doc],
                          "start": (starts - first).astype(np.int32)}
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in give(hashes, place)], names=names)
 
@@ -279,8 +285,8 @@ def _cut(batches):
 
 def repeated_ranges(points: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc, key, ranges``: the ranges of words each document loses. ``points``: ``doc_id, text_key, _text``."""
-    met = _scan(points, length, None, "m LONG", lambda hashes, place: [place["m"].view(np.int64)])
-    shared = save(met.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    met = _scan(points, length, None, "m LONG, times LONG", lambda hashes, place: [place["m"].view(np.int64), place["times"]])
+    shared = save(met.groupBy("m").agg(F.sum("times").alias("n")).where("n > 1"), "shared")
     total = shared.agg(F.sum("n")).first()[0] or 0
     crowded = shared.where(F.col("n") > max(CROWDED, total // fuse.BROADCAST_KEYS)).select("m")
     crowded = fuse.screen(crowded, "m", fuse.BROADCAST_KEYS) if crowded.head(1) else None

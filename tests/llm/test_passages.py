@@ -26,6 +26,7 @@ def documents(seed: int, n: int = 60) -> list[tuple]:
     near = rows[5][1].split()
     rows += [(200 + i, " ".join([*near[:i], "changed", *near[i + 1 :]])) for i in range(12)]  # near copies
     rows += [(300, rows[4][1]), (301, rows[4][1].replace(" ", "\n")), (302, rows[4][1]), (6, rows[2][1]), (6, rows[2][1]), (6, line)]
+    rows += [(410 + k, f"own{k} " * k) for k in (20, 21, 25, 33)] + [(500 + k, " ".join(f"{k}p{j % k}" for j in range(30))) for k in (2, 3, 9, 11)]
     rows += [(400, "same " * 300), (401, "same " * 19), (402, "x y " * 50), (403, None), (404, ""), (405, " \n\t"), (406, "z" * 90_000)]
     return [*rows, (None, line + " tail"), (None, None)]
 
