@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .tables import save
@@ -34,11 +35,13 @@ CUTS = (4, 16)
 #: Rows and queries of a block.
 ROWS = 8192
 QUERIES = 4096
-#: Queries bounded at once, and pairs scored at once: some tens of MB each.
-STRIPE = 128
+#: Queries bounded at once, and pairs scored one by one at once: some tens of MB each.
+STRIPE = 64
 PAIRS = 40_000
 LARGEST = 1 << 24
-_LAST = np.iinfo(np.int64).max
+#: Share of pairs up to which they are taken one by one, not as a product of matrices.
+FEW = 0.02
+_FIRST, _LAST = -(1 << 62), (1 << 63) - 1
 
 
 def edges(size: int, cut: int) -> np.ndarray:
@@ -102,51 +105,59 @@ def summarised(rows: DataFrame, id: str, vector: str, label: str, scale: int) ->
     return narrow.mapInArrow(run, "row LONG, id LONG, label STRING, size INT, vector BINARY, summary BINARY")
 
 
-def best(query: dict, rows: dict, allowed, low: np.ndarray, high: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, row and score of the ``most`` best allowed rows with a score from ``low`` to ``high``.
+def best(query: dict, rows: dict, allowed, low: np.ndarray, high: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Query, range, row and score: per query and range the ``most`` best allowed rows inside.
 
     ``query`` and ``rows``: ``x`` (integers), ``cuts`` (of ``_weighted``); rows also ``id`` and
-    ``row``, by which ties are ordered. ``allowed(a, b)`` tells for queries a to b which rows count.
+    ``row``, by which ties are ordered. ``allowed(a, b)`` tells for queries a to b which rows
+    count; ``low`` and ``high`` have a row per query and a column per range.
     """
     out = []
+    peak = [float(np.abs(side["x"]).max(initial=0)) for side in (query, rows)]
+    exact = np.float64 if peak[0] * peak[1] * rows["x"].shape[1] < 1 << 53 else np.int64  # doubles are exact up to there
+    x, y = query["x"].astype(exact), rows["x"].astype(exact)
     for a in range(0, len(low), STRIPE):
         b = min(a + STRIPE, len(low))
-        lo, hi = low[a:b], high[a:b]
-        mean = query["cuts"][0][0][a:b] @ rows["cuts"][0][0].T
-        apart = query["cuts"][0][1][a:b] @ rows["cuts"][0][1].T
-        left = allowed(a, b) & (mean + apart >= lo[:, None]) & (mean - apart <= hi[:, None])
-        sure = np.where(left & (mean - apart >= lo[:, None]) & (mean + apart <= hi[:, None]), mean - apart, -np.inf)
-        if sure.shape[1] > most:
-            left &= mean + apart >= np.partition(sure, -most, axis=1)[:, -most, None]
-        q, r = np.nonzero(left)
-        mean, apart = (_dots(x, y, q + a, r) for x, y in zip(query["cuts"][1], rows["cuts"][1]))
-        left = (mean + apart >= lo[q]) & (mean - apart <= hi[q])
-        sure = np.where(left & (mean - apart >= lo[q]) & (mean + apart <= hi[q]), mean - apart, -np.inf)
-        order = np.lexsort((-sure, q))
-        last = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) == most - 1]
-        floor = np.full(b - a, -np.inf)
-        floor[q[last]] = sure[last]
-        left &= mean + apart >= floor[q]
-        q, r = q[left], r[left]
-        score = _dots(query["x"], rows["x"], q + a, r)
-        fits = (score >= lo[q]) & (score <= hi[q])
-        q, r, score = q[fits], r[fits], score[fits]
-        order = np.lexsort((rows["row"][r], rows["id"][r], -score, q))
-        q, r, score = q[order], r[order], score[order]
-        first = np.arange(len(q)) - np.searchsorted(q, q) < most
-        out.append((q[first] + a, r[first], score[first]))
+        left = allowed(a, b)
+        for (mean, apart), (row_mean, row_apart) in zip(query["cuts"], rows["cuts"]):
+            middle, width = _products(mean[a:b], row_mean, left), _products(apart[a:b], row_apart, left)
+            left = np.any([_inside(left, middle - width, middle + width, lo, hi, most) for lo, hi in zip(low[a:b].T, high[a:b].T)], axis=0)
+        score = _products(x[a:b], y, left)
+        for k, (lo, hi) in enumerate(zip(low[a:b].T, high[a:b].T)):
+            q, r = np.nonzero(_inside(left, score, score, lo, hi, most))
+            value = score[q, r]
+            order = np.lexsort((rows["row"][r], rows["id"][r], -value, q))
+            q, r, value = q[order], r[order], value[order].astype(np.int64)
+            first = np.arange(len(q)) - np.searchsorted(q, q) < most
+            out.append((q[first] + a, np.full(int(first.sum()), k), r[first], value[first]))
     return tuple(np.concatenate(part) for part in zip(*out))
 
 
-def _dots(left: np.ndarray, right: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Inner products of the given pairs of rows, some at a time."""
-    parts = [np.einsum("ij,ij->i", left[q[k : k + PAIRS]], right[r[k : k + PAIRS]]) for k in range(0, len(q), PAIRS)]
-    return np.concatenate(parts) if parts else np.zeros(0, left.dtype)
+def _inside(left: np.ndarray, least: np.ndarray, top: np.ndarray, low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
+    """Which rows may be among the ``most`` best from ``low`` to ``high``, by bounds of their scores."""
+    low, high = low[:, None], high[:, None]
+    may = left & (top >= low) & (least <= high)
+    if may.shape[1] > most:
+        sure = np.where(may & (least >= low) & (top <= high), least, _FIRST)
+        may &= top >= np.partition(sure, -most, axis=1)[:, -most, None]
+    return may
+
+
+def _products(x: np.ndarray, y: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of both sides, only of the pairs that are ``left`` if these are few."""
+    if left.mean() > FEW:
+        return x @ y.T
+    out = np.zeros(left.shape, x.dtype)
+    q, r = np.nonzero(left)
+    for k in range(0, len(q), PAIRS):
+        i, j = q[k : k + PAIRS], r[k : k + PAIRS]
+        out[i, j] = np.einsum("ij,ij->i", x[i], y[j])
+    return out
 
 
 def _side(table: pa.Table, size: int) -> dict:
     """The rows of one length as matrices."""
-    table = table.filter(pa.compute.equal(table.column("size"), size)).combine_chunks()
+    table = table.filter(pc.equal(table.column("size"), size)).combine_chunks()
     raw = b"".join(table.column("vector").to_pylist())
     stored = np.frombuffer(b"".join(table.column("summary").to_pylist()), np.float64)
     return {
@@ -157,13 +168,16 @@ def _side(table: pa.Table, size: int) -> dict:
 
 
 def _search(points: DataFrame, queries: DataFrame, same: bool, most: int) -> DataFrame:
-    """``query, id, row, score``: per query the best rows of its own label or of others.
+    """``row, slot, other, id, score, rank``: per query and range the best rows of its own label or of others.
 
-    ``queries``: ``query``, the columns of ``points``, and the range ``low``, ``high``. Both are saved tables.
+    ``queries``: the columns of ``points``, and the ranges ``low`` and ``high`` (arrays of one
+    length). Both are saved tables. ``other`` and ``id`` are of the rows found.
     """
     row_blocks = max(1, -(-points.count() // ROWS))
     query_blocks = max(1, -(-queries.count() // QUERIES))
 
+    names = ["row", "slot", "other", "id", "score"]
+
     def work(key, rows, wanted):
         found = []
         for size in set(wanted.column("size").to_pylist()) & set(rows.column("size").to_pylist()):
@@ -175,20 +189,20 @@ def _search(points: DataFrame, queries: DataFrame, same: bool, most: int) -> Dat
                 equal = ql[a:b, None] == rl
                 return equal & (q["row"][a:b, None] != r["row"]) if same else ~equal
 
-            low, high = (q["table"].column(c).to_numpy() for c in ("low", "high"))
-            at, hit, score = best(q, r, allowed, low, high, most)
-            found.append(pa.table([q["table"].column("query").take(at), r["table"].column("id").take(hit),
-                                   r["table"].column("row").take(hit), pa.array(score, pa.int64())], names=["query", "id", "row", "score"]))
-        empty = pa.table([pa.array([], t) for t in (pa.string(), *[pa.int64()] * 3)], names=["query", "id", "row", "score"])
+            low, high = (np.array(q["table"].column(c).to_pylist(), np.int64) for c in ("low", "high"))
+            at, slot, hit, score = best(q, r, allowed, low, high, most)
+            columns = [pa.array(q["row"][at]), pa.array(slot, pa.int32()), pa.array(r["row"][hit]), r["table"].column("id").take(pa.array(hit)), pa.array(score, pa.int64())]
+            found.append(pa.table(columns, names=names))
+        empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), *[pa.int64()] * 3)], names=names)
         return pa.concat_tables([empty, *found])
 
     def dealt(df, key, own, blocks, other, others):
         return df.withColumns({own: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(others - 1)))})
 
     left = dealt(points, "row", "_r", row_blocks, "_q", query_blocks).groupBy("_r", "_q")
-    right = dealt(queries, "query", "_q", query_blocks, "_r", row_blocks).groupBy("_r", "_q")
-    some = left.cogroup(right).applyInArrow(work, "query STRING, id LONG, row LONG, score LONG")
-    first = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
+    right = dealt(queries, "row", "_q", query_blocks, "_r", row_blocks).groupBy("_r", "_q")
+    some = left.cogroup(right).applyInArrow(work, "row LONG, slot INT, other LONG, id LONG, score LONG")
+    first = Window.partitionBy("row", "slot").orderBy(F.desc("score"), F.asc_nulls_last("id"), "other")
     return some.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most)
 
 
@@ -203,16 +217,17 @@ def hard_negatives(
     ``low`` and ``high`` hundredths of the positive's.
     """
     points = save(summarised(rows, id, vector, label, scale), "summaries")
-    chosen = points.where(anchors).withColumn("query", F.col("row").cast("string"))
-    chosen = save(chosen.withColumns({"low": F.lit(-_LAST), "high": F.lit(_LAST)}), "anchors")
+    any_score = {"low": F.array(F.lit(_FIRST)), "high": F.array(F.lit(_LAST))}
+    chosen = save(points.where(anchors).withColumns(any_score), "anchors")
     near = _search(points, chosen, True, positives)
-    near = save(near.select(F.col("query").cast("long").alias("anchor"), F.col("row").alias("positive"),
-                            F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-                    .join(chosen.select(*points.columns).withColumnRenamed("row", "anchor"), "anchor"), "positives")
-    limits = {"low": F.expr(f"(-{low} * positive_score - pmod(-{low} * positive_score, 100)) div -100"),
-              "high": F.expr(f"({high} * positive_score - pmod({high} * positive_score, 100)) div 100")}
-    items = near.withColumns({"query": F.concat_ws("-", "anchor", "positive"), "row": F.col("anchor"), **limits})
-    items = save(items.where("low <= high").select("query", *points.columns, "low", "high"), "queries")
-    far = _search(points, items, False, negatives).select("query", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
-    named = near.select(F.concat_ws("-", "anchor", "positive").alias("query"), F.col("id").alias("anchor_id"), "positive_id", "positive_score")
-    return far.join(named, "query").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    near = save(near.select("row", "rank", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
+    edge = {"low": f"(-{low} * positive_score - pmod(-{low} * positive_score, 100)) div -100",
+            "high": f"({high} * positive_score - pmod({high} * positive_score, 100)) div 100"}
+    # one range per positive, at most ``positives``; missing ones hold nothing
+    slots = [F.struct(*[F.coalesce(F.max(F.when(F.col("rank") == k + 1, F.expr(e))), F.lit(d)).alias(c) for (c, e), d in zip(edge.items(), (0, -1))]) for k in range(positives)]
+    ranges = near.groupBy("row").agg(F.array(*slots).alias("ranges")).select("row", F.col("ranges.low").alias("low"), F.col("ranges.high").alias("high"))
+    items = save(chosen.drop("low", "high").join(ranges, "row"), "queries")
+    far = _search(points, items, False, negatives)
+    far = far.select("row", (F.col("slot") + 1).alias("of"), "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
+    named = near.withColumnRenamed("rank", "of").join(chosen.select("row", F.col("id").alias("anchor_id")), "row")
+    return far.join(named, ["row", "of"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
