@@ -26,6 +26,7 @@ def parse_response(raw: Column) -> Column:
 
     Trims, strips a code fence, parses; failing that, parses from the first ``{``
     to the last ``}``. Anything that is not an object is an error, not a row drop.
+    Gives ``struct<data, error, text>``; ``text`` is what was parsed.
     """
     return let(strip(raw), _parse_stripped)
 
@@ -34,22 +35,28 @@ def _parse_stripped(text: Column) -> Column:
     fenced = F.regexp_extract(text, _FENCE, 1)
     cleaned = F.when(text.startswith("```") & text.rlike(_FENCE), strip(fenced)).otherwise(text)
 
+    def parsed(t: Column) -> Column:
+        return F.struct(F.try_parse_json(t).alias("data"), t.alias("text"))
+
     def parse(t: Column) -> Column:
         start = F.instr(t, "{")
         end = F.length(t) - F.instr(F.reverse(t), "}") + 1
         braces = F.when(
             (start > 0) & (end > start) & (end <= F.length(t)), F.substring(t, start, end - start + 1)
         )
-        return F.coalesce(F.try_parse_json(t), F.try_parse_json(braces))
+        return let(parsed(t), lambda whole: F.when(whole.data.isNotNull(), whole).otherwise(parsed(braces)))
 
-    def result(data: Column) -> Column:
-        is_object = F.coalesce(json_type(data) == "object", F.lit(False))
+    def result(found: Column) -> Column:
+        is_object = F.coalesce(json_type(found.data) == "object", F.lit(False))
         error = (
             F.when(F.coalesce(text, F.lit("")) == "", "empty output")
-            .when(data.isNull(), "no JSON object found")
+            .when(found.data.isNull(), "no JSON object found")
             .when(~is_object, "not a JSON object")
         )
-        return F.struct(F.when(is_object, data).alias("data"), error.alias("error"))
+        return F.struct(
+            F.when(is_object, found.data).alias("data"), error.alias("error"),
+            F.when(is_object, found.text).alias("text"),
+        )
 
     return let(let(cleaned, parse), result)
 
@@ -86,46 +93,13 @@ def split_confidence(data: Column) -> Column:
     return F.coalesce(texts, F.create_map().cast("map<string,string>"))
 
 
-def _node(path: Column, x: Column, keep_confidence: bool) -> Column:
-    """``struct<path, x, t, kids>`` of one value; ``kids`` is NULL for a scalar.
-
-    The type of a container comes from the cast that lists its members, because
-    ``schema_of_variant`` would walk everything below it.
-    """
-
-    def expand(c: Column) -> Column:
-        entries = F.map_entries(c.m)
-        if not keep_confidence:
-            entries = F.filter(entries, lambda e: e.key != CONFIDENCE_KEY)
-        members = F.transform(
-            entries,
-            lambda e: F.struct(
-                F.when(path == "", e.key).otherwise(F.concat(path, F.lit("."), e.key)).alias("path"),
-                e.value.alias("x"),
-            ),
-        )
-        elements = F.transform(
-            c.a,
-            lambda e, i: F.struct(
-                F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"),
-                e.alias("x"),
-            ),
-        )
-        kind = F.when(c.m.isNotNull(), "object").when(c.a.isNotNull(), "array").otherwise(json_type(x))
-        return F.struct(
-            path.alias("path"), x.alias("x"), kind.alias("t"),
-            F.coalesce(members, elements).alias("kids"),
-        )
-
-    listed = F.struct(
-        x.try_cast("map<string,variant>").alias("m"), x.try_cast("array<variant>").alias("a")
-    )
-    return let(listed, expand)
+_OPEN = "array<struct<path:string,place:string,at:string,members:map<string,variant>,elements:array<variant>>>"
+_FOUND = "array<struct<path:string,v:string,t:string,place:string>>"
 
 
 def json_depth(raw: Column) -> Column:
     """Deepest nesting of a JSON text: brackets outside strings, counted in one pass."""
-    bare = F.regexp_replace(raw, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    bare = F.regexp_replace(F.regexp_replace(raw, r"(?s)\\.", ""), r'"[^"]*+"', "")
     brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
     deepest = F.aggregate(
         brackets,
@@ -143,53 +117,112 @@ def json_depth(raw: Column) -> Column:
     return deepest.top
 
 
-def measured_depth(df: DataFrame, raw_column: str) -> int:
-    """Deepest nesting in a column: one scan and a one-row aggregate."""
-    top = df.agg(F.max(json_depth(F.col(raw_column)))).first()[0]
-    return max(int(top or 1), 1)
+def _listed(n: Column) -> Column:
+    """A value with its members or elements if it is a container, else with its text and type.
 
+    The type of a container comes from the cast that lists its members, because
+    ``schema_of_variant`` would walk everything below it.
+    """
 
-def nodes(data: Column, depth: int, keep_confidence: bool = False) -> Column:
-    """Every value below the root as ``array<struct<path, x, t>>``, within the row.
+    def read(c: Column) -> Column:
+        scalar = c.members.isNull() & c.elements.isNull()
+        return F.struct(
+            n.path.alias("path"), n.place.alias("place"), n.at.alias("at"),
+            c.members.alias("members"), c.elements.alias("elements"),
+            F.when(scalar, n.x.try_cast("string")).alias("v"),
+            F.when(scalar, json_type(n.x)).alias("t"),
+        )
+
+    listed = F.struct(
+        n.x.try_cast("map<string,variant>").alias("members"), n.x.try_cast("array<variant>").alias("elements")
+    )
+    return let(listed, read)
 
-    ``x`` is the value as VARIANT; containers are listed too. Levels are unrolled
-    ``depth`` times, so no explode and no shuffle is needed. A document that is
-    deeper raises instead of losing values; ``measured_depth`` gives the bound for
-    data whose shape is not known beforehand. ``_confidence`` keys are dropped at any
-    level for scoring and kept for the audit.
+
+def _below(n: Column, text: Column, ordered: Column, keep_confidence: bool) -> Column:
+    """What lies in a container, one level down, with its place among all values.
+
+    Members come in the order of their names, or of the document if ``ordered``.
     """
 
-    def bare(level: Column) -> Column:
-        return F.transform(
-            level, lambda n: F.struct(n.path.alias("path"), n.x.alias("x"), n.t.alias("t"))
+    def child(path: Column, i: Column, step: Column, x: Column) -> Column:
+        place = F.concat(n.place, F.lpad(i.cast("string"), 10, "0"))
+        at = F.when(ordered, F.concat(n.at, step))
+        return F.struct(path.alias("path"), place.alias("place"), at.alias("at"), x.alias("x"))
+
+    def member(k: Column, i: Column) -> Column:
+        path = F.when(n.path == "", k).otherwise(F.concat(n.path, F.lit("."), k))
+        return child(path, i, F.concat(F.lit("['"), k, F.lit("']")), F.try_element_at(n.members, k))
+
+    def element(x: Column, i: Column) -> Column:
+        index = F.concat(F.lit("["), i.cast("string"), F.lit("]"))
+        return child(F.concat(n.path, index), i, index, x)
+
+    inside = F.json_object_keys(F.call_function("get_json_object", text, n.at))
+    keys = F.coalesce(F.when(ordered, F.array_distinct(inside)), F.map_keys(n.members))
+    if not keep_confidence:
+        keys = F.filter(keys, lambda k: k != CONFIDENCE_KEY)
+    return F.coalesce(F.transform(keys, member), F.transform(n.elements, element))
+
+
+def _walk(data: Column, text: Column, ordered: Column, keep_confidence: bool) -> Column:
+    """Scalars of a document as ``array<struct<path, v, t, place>>``; ``place`` sorts them.
+
+    One fold over as many levels as the row's own document has: containers that are still
+    open are replaced by what lies in them, so there is no bound on depth, no explode and
+    no shuffle.
+    """
+
+    def sorted_out(found: Column, values: Column) -> Column:
+        closed = F.transform(
+            F.filter(values, lambda n: n.t.isNotNull()),
+            lambda n: F.struct(n.path.alias("path"), n.v.alias("v"), n.t.alias("t"), n.place.alias("place")),
+        )
+        left = F.transform(
+            F.filter(values, lambda n: n.t.isNull()),
+            lambda n: F.struct(*[n[c].alias(c) for c in ("path", "place", "at", "members", "elements")]),
+        )
+        return F.struct(
+            F.concat(found, closed).cast(_FOUND).alias("found"), left.cast(_OPEN).alias("open")
         )
 
-    def from_level(level: Column, left: int) -> Column:
-        kids = F.flatten(F.filter(F.transform(level, lambda n: n.kids), lambda k: k.isNotNull()))
-        if left == 0:
-            return F.when(
-                F.size(kids) > 0,
-                F.raise_error(F.lit(f"document nests deeper than {depth} levels")),
-            ).otherwise(bare(level))
-        below = F.transform(kids, lambda k: _node(k.path, k.x, keep_confidence))
-        rest = let(below, lambda nxt: from_level(nxt, left - 1))
-        return rest if left == depth else F.flatten(F.array(bare(level), rest))
-
-    return let(
-        F.array(_node(F.lit(""), data, keep_confidence)), lambda root: from_level(root, depth)
-    )
+    def level(acc: Column, depth: Column) -> Column:
+        root = F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("place"), F.lit("$").alias("at"), data.alias("x")))
+        below = F.flatten(F.transform(acc.open, lambda n: _below(n, text, ordered, keep_confidence)))
+        values = F.transform(F.when(depth == 0, root).otherwise(below), _listed)
+        return let(values, lambda v: sorted_out(acc.found, v))
 
+    start = F.struct(F.array().cast(_FOUND).alias("found"), F.array().cast(_OPEN).alias("open"))
+    return F.aggregate(F.sequence(F.lit(0), json_depth(text)), start, level).found
 
-def scalars(found: Column) -> Column:
-    """Scalars of ``nodes`` as ``array<struct<path, v, t>>``."""
-    return F.transform(
-        F.filter(found, lambda n: ~n.t.isin("object", "array")),
-        lambda n: F.struct(
-            n.path.alias("path"), n.x.try_cast("string").alias("v"), n.t.alias("t")
-        ),
-    )
 
+def flatten(data: Column, text: Column | None = None, keep_confidence: bool = False) -> Column:
+    """All scalars of a document as ``array<struct<path, v, t>>``, each path once.
 
-def flatten(data: Column, depth: int, keep_confidence: bool = False) -> Column:
-    """All scalars of a document as ``array<struct<path, v, t>>``."""
-    return scalars(nodes(data, depth, keep_confidence))
+    Documents may nest to any depth the parser takes. Where a name with dots or brackets
+    spells the path of another value, the last of them in the document counts, so its
+    ``text`` is read for the order of names; without it they come in the order of names.
+    ``_confidence`` keys are dropped at any level for scoring and kept for the audit.
+    """
+    raw = F.to_json(data) if text is None else text
+
+    def cells(found: Column) -> Column:
+        return F.transform(found, lambda c: F.struct(c.path.alias("path"), c.v.alias("v"), c.t.alias("t")))
+
+    def unique(found: Column) -> Column:
+        return F.size(F.array_distinct(F.transform(found, lambda c: c.path))) == F.size(found)
+
+    def last(found: Column) -> Column:
+        ordered = F.array_sort(
+            F.transform(found, lambda c: F.struct(c.path.alias("path"), c.place.alias("place"), c.v.alias("v"), c.t.alias("t")))
+        )
+        return cells(let(ordered, lambda rows: F.filter(
+            rows, lambda c, i: F.coalesce(F.get(rows, i + 1).path != c.path, F.lit(True)))))
+
+    # the second walk, in the order of the document, is taken only by documents that need it
+    found = F.aggregate(
+        F.array(F.lit(False), F.lit(True)), F.lit(None).cast(_FOUND),
+        lambda done, ordered: F.when(done.isNotNull() & unique(done), done).otherwise(
+            _walk(data, raw, ordered, keep_confidence)),
+    )
+    return F.when(data.isNotNull(), let(found, lambda f: F.when(unique(f), cells(f)).otherwise(last(f))))

@@ -64,6 +64,30 @@ def money(c: Column) -> Column:
     return c.cast("decimal(18,4)")
 
 
+def exact_total(numbers: Column) -> Column:
+    """Sum of an array of doubles that does not depend on order; NULL if one of them is.
+
+    Each is added as a decimal of the first scale that holds all its digits, only those no
+    decimal holds as doubles.
+    """
+    kinds = {f"d{places}": f"decimal(38,{places})" for places in (6, 17, 28)}
+    zero = F.struct(*[F.lit(0).cast(k).alias(n) for n, k in kinds.items()], F.lit(0.0).alias("rest"))
+
+    def add(acc: Column, x: Column) -> Column:
+        def by(parts: Column) -> Column:
+            sums, held = [], F.lit(False)
+            for n, kind in kinds.items():
+                here = F.coalesce(parts[n].cast("double") == x, F.lit(False)) & ~held
+                sums.append(F.when(here, F.try_add(acc[n], parts[n]).cast(kind)).otherwise(acc[n]).alias(n))
+                held = held | here
+            return F.struct(*sums, F.when(held, acc.rest).otherwise(acc.rest + x).alias("rest"))
+
+        return let(F.struct(*[x.try_cast(k).alias(n) for n, k in kinds.items()]), by)
+
+    total = F.aggregate(numbers, zero, add)
+    return let(total, lambda s: s.d28.cast("double") + s.d17.cast("double") + s.d6.cast("double") + s.rest)
+
+
 def general_format(x: Column) -> Column:
     """Six significant digits without trailing zeros (C's ``%g``)."""
     sci = F.call_function("format_number", x, F.lit("0.#####E0"))

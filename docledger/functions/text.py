@@ -94,7 +94,9 @@ def header_key(header: Column) -> Column:
 
 
 def title_from_key(key: Column) -> Column:
-    return F.initcap(F.replace(key, F.lit("_"), F.lit(" ")))
+    """Key as a title: every run of letters begins with a capital, digits and marks split runs."""
+    runs = F.regexp_extract_all(F.replace(key, F.lit("_"), F.lit(" ")), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def duration_text(seconds: Column) -> Column:

@@ -18,6 +18,7 @@ from ..functions import jsondoc
 from ..functions.text import let
 from ..sources.specs import DocSpec, Field
 
+CELLS = "array<struct<path:string,kind:string,v:string,t:string,given:boolean>>"
 _CONSTANTS = "array<struct<path:string,kind:string,t:string,dv:string,dt:string>>"
 
 
@@ -70,20 +71,24 @@ def header_from_columns(spec: DocSpec, values: dict[str, tuple[Column, str]]) ->
     )
 
 
-def header_from_nodes(spec: DocSpec, found: Column, filename: Column | None = None) -> Column:
-    """Header cells from the nodes of a document; the file name is overwritten.
+def header_from_variant(spec: DocSpec, data: Column, filename: Column | None = None) -> Column:
+    """Header cells of a VARIANT document; the file name is overwritten.
 
+    Each declared path is read through objects only, so a name with dots is no other path.
     A leaf that holds a container keeps it as JSON text: its members are extras.
     """
-    by_path = F.map_from_entries(
-        F.transform(found, lambda n: F.struct(n.path, F.struct(n.x.alias("x"), n.t.alias("t"))))
-    )
+    fields = spec.header_fields()
+    if not fields:
+        return F.array().cast(CELLS)
+
+    def read(k: Column, x: Column) -> Column:
+        def typed(t: Column) -> Column:
+            missing = t.isNull() | (t == "null")
+            return F.when(missing, _cell(k.path, k.kind, k.dv, k.dt, F.lit(False))).otherwise(
+                _cell(k.path, k.kind, x.try_cast("string"), t, F.lit(True))
+            )
 
-    def read(k: Column, n: Column) -> Column:
-        filled = F.when(
-            n.isNull() | (n.t == "null"),
-            _cell(k.path, k.kind, k.dv, k.dt, F.lit(False)),
-        ).otherwise(_cell(k.path, k.kind, n.x.try_cast("string"), n.t, F.lit(True)))
+        filled = let(jsondoc.json_type(x), typed)
         if filename is None:
             return filled
         return F.when(
@@ -91,13 +96,8 @@ def header_from_nodes(spec: DocSpec, found: Column, filename: Column | None = No
             _cell(k.path, k.kind, filename, F.lit("string"), F.lit(True)),
         ).otherwise(filled)
 
-    constants = _constants(spec.header_fields(), spec.skeleton, {})
-    return let(
-        by_path,
-        lambda m: F.transform(
-            constants, lambda k: let(F.try_element_at(m, k.path), lambda n: read(k, n))
-        ),
-    )
+    found = F.array(*[jsondoc.get_variant(data, f.path) for f in fields])
+    return F.zip_with(_constants(fields, spec.skeleton, {}), found, read)
 
 
 def item_cells(
@@ -140,26 +140,48 @@ def other_cells(spec: DocSpec, flat: Column) -> Column:
         return ~c.path.isin(closed) & ~inside
 
     def as_cell(c: Column) -> Column:
-        key = F.substring_index(c.path, "].", -1)
-        kind = F.when(c.path.startswith(start), F.try_element_at(kinds, key))
+        direct = let(in_item(c.path, spec.items_path or ""), lambda at: at.key)
+        kind = F.when(c.path.startswith(start), F.try_element_at(kinds, direct))
         return _cell(c.path, F.coalesce(kind, F.lit("")), c.v, c.t, c.t != "null")
 
     return F.transform(F.filter(flat, allowed), as_cell)
 
 
+def in_item(path: Column, items_path: str) -> Column:
+    """Where a path below the line items lies: ``struct<i, head, key, below>``.
+
+    ``head`` is the item's own member and ``key`` is that, too, unless the value lies
+    further down; ``below`` is then how (``.`` or ``[``).
+    """
+
+    def parts(rest: Column) -> Column:
+        i = F.substring_index(rest, "]", 1)
+        return let(F.substring(rest, F.length(i) + 2, F.length(rest)), lambda after: member(i, after))
+
+    def member(i: Column, after: Column) -> Column:
+        name = F.when(after.startswith("."), F.regexp_extract(after, r"^\.([^.\[]*)", 1))
+
+        def placed(head: Column) -> Column:
+            below = F.substring(after, F.length(head) + 2, F.lit(1))
+            return F.struct(
+                i.try_cast("int").alias("i"), head.alias("head"), F.when(below == "", head).alias("key"), below.alias("below"),
+            )
+
+        return let(name, placed)
+
+    return let(F.substring(path, F.lit(len(items_path) + 2), F.length(path)), parts)
+
+
 def document_cells(
-    spec: DocSpec, data: Column, depth: int, filename: Column | None = None
+    spec: DocSpec, data: Column, filename: Column | None = None, flat: Column | None = None
 ) -> Column:
-    """Header, line-item and extra cells of a VARIANT document."""
-    return let(
-        jsondoc.nodes(data, depth),
-        lambda found: F.flatten(
-            F.array(
-                header_from_nodes(spec, found, filename),
-                other_cells(spec, jsondoc.scalars(found)),
-            )
-        ),
-    )
+    """Header, line-item and extra cells of a VARIANT document; NULL without one.
+
+    ``flat`` is the document's ``jsondoc.flatten`` if it is at hand.
+    """
+    found = jsondoc.flatten(data) if flat is None else flat
+    cells = F.concat(header_from_variant(spec, data, filename), other_cells(spec, found))
+    return F.when(data.isNotNull(), cells)
 
 
 def declared(spec: DocSpec, cells: Column) -> Column:
@@ -207,18 +229,16 @@ def truthy(cell: Column) -> Column:
 
 
 def items(cells: Column, items_path: str) -> Column:
-    """Line-item cells as ``array<struct<i, key, v, t, given>>``, in item order."""
-    start = len(items_path) + 2
+    """Line-item cells as ``array<struct<i, head, key, below, v, t, given>>``, in item order."""
     kept = F.filter(cells, lambda c: c.path.startswith(items_path + "["))
 
     def split(c: Column) -> Column:
-        rest = F.substring(c.path, F.lit(start), F.length(c.path))
-        return F.struct(
-            F.substring_index(rest, "]", 1).try_cast("int").alias("i"),
-            F.when(F.contains(rest, F.lit("].")), F.substring_index(rest, "].", -1)).alias("key"),
-            c.v.alias("v"),
-            c.t.alias("t"),
-            c.given.alias("given"),
+        return let(
+            in_item(c.path, items_path),
+            lambda at: F.struct(
+                at.i.alias("i"), at.head.alias("head"), at.key.alias("key"), at.below.alias("below"),
+                c.v.alias("v"), c.t.alias("t"), c.given.alias("given"),
+            ),
         )
 
     return F.array_sort(F.transform(kept, split))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import mime_type
 from .joins import lookup_join
 
+#: Ids of one broadcast (8 bytes each) and broadcasts of one scan each that pick rows by id.
+PICKED_IDS = 2_000_000
+PICKED_SCANS = 8
+
 
 def upload_id(filename: Column, sha1: Column) -> Column:
     return F.concat(filename, F.lit(":"), F.substring(sha1, 1, 10))
@@ -88,6 +94,66 @@ def latest_success(attempts: DataFrame, keep: list[str]) -> DataFrame:
     ).select("doc_id", "attempts", "last.attempt", *[F.col(f"last.{c}").alias(c) for c in keep])
 
 
+def leaders(documents: DataFrame, cache: DataFrame) -> DataFrame:
+    """``cache_key, doc_id``: the one document per key that is not in the cache to be extracted.
+
+    ``documents``: ``doc_id, cache_key``. Copies within the batch are reduced map-side, so a
+    content that a third of all documents share is one row per task.
+    """
+    first = documents.groupBy("cache_key").agg(F.min("doc_id").alias("doc_id"))
+    return first.join(cache_entries(cache).select("cache_key"), "cache_key", "left_anti")
+
+
+def pick(source: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of a wide source whose id is in ``ids``, filtered where they are scanned.
+
+    Ids are counted, dealt into blocks that fit a broadcast, and each block is a scan of its
+    own, so wide columns such as texts are in no exchange. Beyond ``PICKED_SCANS`` blocks one
+    exchange of the picked rows costs less than so many scans, and takes their place.
+    """
+    ids = ids.select(key)
+    blocks = max(1, -(-ids.count() // PICKED_IDS))
+    if blocks > PICKED_SCANS:
+        return source.join(ids, key, "left_semi")
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    parts = [source.join(F.broadcast(ids.where(block == k)), key, "left_semi") for k in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def payload(data: Column, ai_scores: Column) -> Column:
+    """Cache payload of JSON texts: the extracted data beside the model's own scores."""
+    empty = F.lit("{}")
+    return F.concat(
+        F.lit('{"data":'), F.coalesce(data, empty), F.lit(',"ai_scores":'), F.coalesce(ai_scores, empty), F.lit("}")
+    )
+
+
+def store(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The cache with new payloads (``cache_key, payload, stored_at``), one row per key, the latest."""
+    both = cache.select("cache_key", "payload", "stored_at").unionByName(fresh.select("cache_key", "payload", "stored_at"))
+    latest = F.max_by(F.struct("payload", "stored_at"), F.struct("stored_at", F.xxhash64("payload")))
+    return both.where(F.try_parse_json("payload").isNotNull()).groupBy("cache_key").agg(latest.alias("r")).select("cache_key", "r.*")
+
+
+def append_cache(fresh: DataFrame, path: str) -> None:
+    """Append payloads to a cache folder; ``cache_entries`` reads the latest per key."""
+    fresh.select("cache_key", "payload", "stored_at").write.mode("append").parquet(path)
+
+
+def served(documents: DataFrame, cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Every document with its payload and how it got it: ``cache``, ``extracted`` or ``copied``.
+
+    ``fresh``: ``cache_key, payload, doc_id`` of the leaders that were extracted; documents of
+    the same key take the leader's payload. A key whose extraction failed has none.
+    """
+    old = cache_entries(cache).select("cache_key", "payload", F.lit(None).cast("bigint").alias("leader"), F.lit(True).alias("old"))
+    new = fresh.select("cache_key", "payload", F.col("doc_id").cast("bigint").alias("leader"), F.lit(False).alias("old"))
+    # leaders are documents whose key the cache lacks, so a key is in one of both
+    out = lookup_join(documents, old.unionByName(new), "cache_key", "left", measure_dim=False, probe=False)
+    how = F.when(F.col("old"), "cache").when(F.col("leader") == F.col("doc_id"), "extracted").when(F.col("leader").isNotNull(), "copied")
+    return out.withColumn("served", how).drop("leader", "old")
+
+
 def extract_misses(misses: DataFrame, extractor, schema: str) -> DataFrame:
     """Run a user's extractor on cache misses only.
 

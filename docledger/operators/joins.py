@@ -68,8 +68,9 @@ def lookup_join(
     """Join a large side to one that is unique (or nearly so) per key.
 
     A small ``dim``, by measured size, is broadcast. Beyond that, fact rows of hot
-    keys are spread over ``salts`` buckets and only the dim rows of those keys are
-    repeated, so no task gets a hot key whole and the rest of ``dim`` moves once.
+    keys are spread over ``salts`` buckets, equal ones as one row with a count, and only
+    the dim rows of those keys are repeated, so no task gets a hot key whole and the rest
+    of ``dim`` moves once.
 
     Finding hot keys reads the key columns of ``fact`` once more. Pass ``probe=False``
     where they are costly (a hash of all text): the join then relies on adaptive
@@ -83,18 +84,23 @@ def lookup_join(
     hot = hot_keys(fact, keys, share, hot_rows) if probe else []
     if not hot:
         return fact.join(dim, keys, how)
-    spread = [c for c, t in fact.dtypes if not t.startswith(("map", "variant"))]
-    row_salt = F.pmod(F.xxhash64(*spread), F.lit(salts))  # of columns only: a task run again deals alike
 
     def is_hot() -> Column:
         return _any(
             [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(r[k]) for k in keys]) for r in hot]
         )
 
-    some_null = _any([F.col(k).isNull() for k in keys])
-    left = fact.withColumn("_salt", F.when(is_hot() | some_null, row_salt).otherwise(0))
-    buckets = F.when(is_hot(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = dim.withColumn("_salt", F.explode(buckets.cast("array<bigint>")))
-    return left.withColumn("_salt", F.col("_salt").cast("bigint")).join(
-        right, [*keys, "_salt"], how
-    ).drop("_salt")
+    salty = F.coalesce(is_hot(), F.lit(False)) | _any([F.col(k).isNull() for k in keys])
+    plain = [c for c, t in fact.dtypes if not t.startswith(("map", "variant"))]
+    # A salt of columns only: a task that is run again deals alike. Equal rows would share it,
+    # so they are counted first (map-side) and join once, where all columns can be compared.
+    counted = len(plain) == len(fact.columns)
+    some = fact.where(salty)
+    if counted:
+        some = some.groupBy(*fact.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    some = some.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("bigint"))
+    repeated = dim.where(is_hot()).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    joined = some.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    if counted:
+        joined = joined.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    return fact.where(~salty).join(dim, keys, how).unionByName(joined)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, functions as F
 
 from ..functions.dates import iso_date
 from ..functions.numbers import coerce_number, lenient_number, round_places
 from ..functions.text import let, strip
+from ..sources.live_types import SHIPPING_BILL
 from ..sources.specs import DocSpec
+from . import cells as cl
 from .cells import label_of
 
 # Reason and confidence of a repair by kind.
@@ -99,9 +105,7 @@ def confidence_for(kind: Column) -> Column:
 def gate_pass_kinds(cells: Column) -> Column:
     """Cells with the kinds a gate pass repairs; all others are left alone."""
     def kind(c: Column) -> Column:
-        number = (c.path == GATE_PASS_VALUE) | (
-            c.path.startswith("items[") & c.path.endswith("].quantity")
-        )
+        number = (c.path == GATE_PASS_VALUE) | c.path.startswith("items[") & c.path.rlike(r"^items\[\d+\]\.quantity$")
         return F.when(c.path.isin(GATE_PASS_DATES), "date").when(number, "number").otherwise("")
 
     return F.transform(
@@ -144,3 +148,70 @@ def derived_drawback_rate(rate: Column, amount: Column, fob: Column) -> Column:
     return F.when(
         rate.isNull() & (claimed > 0) & (fob > 0) & (derived > 0) & (derived < 100), derived
     )
+
+
+def with_drawback_rate(spec: DocSpec, cells: Column) -> Column:
+    """``struct<cells, notes>``: the missing drawback rate of repaired shipping-bill cells, derived."""
+    path = "drawback.dbk_rate"
+
+    def value(at: str) -> Column:
+        return cl.find(cells, SHIPPING_BILL, at).v
+
+    fob = local_fob(
+        value("invoice.fob_value"), value("summary.total_fob_value"), value("invoice.exchange_rate")
+    )
+
+    def replaced(rate: Column) -> Column:
+        changed = F.transform(
+            cells,
+            lambda c: F.when(
+                rate.isNotNull() & (c.path == path),
+                F.struct(
+                    c.path.alias("path"), c.kind.alias("kind"), rate.alias("v"),
+                    F.lit("number").alias("t"), F.lit(True).alias("given"), c.old.alias("old"),
+                ),
+            ).otherwise(c),
+        )
+        note = F.struct(
+            F.lit(path).alias("field"), F.lit(None).cast("string").alias("old"), rate.alias("new"),
+            F.lit(DERIVED_REASON).alias("reason"), F.lit(DERIVED_CONFIDENCE).alias("confidence"),
+        )
+        return F.struct(
+            changed.alias("cells"), F.filter(F.array(note), lambda n: n.new.isNotNull()).alias("notes")
+        )
+
+    rate = derived_drawback_rate(value(path), value("drawback.dbk_amount"), fob)
+    return let(rate.cast("string"), replaced)
+
+
+@dataclass(frozen=True)
+class Repair:
+    """What a type does to its cells: ``fix`` them, tell the ``notes``, then ``derive`` others.
+
+    ``fix(spec, cells)`` gives cells with ``old``, ``notes(spec, fixed)`` an array of notes, and
+    ``derive(spec, fixed)`` a struct of the cells and further notes.
+    """
+
+    fix: Callable[[DocSpec, Column], Column] = lambda spec, cells: repair(cells)
+    notes: Callable[[DocSpec, Column], Column] = lambda spec, fixed: notes(fixed, spec)
+    derive: Callable[[DocSpec, Column], Column] | None = None
+
+
+GENERIC = Repair()
+
+#: Repairs by type key; a user may add more. A type without one gets the generic repair.
+REPAIRS: dict[str, Repair] = {
+    "igp": Repair(
+        lambda spec, cells: repair(gate_pass_kinds(cells)), lambda spec, fixed: gate_pass_notes(fixed)
+    ),
+    "shipping_bill": Repair(derive=with_drawback_rate),
+}
+
+
+def attempt(spec: DocSpec, own: Callable[[], Column], generic: Callable[[], Column]) -> Column:
+    """A type's own expression, or the generic one if its function fails while it is built."""
+    try:
+        return own()
+    except Exception:  # noqa: BLE001 - a user's function must not take the other types down
+        logging.getLogger(__name__).exception("Using the generic function for type %s.", spec.key)
+        return generic()

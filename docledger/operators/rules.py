@@ -12,10 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.numbers import round_places, to_double
+from ..functions.numbers import exact_total, round_places, to_double
 from ..functions.text import let
 from ..sources.specs import DocSpec
 from . import cells as cl
+from .repair import attempt
 
 TOLERANCE = 1.0
 WEIGHT_TOLERANCE = 0.01
@@ -81,13 +82,22 @@ def cross_check(rule: str, line_sum: Column, total: Column, what: str, against:
     return off, issue(rule, text, round_places(line_sum, 2), round_places(total, 2))
 
 
+def unread(what: str, facts: dict[str, Column]) -> list[tuple[Column, Column]]:
+    """The check that amounts could be read; fact ``unread`` says why one could not."""
+    why = facts.get("unread")
+    if why is None:
+        return []
+    return [(why.isNotNull(), issue("unread", F.concat(F.lit(f"Could not verify {what} totals: "), why)))]
+
+
 def order_issues(f: dict[str, Column]) -> Column:
-    """Facts: po_number (bool), item_count, line_sum, subtotal; optional sections."""
+    """Facts: po_number (bool), item_count, line_sum, subtotal; optional sections, unread."""
     return collect(
         [
             (~f["po_number"], issue("order_number", "Order number is missing.")),
             (f["item_count"] == 0, issue("no_items", "No line items were extracted.")),
             cross_check("subtotal", f["line_sum"], f["subtotal"], "Subtotal", "summary subtotal"),
+            *unread("numeric", f),
         ],
         missing_sections(f.get("sections"), ORDER_SECTIONS),
     )
@@ -136,7 +146,7 @@ def weight_issue(line: Column, gross: Column, net: Column) -> Column:
 def shipping_issues(f: dict[str, Column]) -> Column:
     """Facts: number, exporter_code, leo_date, scheme, exchange_rate, hs_code (bool,
     true when usable); commission, dbk_rate, dbk_amount, rodtep (bool, true when
-    given, zero included); item_count, line_fob, total_fob; optional sections."""
+    given, zero included); item_count, line_fob, total_fob; optional sections, unread."""
     advisory = " is blank — confirm it is truly absent (0 is a valid value)."
     review = " is missing — please review."
     return collect(
@@ -156,6 +166,7 @@ def shipping_issues(f: dict[str, Column]) -> Column:
             (~f["rodtep"], issue("rodtep", "RODTEP Amount" + advisory)),
             (~f["scheme"], issue("scheme", "Scheme Description" + review)),
             cross_check("fob", f["line_fob"], f["total_fob"], "FOB", "summary total FOB value"),
+            *unread("FOB", f),
         ],
         missing_sections(f.get("sections"), SHIPPING_SECTIONS),
     )
@@ -181,10 +192,16 @@ def generic_issues(missing: dict[str, Column], spec: DocSpec, item_count: Column
 
 
 class NestedFacts:
-    """Facts of a document whose header and line items are cells of one array."""
+    """Facts of a document whose header and line items are cells of one array.
 
-    def __init__(self, spec: DocSpec, cells: Column, sections: Column, items: Column):
+    ``listed`` is the number of items the source lists, which may hold no value at all.
+    """
+
+    def __init__(
+        self, spec: DocSpec, cells: Column, sections: Column, items: Column, listed: Column | None = None
+    ):
         self.spec, self.cells, self.sections, self.items = spec, cells, sections, items
+        self.listed = F.lit(0) if listed is None else F.coalesce(listed, F.lit(0))
 
     def ok(self, path: str) -> Column:
         return F.coalesce(cl.truthy(cl.find(self.cells, self.spec, path)), F.lit(False))
@@ -201,48 +218,73 @@ class NestedFacts:
         return F.coalesce(to_double(text), F.lit(0.0))
 
     def item_count(self) -> Column:
-        return F.size(F.array_distinct(F.transform(self.items, lambda x: x.i)))
+        return F.greatest(F.size(F.array_distinct(F.transform(self.items, lambda x: x.i))), self.listed)
 
     def real_items(self) -> Column:
-        """Items with any value that is not null or empty."""
-        filled = F.filter(self.items, lambda x: x.key.isNotNull() & x.given & (x.v != ""))
+        """Items with any value that is not null or empty; a container is a value."""
+        filled = F.filter(
+            self.items, lambda x: x.head.isNotNull() & ((x.below != "") | (x.given & (x.v != "")))
+        )
         return F.size(F.array_distinct(F.transform(filled, lambda x: x.i)))
 
     def values(self, key: str) -> Column:
         return F.filter(self.items, lambda x: x.key == key)
 
     def count_of(self, key: str) -> Column:
-        return F.size(F.filter(self.values(key), lambda x: x.given & (x.v != "")))
+        filled = F.filter(
+            self.items, lambda x: (x.head == key) & ((x.below != "") | (x.given & (x.v != "")))
+        )
+        return F.size(F.array_distinct(F.transform(filled, lambda x: x.i)))
 
     def sum_of(self, key: str) -> Column:
-        """Sum over items; a blank counts as 0, unreadable text makes the sum NULL."""
-        numbers = F.transform(
-            self.values(key),
-            lambda x: F.when(F.coalesce(x.v, F.lit("")) == "", 0.0).otherwise(to_double(x.v)),
-        )
-        return F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x)
+        """Sum over items; a blank counts as 0, an unreadable value makes the sum NULL."""
+        numbers = F.transform(self.values(key), _amount)
+        return F.when(self.unread_item(key).isNull(), exact_total(numbers))
+
+    def unread_item(self, key: str) -> Column:
+        """Why the first unreadable value of a line-item key cannot be read, or NULL."""
+        own = F.filter(self.items, lambda x: (x.head == key) & ((x.below != "") | _amount(x).isNull()))
+        return let(F.get(own, 0), lambda x: F.when(x.isNotNull(), _why(x.v, x.below)))
+
+    def unread(self, key: str, path: str) -> Column:
+        """Why an amount of the line items, or else of the header, cannot be read."""
+        total = cl.find(self.cells, self.spec, path)
+        header = let(total, lambda c: F.when(c.given & _amount(c).isNull(), _why(
+            c.v, F.when(c.t == "object", ".").when(c.t == "array", "[").otherwise(""))))
+        return F.coalesce(self.unread_item(key), header)
 
     def weight_issues(self) -> Column:
-        def by_index(key: str) -> Column:
-            pairs = F.transform(
-                self.values(key), lambda x: F.struct(x.i.alias("k"), x.v.alias("v"))
+        def first_of(key: str, i: Column) -> Column:
+            return F.get(F.filter(self.values(key), lambda x: x.i == i), 0).v
+
+        def weighed(n: Column) -> Column:
+            return F.struct(
+                n.i.alias("i"), to_double(first_of("gross_weight", n.i)).alias("gross"), to_double(n.v).alias("net"),
             )
-            return F.map_from_entries(pairs)
 
-        def check(maps: Column) -> Column:
-            def heavy(n: Column) -> Column:
-                return to_double(F.try_element_at(maps.gross, n.i))
+        found = F.filter(
+            F.transform(self.values("net_weight"), weighed), lambda w: weight_violation(w.gross, w.net)
+        )
+        return F.transform(found, lambda w: weight_issue(first_of("line_number", w.i), w.gross, w.net))
 
-            found = F.filter(
-                self.values("net_weight"), lambda n: weight_violation(heavy(n), to_double(n.v))
-            )
-            return F.transform(
-                found,
-                lambda n: weight_issue(F.try_element_at(maps.line, n.i), heavy(n), to_double(n.v)),
-            )
 
-        gross, line = by_index("gross_weight"), by_index("line_number")
-        return let(F.struct(gross.alias("gross"), line.alias("line")), check)
+def _amount(c: Column) -> Column:
+    """A cell as a number, blank and false as 0; NULL if it cannot be read."""
+    return (
+        F.when(F.coalesce(c.v, F.lit("")) == "", 0.0)
+        .when(c.t == "bool", F.when(c.v == "true", 1.0).otherwise(0.0))
+        .otherwise(to_double(c.v))
+    )
+
+
+def _why(v: Column, below: Column) -> Column:
+    """Fixed texts: why a value is no number."""
+    kind = F.when(below == ".", "dict").when(below == "[", "list")
+    quote = F.when(F.contains(v, F.lit("'")), '"').otherwise("'")
+    return F.coalesce(
+        F.concat(F.lit("float() argument must be a string or a real number, not '"), kind, F.lit("'")),
+        F.concat(F.lit("could not convert string to float: "), quote, v, quote),
+    )
 
 
 def order_pack(spec: DocSpec, d: NestedFacts) -> Column:
@@ -253,6 +295,7 @@ def order_pack(spec: DocSpec, d: NestedFacts) -> Column:
             "item_count": d.item_count(),
             "line_sum": d.sum_of("taxable_amount"),
             "subtotal": d.amount("summary.subtotal"),
+            "unread": d.unread("taxable_amount", "summary.subtotal"),
         }
     )
 
@@ -289,6 +332,7 @@ def shipping_pack(spec: DocSpec, d: NestedFacts) -> Column:
             "scheme": d.ok("drawback.scheme_description"),
             "line_fob": d.sum_of("fob_value"),
             "total_fob": d.amount("summary.total_fob_value"),
+            "unread": d.unread("fob_value", "summary.total_fob_value"),
         }
     )
     return F.concat(found, d.weight_issues())
@@ -309,8 +353,14 @@ PACKS: dict[str, Pack] = {
 }
 
 
-def issues_for(spec: DocSpec, cells: Column, sections: Column) -> Column:
+def issues_for(
+    spec: DocSpec, cells: Column, sections: Column, listed: Column | None = None
+) -> Column:
     """Issues of nested cells by the type's own pack or the generic one."""
-    pack = PACKS.get(spec.key, generic_pack)
-    items = cl.items(cells, spec.items_path or "items")
-    return let(items, lambda found: pack(spec, NestedFacts(spec, cells, sections, found)))
+
+    def by(pack: Pack) -> Column:
+        items = cl.items(cells, spec.items_path or "items")
+        return let(items, lambda found: pack(spec, NestedFacts(spec, cells, sections, found, listed)))
+
+    own = PACKS.get(spec.key, generic_pack)
+    return attempt(spec, lambda: by(own), lambda: by(generic_pack))

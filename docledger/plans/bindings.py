@@ -252,43 +252,199 @@ def ai_scores() -> Column:
     )
 
 
+# ---- orders as nested documents -----------------------------------------------
+
+
+def nested_struct(values: dict[str, Column]) -> Column:
+    """Dotted paths as nested structs."""
+    blocks: dict[str, dict[str, Column]] = {}
+    fields = []
+    for path, value in values.items():
+        head, _, rest = path.partition(".")
+        if rest:
+            blocks.setdefault(head, {})[rest] = value
+        else:
+            fields.append(value.alias(head))
+    return F.struct(*fields, *[nested_struct(inner).alias(head) for head, inner in blocks.items()])
+
+
+def json_of(values: dict[str, Column]) -> Column:
+    return F.to_json(nested_struct(values), {"ignoreNullFields": "false"})
+
+
+def with_members(raw: Column, members: Column) -> Column:
+    """JSON text of an object with more members (``"name": value, ...``) at its end."""
+    return F.concat(F.substring(raw, F.lit(1), F.length(raw) - 1), F.lit(", "), members, F.lit("}"))
+
+
+def lines_json(spark: SparkSession, sf: str, item: Column) -> DataFrame:
+    """``doc_id, items``: the JSON array of each order's lines, in line order.
+
+    A nested document is one row, so an order's lines meet here as they would in a file.
+    """
+    order = F.struct(*LINE_ORDER, "l_quantity", "l_discount", "l_tax")
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), order.alias("at"), item.alias("item")
+    )
+    whole = F.array_sort(F.collect_list(F.struct("at", "item")))
+    texts = F.array_join(F.transform(whole, lambda x: x.item), ",")
+    return rows.groupBy("doc_id").agg(F.concat(F.lit("["), texts, F.lit("]")).alias("items"))
+
+
+def order_item_json() -> Column:
+    """A line with a nested list that repeats the name of an amount."""
+    values = {k: text_of(v) if t == "string" else v for k, (v, t) in line_values().items()}
+    taxes = '"taxes": [{"taxable_amount": %s, "kind": "vat"}]'
+    return with_members(json_of(values), F.format_string(taxes, text_of("l_tax")))
+
+
+#: Members that no schema has: names with dots, and twenty levels.
+DOTS = {0: '"note.a": "x", "note": {"a": 5}', 1: '"note": {"a": 5}, "note.a": "x"'}
+DEEP = '"deep": ' + '{"d": ' * 20 + "true" + "}" * 20
+
+
+def nested_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """``(doc_id, filename, raw)``: every order with all its lines as one JSON text."""
+    o = F.col("o_orderkey")
+    lines = lines_json(spark, sf, order_item_json())
+    # the first line's amount cannot be read in one order of ten, and is text in another
+    amount = r'("taxable_amount":)[0-9.E]+'
+    odd = choose(F.col("doc_id") % 10, {3: '$1"free"', 7: '$1"1e3"'})
+    first = F.regexp_extract(F.col("items"), r"^.*?" + amount, 0)
+    rest = F.substring(F.col("items"), F.length(first) + 1, F.length("items"))
+    changed = F.concat(F.regexp_replace(first, F.lit(amount), odd), rest)
+    lines = lines.withColumn("items", F.when(odd.isNotNull(), changed).otherwise(F.col("items")))
+    header = json_of({p: v for p, (v, _) in order_values().items()} | {"metadata.source.pages": F.lit(1)})
+    without = F.regexp_replace(header, r'"supplier":\{[^}]*\},', "")
+    orders = orders_with_customer(spark, sf).select(
+        o.alias("doc_id"), F.concat(F.lit("order"), text_of(o), F.lit(".pdf")).alias("filename"),
+        F.when(o % 6 == 1, without).otherwise(header).alias("header"),
+    )
+    both = orders.join(lines, "doc_id", "left")
+    k = F.col("doc_id")
+    members = F.concat_ws(
+        ", ", choose(k % 2, DOTS), F.when(k % 3 == 0, DEEP),
+        F.concat(F.lit('"items": '), F.coalesce("items", F.lit("[]"))),
+    )
+    return both.select("doc_id", "filename", with_members(F.col("header"), members).alias("raw"))
+
+
+def mixed_batch(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Every order as an uploaded document of one of three types, with all its lines.
+
+    ``documents(doc_id, filename, page)``, ``answers(doc_id, answer)`` of a classifying model,
+    ``responses(doc_id, raw_text, error)`` of an extracting one. Some documents have no
+    answer, some answers cannot be used, some responses fail or are missing.
+    """
+    k = F.col("l_orderkey")
+    quantity = F.when(F.col("l_partkey") % 13 != 0, F.concat(text_of("l_quantity"), F.lit(" KG")))
+    order_item = {p: text_of(v) if t == "string" else v for p, (v, t) in line_values().items()}
+    gate_item = {"line_number": text_of("l_linenumber"), "quantity": quantity, "unit": F.col("l_returnflag")}
+    ship_item = {
+        "line_number": text_of("l_linenumber"), "fob_value": F.col("l_extendedprice"),
+        "hs_code": F.when(F.col("l_returnflag") == "R", F.lpad(text_of("l_partkey"), 6, "0")),
+        "gross_weight": F.col("l_quantity"), "net_weight": net_weight(),
+    }
+    items = lines_json(spark, sf, choose(k % 3, {0: json_of(order_item), 1: json_of(gate_item)}, json_of(ship_item)))
+
+    o, n = F.col("o_orderkey"), text_of("o_orderkey")
+    gate = {
+        "metadata.document_type": F.lit("IGP"),
+        "gate_pass.gate_pass_number": F.when(o % 7 != 0, F.concat(F.lit("GP"), n)),
+        "gate_pass.entry_date": F.date_format("o_orderdate", "dd.MM.yyyy"),
+        "purchase_order.po_number": F.when(o % 5 != 0, F.concat(F.lit("PO"), n)).otherwise(""),
+        "vendor.code": F.when(o % 4 != 0, text_of("c_custkey")),
+        "delivery.vehicle_number": F.when(o % 6 != 0, F.concat(F.lit("KA"), n)),
+    }
+    bill = ship_columns()
+    paths = {
+        "sb_number": "shipping_bill.shipping_bill_number", "leo_date": "shipping_bill.leo_date", "iec": "exporter.iec_number",
+        "invoice_fob": "invoice.fob_value", "exchange_rate": "invoice.exchange_rate", "commission": "invoice.commission",
+        "summary_fob": "summary.total_fob_value", "dbk_rate": "drawback.dbk_rate", "dbk_amount": "drawback.dbk_amount",
+        "rodtep": "drawback.rodtep_amount", "scheme": "drawback.scheme_description",
+    }
+    ship = {"metadata.source.pages": F.lit(1), "consignee.name": F.lit("Port Co")} | {paths[c]: v for c, v in bill.items() if c in paths}
+    order = {p: v for p, (v, _) in order_values().items()} | {"metadata.source.pages": F.lit(1)}
+    orders = orders_with_customer(spark, sf)
+    raw = choose(o % 3, {0: json_of(order), 1: json_of(gate)}, json_of(ship))
+    page = F.when(o % 9 == 4, "Nothing known").otherwise(
+        choose(o % 3, {0: "Purchase Order for the buyer", 1: "Inward Gate Pass, vehicle no. 5"}, "Shipping Bill, customs, drawback")
+    )
+    key = choose(o % 3, {0: "purchase_order", 1: "igp"}, "shipping_bill")
+    answer = choose(o % 20, {
+        0: F.concat(F.lit('{"use_case_key": "'), key, F.lit('"}')),
+        1: '{"use_case_key": "memo", "document_type": "Memo"}', 5: "no idea",
+    })
+    headers = orders.select(o.alias("doc_id"), raw.alias("header"))
+    d = F.col("doc_id")
+    whole = with_members(F.col("header"), F.concat(F.lit('"items": '), F.coalesce("items", F.lit("[]"))))
+    failed = choose(d % 13, {1: "AI service temporarily unavailable."})
+    text = choose(d % 13, {1: None, 2: F.substring(whole, F.lit(1), F.length(whole) - 9), 3: "[1]", 4: F.concat(F.lit("```json\n"), whole, F.lit("\n```"))}, whole)
+    return {
+        "documents": table(spark, sf, "orders").select(o.alias("doc_id"), F.concat(F.lit("doc"), n, F.lit(".pdf")).alias("filename"), page.alias("page")),
+        "answers": table(spark, sf, "orders").select(o.alias("doc_id"), answer.alias("answer")).where("answer IS NOT NULL"),
+        "responses": headers.where(d % 13 != 0).join(items, "doc_id", "left").select("doc_id", text.alias("raw_text"), failed.alias("error")),
+    }
+
+
+def fenced(raw: Column, key: Column) -> Column:
+    """A model's answer around a JSON text; one in eight is cut short."""
+    return choose(
+        key % 8,
+        {
+            1: F.concat(F.lit("```json\n"), raw, F.lit("\n```")),
+            2: F.concat(F.lit("Here it is:\n"), raw, F.lit("\nDone.")),
+            5: F.substring(raw, F.lit(1), F.length(raw) - 9),
+        },
+        raw,
+    )
+
+
 # ---- shipping bills and gate passes -------------------------------------------
 
 
-def ship_headers(spark: SparkSession, sf: str) -> DataFrame:
-    """Shipping-bill facts of every order."""
+def ship_columns() -> dict[str, Column]:
+    """Shipping-bill facts of an order row."""
     o = F.col("o_orderkey")
     price = F.col("o_totalprice")
+    return {
+        "sb_number": F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("SB"), text_of(o))),
+        "iec": F.when(o % 9 != 0, text_of(o)),
+        "commission": F.when(o % 7 != 0, price / 1000),
+        "exchange_rate": choose(o % 5, {0: None, 1: "0"}, "83.5"),
+        "leo_date": F.when(F.col("o_orderpriority") != "5-LOW", day_key(F.col("o_orderdate"))),
+        "dbk_rate": F.when(o % 6 == 0, F.lit("1.5")),
+        "dbk_amount": F.when(o % 10 != 3, text_of(price / 50)),
+        "rodtep": F.when(o % 8 != 0, F.lit("0")),
+        "scheme": F.when(o % 4 != 0, F.col("o_orderpriority")).otherwise(""),
+        "invoice_fob": F.when(o % 4 == 0, "0").otherwise(text_of(price)),
+        "summary_fob": text_of(price * 2),
+        "shift": o % 5,
+    }
+
+
+def ship_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Shipping-bill facts of every order."""
     return table(spark, sf, "orders").select(
-        o.alias("doc_id"),
-        F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("SB"), text_of(o))).alias("sb_number"),
-        F.when(o % 9 != 0, text_of(o)).alias("iec"),
-        F.when(o % 7 != 0, price / 1000).alias("commission"),
-        choose(o % 5, {0: None, 1: "0"}, "83.5").alias("exchange_rate"),
-        F.when(F.col("o_orderpriority") != "5-LOW", day_key(F.col("o_orderdate"))).alias("leo_date"),
-        F.when(o % 6 == 0, F.lit("1.5")).alias("dbk_rate"),
-        F.when(o % 10 != 3, text_of(price / 50)).alias("dbk_amount"),
-        F.when(o % 8 != 0, F.lit("0")).alias("rodtep"),
-        F.when(o % 4 != 0, F.col("o_orderpriority")).otherwise("").alias("scheme"),
-        F.when(o % 4 == 0, "0").otherwise(text_of(price)).alias("invoice_fob"),
-        text_of(price * 2).alias("summary_fob"),
-        (o % 5).alias("shift"),
+        F.col("o_orderkey").alias("doc_id"), *[c.alias(n) for n, c in ship_columns().items()]
     )
 
 
+def net_weight() -> Column:
+    """Net weight of a line: above the gross weight, its quantity, at high discounts."""
+    off = F.when(F.col("l_discount") >= 0.1, 0.5).when(F.col("l_discount") >= 0.09, 0.01).otherwise(-0.5)
+    return F.col("l_quantity") + off
+
+
 def ship_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Shipping-bill lines: gross weight is the quantity, net exceeds it at high discounts."""
-    q = F.col("l_quantity")
-    net = q + F.when(F.col("l_discount") >= 0.1, 0.5).when(F.col("l_discount") >= 0.09, 0.01).otherwise(
-        -0.5
-    )
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"),
         "l_linenumber", "l_partkey", "l_suppkey",
         F.when(F.col("l_returnflag") == "R", F.lpad(text_of("l_partkey"), 6, "0")).alias("hs_code"),
         F.col("l_extendedprice").alias("fob_value"),
-        q.alias("gross"),
-        net.alias("net"),
+        F.col("l_quantity").alias("gross"),
+        net_weight().alias("net"),
     )
 
 

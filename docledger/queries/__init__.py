@@ -1,6 +1,6 @@
 """Registered queries, each beside the DuckDB SQL that checks it."""
 
-from . import catalog, documents, intake, lines, locations, rollups, scalars, streams  # noqa: F401
+from . import batches, catalog, documents, intake, lines, locations, rollups, scalars, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

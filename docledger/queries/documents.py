@@ -286,7 +286,7 @@ def finalize_gate_pass(spark, sf):
         *ids, F.lit("pass.pdf").alias("filename"), raw.alias("raw_text")
     )
     parsed = finalize.parse_documents(responses)
-    out = finalize.finalize_json(parsed, GATE_PASS, depth=4)
+    out = finalize.finalize_json(parsed, GATE_PASS)
     done = F.col("status") == "done"
     return out.select(
         *ids, "status",
@@ -310,7 +310,7 @@ UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, qf, l_quantity::VARCHAR ||
 def auto_fix_gate_pass(spark, sf):
     ids = ["l_orderkey", "l_linenumber", "l_partkey"]
     docs = spread(b.table(spark, sf, "lineitem"), "l_orderkey", "l_partkey").select(*ids, F.try_parse_json(_gate_pass_json()).alias("data"))
-    cells = docs.select(*ids, cl.document_cells(GATE_PASS, F.col("data"), 4).alias("cells"))
+    cells = docs.select(*ids, cl.document_cells(GATE_PASS, F.col("data")).alias("cells"))
     fixed = repair.repair(repair.gate_pass_kinds(F.col("cells")))
     return cells.select(*ids, F.explode(repair.gate_pass_notes(fixed)).alias("n")).select(*ids, "n.*")
 
@@ -362,8 +362,7 @@ SELECT event_id, x.path AS path, CASE WHEN x.path = 'tags[1].v' THEN NULL ELSE x
 """)
 def flatten_json(spark, sf):
     raw = spread(b.table(spark, sf, "events"), "event_id").select("event_id", _nested_event().alias("raw"))
-    depth = jsondoc.measured_depth(raw, "raw")
-    flat = jsondoc.flatten(F.try_parse_json("raw"), depth)
+    flat = jsondoc.flatten(F.try_parse_json("raw"), F.col("raw"))
     rows = raw.select("event_id", F.explode(flat).alias("c"))
     return rows.select(
         "event_id", "c.path",
@@ -403,7 +402,8 @@ def path_set(spark, sf):
             F.lit("props.k"), cell(F.lit("7"), "number"), F.lit("new.block.key"), cell(e, "string")
         ),
     )
-    flat = jsondoc.flatten(F.try_parse_json(F.format_string('{"props": %s}', F.col("props"))), 2)
+    raw = F.format_string('{"props": %s}', F.col("props"))
+    flat = jsondoc.flatten(F.try_parse_json(raw), raw)
     docs = b.table(spark, sf, "events").select("event_id", audit.set_paths(flat, edits).alias("f"))
     return docs.select("event_id", F.explode("f").alias("c")).select(
         "event_id", "c.path", F.col("c.v").alias("value")
@@ -452,7 +452,7 @@ def audit_diff(spark, sf):
     )
 
     def flat(text):
-        return jsondoc.flatten(F.try_parse_json(text), 3, keep_confidence=True)
+        return jsondoc.flatten(F.try_parse_json(text), text, keep_confidence=True)
 
     docs = spread(b.table(spark, sf, "orders"), "o_orderkey").select(
         o.alias("doc_id"), flat(before).alias("before"), flat(after).alias("after")
@@ -511,7 +511,7 @@ def finalize_shipping(spark, sf):
     docs = spread(b.ship_headers(spark, sf), "doc_id").select(
         "doc_id", F.lit("bill.pdf").alias("filename"), _shipping_json().alias("raw_text")
     )
-    out = finalize.finalize_json(finalize.parse_documents(docs), SHIPPING_BILL, depth=3)
+    out = finalize.finalize_json(finalize.parse_documents(docs), SHIPPING_BILL)
     kept = F.filter("issues", lambda i: i.rule != "section_missing")
     return out.select(
         "doc_id", F.array_join(F.transform(kept, lambda i: i.rule), ",").alias("issues"),

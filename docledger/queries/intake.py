@@ -8,6 +8,7 @@ from ..functions import scores, text
 from ..functions.costs import PREDICT_BASE_INPUT, PREDICT_INPUT_PER_PAGE, PREDICT_OUTPUT, cost
 from ..operators import classify, intake, locate
 from ..plans import bindings as b
+from ..session import saved
 from .registry import query
 from .sqltext import FILES, STATUS, WS, band
 
@@ -138,30 +139,59 @@ SELECT doc_id, '{{"chars": ' || n || '}}' AS raw_text, TRUE AS ok FROM k
 WHERE cache_key NOT IN (SELECT cache_key FROM c)
 """)
 def extract_plug(spark, sf):
-    """A user's extractor on the misses only; here it reports the length of the text."""
-    sha1 = F.sha1("content")
-    docs = b.files(spark, sf).select(
-        "doc_id", F.col("content").alias("text"),
-        intake.cache_key(F.col("lang"), F.lit("v1"), sha1).alias("cache_key"),
-    )
-    known = (
-        docs.select("doc_id", "cache_key")
-        .join(_labelled(spark, sf).where("toxic = 0"), "doc_id")
-        .select("cache_key")
-        .distinct()
+    """A user's extractor on the misses only; here it reports the length of the text.
+
+    One document per content is extracted, its copies take the same answer.
+    """
+    docs, cache = _cached(spark, sf, lambda payload: F.lit("{}"), "toxic = 0")
+    fresh = _extracted(spark, sf, docs, cache)
+    out = intake.served(docs, cache, fresh).where("served <> 'cache'")
+    return out.select("doc_id", F.col("payload").alias("raw_text"), F.lit(True).alias("ok"))
+
+
+def _cached(spark, sf, payload, which):
+    """Documents with their cache keys, and a cache that knows the labelled ones."""
+    key = intake.cache_key(F.col("lang"), F.lit("v1"), F.col("sha1"))
+    docs = saved(_hashed(spark, sf).select("doc_id", key.alias("cache_key")), "cache-keys")
+    cache = docs.join(_labelled(spark, sf).where(which), "doc_id").select(
+        "cache_key", payload(F.col("quality")).alias("payload"), F.col("doc_id").alias("stored_at")
     )
-    missed = docs.select("doc_id", "cache_key").join(known, "cache_key", "left_anti")
-    # The extractor needs the text, so the misses' ids select the rows of the scan.
-    misses = docs.select("doc_id", "text").join(missed.select("doc_id"), "doc_id", "left_semi")
+    return docs, cache
+
+
+def _extracted(spark, sf, docs, cache):
+    first = saved(intake.leaders(docs, cache), "leaders")
+    texts = b.files(spark, sf).select("doc_id", F.col("content").alias("text"))
 
     def extractor(batches):
         for pdf in batches:
             chars = pdf["text"].str.len()
-            yield pdf[["doc_id"]].assign(
-                raw_text=['{"chars": %d}' % n for n in chars], ok=True
-            )
+            yield pdf[["doc_id"]].assign(payload=['{"chars": %d}' % n for n in chars])
+
+    told = intake.extract_misses(intake.pick(texts, first), extractor, "doc_id BIGINT, payload STRING")
+    return told.join(first, "doc_id")
+
 
-    return intake.extract_misses(misses, extractor, "doc_id BIGINT, raw_text STRING, ok BOOLEAN")
+@query("cache_store", f"""
+WITH {FILES}, k AS (SELECT doc_id, lang || '_v1_' || sha1 AS cache_key, length(text) AS n FROM files),
+c AS (SELECT k.cache_key, arg_max(l.quality, l.doc_id) AS quality FROM labels l JOIN k ON l.doc_id = k.doc_id WHERE l.toxic = 0 GROUP BY k.cache_key),
+f AS (SELECT cache_key, min(doc_id) AS leader FROM k WHERE cache_key NOT IN (SELECT cache_key FROM c) GROUP BY cache_key)
+SELECT k.doc_id, CASE WHEN c.cache_key IS NOT NULL THEN 'cache' WHEN k.doc_id = leader THEN 'extracted' ELSE 'copied' END AS served,
+  CASE WHEN c.cache_key IS NOT NULL THEN '{{"data":{{"quality":' || quality || '}},"ai_scores":{{}}}}' ELSE '{{"data":{{"chars": ' || n || '}},"ai_scores":{{"chars":99}}}}' END AS payload,
+  TRUE AS hit_next_time
+FROM k LEFT JOIN c ON k.cache_key = c.cache_key LEFT JOIN f ON k.cache_key = f.cache_key
+""")
+def cache_store(spark, sf):
+    """Look up, extract one document per missing content, store, and look up again."""
+    known = lambda q: intake.payload(F.concat(F.lit('{"quality":'), q.cast("string"), F.lit("}")), F.lit(None))
+    docs, cache = _cached(spark, sf, known, "toxic = 0")
+    told = _extracted(spark, sf, docs, cache)
+    fresh = told.withColumns({
+        "payload": intake.payload(F.col("payload"), F.lit('{"chars":99}')), "stored_at": F.lit(1 << 40),
+    })
+    first = intake.served(docs, cache, fresh)
+    again = intake.cache_split(docs, intake.store(cache, fresh)).select("doc_id", F.col("hit").alias("hit_next_time"))
+    return first.join(again, "doc_id").select("doc_id", "served", "payload", "hit_next_time")
 
 
 @query("latest_success", """

@@ -80,7 +80,7 @@ def batch_counts(spark, sf):
 
 
 @query("batch_by_type", f"""
-WITH {STATUS}, c AS (SELECT batch_id, key AS label, count(*) AS n FROM docs GROUP BY ALL)
+WITH {STATUS}, c AS (SELECT batch_id, key AS label, count(*) AS n FROM docs WHERE status = 'done' GROUP BY ALL)
 SELECT batch_id, string_agg(label || '=' || n, ';' ORDER BY label) AS by_type FROM c GROUP BY batch_id
 """)
 def batch_by_type(spark, sf):

@@ -187,9 +187,7 @@ cells AS (
 
 ORDER_CELLS = _order_cells()
 
-# Line-item cells of an order; one row per cell.
-LINE_CELLS = """
-lspread AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, unnest([
+LINE_ROWS = """
     {'key': 'line_number', 'label': 'Line #', 'kind': 'text', 'v': l_linenumber::VARCHAR, 't': 'string'},
     {'key': 'material_code', 'label': 'Material Code', 'kind': 'text', 'v': ' P' || l_partkey, 't': 'string'},
     {'key': 'hsn_code', 'label': 'HSN Code', 'kind': 'text', 'v': lpad(l_suppkey::VARCHAR, 6, '0'), 't': 'string'},
@@ -198,8 +196,11 @@ lspread AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, unnest([
     {'key': 'unit_price', 'label': 'Unit Price', 'kind': 'number',
      'v': CASE WHEN l_discount > 0.08::DOUBLE THEN 'free' ELSE '₹' || format('{:,.2f}', l_extendedprice / l_quantity) END, 't': 'string'},
     {'key': 'taxable_amount', 'label': 'Taxable Amount', 'kind': 'number', 'v': l_extendedprice::VARCHAR, 't': 'number'},
-    {'key': 'gst_percent', 'label': 'GST %', 'kind': 'number', 'v': l_tax::VARCHAR, 't': 'number'}
-  ]) AS x FROM lineitem),
+    {'key': 'gst_percent', 'label': 'GST %', 'kind': 'number', 'v': l_tax::VARCHAR, 't': 'number'}"""
+
+# Line-item cells of an order; one row per cell.
+LINE_CELLS = f"""
+lspread AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, unnest([{LINE_ROWS}]) AS x FROM lineitem),
 lcells AS (
   SELECT doc_id, 'items[' || n || '].' || x.key AS path, 'items[' || n || '].' || x.label AS label,
     x.kind AS kind, x.v AS v, x.t AS t FROM lspread)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "docledger", master: str | None = None, **conf) -> SparkSession:
@@ -42,3 +42,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="docledger-")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that is used more than once to the shared scratch folder and read it back."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,15 +143,44 @@ def test_responses(values):
 
 def test_flatten_and_depth(values):
     doc = '{"a": {"b": [1, {"c": "x"}], "e": {}, "_confidence": {"q": 1}}, "n": null, "t": "{\\"["}'
-    flat = values(lambda c: jsondoc.flatten(F.try_parse_json(c), 4), [doc])[0]
+    flat = values(lambda c: jsondoc.flatten(F.try_parse_json(c)), [doc])[0]
     assert {(r.path, r.v, r.t) for r in flat} == {
         ("a.b[0]", "1", "number"), ("a.b[1].c", "x", "string"), ("n", None, "null"), ("t", '{"[', "string"),
     }
-    kept = values(lambda c: jsondoc.flatten(F.try_parse_json(c), 4, keep_confidence=True), [doc])[0]
+    kept = values(lambda c: jsondoc.flatten(F.try_parse_json(c), c, keep_confidence=True), [doc])[0]
     assert "a._confidence.q" in {r.path for r in kept}
-    assert values(jsondoc.json_depth, [doc, "{}", '{"a":[[1]]}']) == [4, 1, 3]
-    with pytest.raises(Exception, match="nests deeper"):
-        values(lambda c: jsondoc.flatten(F.try_parse_json(c), 2), [doc])
+    escapes = json.dumps({"t": '\n"\\{' * 20_000})
+    assert values(jsondoc.json_depth, [doc, "{}", '{"a":[[1]]}', escapes]) == [4, 1, 3, 1]
+
+
+def flattened(data, prefix=""):
+    """The same by recursion over Python values, which keep the order of names."""
+    if isinstance(data, dict):
+        parts = [flattened(v, f"{prefix}.{k}" if prefix else k) for k, v in data.items() if k != "_confidence"]
+    elif isinstance(data, list):
+        parts = [flattened(v, f"{prefix}[{i}]") for i, v in enumerate(data)]
+    else:
+        return {prefix: data}
+    return {k: v for part in parts for k, v in part.items()}
+
+
+def nest(depth, leaf="1"):
+    return '{"a":' * depth + leaf + "}" * depth
+
+
+def test_flatten_any_depth_and_names_with_dots(values):
+    docs = [
+        nest(3), nest(70), "[" * 40 + "7" + "]" * 40, "5", "{}", "[]", '{"": {"x": 1}, "x": 2}',
+        '{"a.b": 1, "a": {"b": 2}}', '{"a": {"b": 2}, "a.b": 1}', '{"p": {"z.q": 1, "z": {"q": 2}}, "b": 0, "a": 1}',
+        '{"a[0]": "x", "a": ["y"]}', '{"a": ["y"], "a[0]": "x"}', '{"it\'s.a": 1, "it\'s": {"a": 2}}',
+        '{"k": 1, "k": 2}', '{"x": {"y.z": 1}, "x.y": {"z": 2}, "x.y.z": 3, "q": [[], {}, null]}',
+    ]
+    got = values(lambda c: jsondoc.flatten(F.try_parse_json(c), c), docs)
+    for doc, flat in zip(docs, got):
+        assert len({r.path for r in flat}) == len(flat)
+        as_text = {k: None if v is None else str(v) for k, v in flattened(json.loads(doc)).items()}
+        assert {r.path: r.v for r in flat} == as_text, doc
+    assert values(lambda c: jsondoc.flatten(F.try_parse_json(c), c), [None, "{", nest(5000)]) == [None] * 3
 
 
 def test_drawback_rate(values):
