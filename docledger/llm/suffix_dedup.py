@@ -18,7 +18,8 @@ smaller id. Suffixes of all documents do not fit one transform, so they are deal
   prefixes at least that long, the repeated ones. No suffix is sorted again. The least
   document of a block decides over its windows.
 * A minimizer with very many strings (one line that a great part of the documents hold,
-  with something else behind it in each) is dealt out further by whole windows.
+  with something else behind it in each) is dealt out further by whole windows, as 128 bits
+  of hash; windows that very many strings hold are salted.
 
 Whole equal documents are found by digest first; only the one with the smallest id takes
 part. Texts are shuffled only for documents that lose something.
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import fuse
 from .exact_dedup import fingerprints
+from .passages import heavy_join
 from .tables import save, text_key, without
 from .words import chunks, mix, span_hashes
 
@@ -247,6 +249,25 @@ _RANGES = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 _FOUND = "m INT, sid LONG, ranges ARRAY<STRUCT<lo: LONG, hi: LONG>>"
 
 
+def _windows(length: int):
+    """Two 64-bit hashes of each window of each string, some strings at once."""
+    names = ["m", "sid", "least", "at", "w1", "w2"]
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offsets in chunks(batch.column("string")):
+                counts = np.maximum(np.diff(offsets) - length + 1, 0)
+                of = np.repeat(np.arange(b - a), counts)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                starts = offsets[of] + at
+                w1 = span_hashes(data, starts, starts + length)
+                w2 = span_hashes(data ^ np.uint8(0xA5), starts, starts + length)
+                part = [batch.column(c).slice(a, b - a).take(pa.array(of)) for c in names[:3]]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(at.astype(np.int32)), *(pa.array(w.view(np.int64)) for w in (w1, w2))], names=names)
+
+    return run
+
+
 def _inner(points: DataFrame, strings: DataFrame, length: int) -> DataFrame:
     """``m, sid, ranges`` of the strings that hold windows of a smaller document; ``strings``: ``m, sid, least``, saved."""
     counts = save(strings.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
@@ -280,18 +301,13 @@ def _inner(points: DataFrame, strings: DataFrame, length: int) -> DataFrame:
     merged = scanned(False).withColumn("bin", F.expr(f"pmod(xxhash64(m), {bins})")).groupBy("bin").applyInArrow(work, _FOUND)
     if not some_crowded:
         return merged
+    merged = save(merged, "merged")  # before the crowded ones are scanned: one scan of all text at a time
 
-    def windows(batches):
-        for batch in batches:
-            ids, sids, least = (batch.column(c).to_pylist() for c in ("m", "sid", "least"))
-            rows = [(m, sid, f, k, s[k : k + length]) for m, sid, f, s in zip(ids, sids, least, batch.column("string").to_pylist()) for k in range(len(s) - length + 1)]
-            types = [pa.int32(), *[pa.int64()] * 3, pa.binary()]
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["m", "sid", "least", "at", "window"])
-
-    single = scanned(True).mapInArrow(windows, "m INT, sid LONG, least LONG, at LONG, window BINARY")
-    lowest = single.groupBy("window").agg(F.min("least").alias("lowest"), F.max("least").alias("highest")).where("lowest < highest")
-    hits = single.join(lowest, "window").where("lowest < least").join(strings.select("m", "sid", "least"), ["m", "sid", "least"], "left_semi")
+    single = save(scanned(True).mapInArrow(_windows(length), "m INT, sid LONG, least LONG, at INT, w1 LONG, w2 LONG"), "windows")
+    met = single.groupBy("w1", "w2").agg(F.min("least").alias("lowest"), F.max("least").alias("highest"), F.count(F.lit(1)).alias("n"))
+    met = save(met.where("lowest < highest"), "shared-windows")
+    hits = heavy_join(single, met.select("w1", "w2", "lowest"), met.select("w1", "w2", "n"), ["w1", "w2"]).where("lowest < least")
+    hits = hits.join(strings.select("m", "sid", "least"), ["m", "sid", "least"], "left_semi").withColumn("at", F.col("at").cast("long"))
     ranges = hits.groupBy("m", "sid").agg(F.collect_list(F.struct(F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))).alias("ranges"))
     return merged.unionByName(ranges)
 
