@@ -59,6 +59,8 @@ ROUNDS = 4
 PAIRS = 1_000_000
 #: Shingles that may be put at the end of the order at a time: 8 MB.
 MOVED = 1_000_000
+#: Pairs whose sketches are in Python's memory at once.
+SLICE = 512
 #: Bits of a sketch at least; longer sets have longer ones.
 SKETCH_BITS = 2048
 ONE_SET = "doc_id LONG, text_key LONG, n_shingles LONG, sig BINARY, sketch BINARY, s LONG, seen LONG"
@@ -184,7 +186,7 @@ def _measured(pairs: DataFrame, docs: DataFrame, words: int, rounds: int = 1) ->
         heads = save(mine.select(F.col("a").alias("x"), "fan").distinct(), "heads")
         right = whole_sets(docs, save(mine.select("x").distinct(), "ids"), words).withColumnRenamed("items", "right")
         left = whole_sets(docs, save(heads.select("x").distinct(), "ids"), words).join(small(heads), "x")
-        left = left.select(F.col("x").alias("a"), "fan", F.col("items").alias("left"))
+        left = save(left.select(F.col("x").alias("a"), "fan", F.col("items").alias("left")), "left")  # one scan of text at a time
         both = F.size(F.array_intersect("left", "right")).cast("long").alias("both")
         sized = right.join(small(mine, PAIRS), "x").join(left, ["a", "fan"]).select("a", F.col("x").alias("b"), "na", "nb", both)
         sized = save(sized, "sized")
@@ -196,12 +198,14 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b, na, nb`` whose sketches don't rule the threshold out, and the bits they differ in."""
 
     def run(batches):
-        for batch in batches:
-            apart = differing(batch.column("left").to_pylist(), batch.column("right").to_pylist())
-            # at the threshold the sets differ in (1 - t) / (1 + t) of the sum of their sizes
-            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            batch = batch.append_column("apart", pa.array(apart))
-            yield batch.select(["a", "b", "na", "nb", "apart"]).filter(pa.array(apart * (100 + percent) <= (100 - percent) * total))
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):  # sketches are as long as their sets
+                batch = whole.slice(at, SLICE)
+                apart = differing(batch.column("left").to_pylist(), batch.column("right").to_pylist())
+                # at the threshold the sets differ in (1 - t) / (1 + t) of the sum of their sizes
+                total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+                batch = batch.append_column("apart", pa.array(apart))
+                yield batch.select(["a", "b", "na", "nb", "apart"]).filter(pa.array(apart * (100 + percent) <= (100 - percent) * total))
 
     left = sketches.select(F.col("x").alias("a"), F.col("sketch").alias("left"))
     right = sketches.select(F.col("x").alias("b"), F.col("sketch").alias("right"))
