@@ -176,18 +176,33 @@ def test_manifest_files(spark, tmp_path):
     assert [s.key for s in specs_from_json([r.raw for r in raw.collect()])] == ["vendor_invoice"]
 
 
-def test_first_seen_stream_over_two_runs(spark, tmp_path):
+def test_first_seen_stream_over_batches(spark, tmp_path):
+    """First batch wins over bases and batches; a batch reads the parts that it touches only."""
     source, folder = tmp_path / "in", scratch_folder(spark, "test")
     schema = "sha1 STRING, n INT"
+    index = "sha1 STRING, n INT, part STRING"
 
     def step(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(schema).parquet(str(source))
-        jobs.start_first_seen(stream, f"{folder}/out", f"{folder}/cp", ["n"], ["n"]).awaitTermination()
-        return sorted(map(tuple, jobs.current_index(spark, f"{folder}/out").collect()))
-
-    assert step([("a", 2), ("a", 1), ("b", 5)]) == [("a", 1), ("b", 5)]
-    assert step([("a", 0), ("c", 7)]) == [("a", 1), ("b", 5), ("c", 7)]
+        jobs.start_first_seen(stream, f"{folder}/out", f"{folder}/cp", ["n"], ["n"], every=2).awaitTermination()
+        return sorted(map(tuple, jobs.current_index(spark, f"{folder}/out", index).collect()))
+
+    assert step([("aa", 2), ("aa", 1), ("bb", 5)]) == [("aa", 1), ("bb", 5)]
+    assert step([("aa", 0), ("cc", 7)]) == [("aa", 1), ("bb", 5), ("cc", 7)]
+    assert jobs._bases(spark, f"{folder}/out") == [1]
+    assert step([("bb", 0), ("dd", 3), ("aa1", 4)]) == [("aa", 1), ("aa1", 4), ("bb", 5), ("cc", 7), ("dd", 3)]
+    for k in range(5):
+        want = step([(f"e{k}", k), ("cc", 0)])
+    assert len(want) == 10 and jobs._bases(spark, f"{folder}/out") == [1, 3, 5, 7]
+    read = jobs.stored(spark, f"{folder}/out", index)
+    assert {r.batch for r in read.select("batch").collect()} == set(range(8))  # rows keep their batch
+    for batch_id in (3, 7):  # one base and at most one batch behind it, however many there are
+        folders = {f.split("/out/")[1].split("/")[0] for f in jobs.stored(spark, f"{folder}/out", index, batch_id).inputFiles()}
+        assert folders <= {f"base={batch_id - 2}", f"batch={batch_id - 1}"}
+    plan = jobs.stored(spark, f"{folder}/out", index, 7).where(F.col("part").isin(["cc"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [") >= 1 and "part#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert jobs.stored(spark, f"{folder}/out", index, 2).count() == 3  # a batch that is run again sees earlier ones only
 
 
 def test_file_stream(spark, tmp_path):
