@@ -1,7 +1,8 @@
 """Secret scan: patterns find candidates, a random forest takes out the false ones.
 
 Candidates are values assigned to a key that sounds secret, tokens of known issuers, key
-blocks, and long runs of key characters. The forest sees how long a candidate is, how its
+blocks, and long runs of key characters. Issuers' tokens and key blocks leave no doubt, so they
+are secrets whatever the forest says. Of the others, the forest sees how long a candidate is, how its
 characters change class, how much of it dictionary syllables cover, its document's path
 (the source), and the words beside it, but not which pattern found it. It is trained by
 Spark ML on labelled findings; the trees, a few thousand nodes, are then applied to each
@@ -12,7 +13,7 @@ document in the scan that redacts it, so texts are never shuffled.
 most ``SAMPLE`` findings of either label; scanning covers all texts whole.
 
 Defined results: null text stays null and has no findings, empty text stays empty. A null
-path is an empty one. Repeated rows get the same answer. With findings of one label only,
+path is an empty one. Findings that overlap are one finding. Repeated rows get the same answer. With findings of one label only,
 no forest can be trained and every candidate of a known form counts as secret. An empty
 table gives no rows. Other columns are kept as they are by ``redacted``.
 """
@@ -51,24 +52,40 @@ FEATURES = ["length", "digits", "upper", "other", "changes", "entropy", "vowels"
 FINDING = "candidate STRING, before STRING, after STRING, path STRING"
 
 
+#: Rules whose findings are secrets by their form, and all rules, the surest first.
+CERTAIN = ("block", "issued")
+RULES = (*CERTAIN, "assigned", "run")
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """``(start, end, rule)`` of the candidates, longest first where they overlap, in order."""
+    """``(start, end, rule)`` of all candidates in order, each span once by its surest rule.
+
+    Candidates may overlap: which of them stand is known only once they are scored.
+    """
     found = []
-    low = None
     if any(c in text for c in "=:"):
         low = text.lower()
         if any(k in low for k in KEY_WORDS):
             found += [(m.start(1), m.end(1), "assigned") for m in ASSIGNED.finditer(text)]
     if "-----BEGIN" in text:
         found += [(m.start(), m.end(), "block") for m in BLOCK.finditer(text)]
-    for m in LONG_WORD.finditer(text):
-        a, b = m.span()
-        if ISSUED.match(text, a) or not m[0].isalpha() and not m[0].isdigit():
-            found.append((a, b, "issued" if ISSUED.match(text, a) else "run"))
-    out: list[tuple[int, int, str]] = []
-    for a, b, rule in sorted(found, key=lambda f: (f[0], -f[1])):
-        if not out or a >= out[-1][1]:
-            out.append((a, b, rule))
+    found += [(*m.span(), "issued") for m in ISSUED.finditer(text)]
+    found += [(*m.span(), "run") for m in LONG_WORD.finditer(text) if not m[0].isalpha() and not m[0].isdigit()]
+    spans: dict[tuple[int, int], str] = {}
+    for a, b, rule in sorted(found, key=lambda f: RULES.index(f[2])):
+        spans.setdefault((a, b), rule)
+    return [(a, b, rule) for (a, b), rule in sorted(spans.items())]
+
+
+def merged(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Findings ``(start, end, rule, score)`` in order, overlapping ones as one by the surest rule."""
+    out: list[tuple[int, int, str, float]] = []
+    for a, b, rule, score in sorted(found):
+        if out and a < out[-1][1]:
+            first, last, other, best = out[-1]
+            out[-1] = (first, max(b, last), min(rule, other, key=RULES.index), max(score, best))
+        else:
+            out.append((a, b, rule, score))
     return out
 
 
@@ -175,10 +192,18 @@ def train(findings: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth:
     findings = findings.dropna(subset=["candidate", "label"]).fillna("", ["before", "after", "path"])
     order = F.xxhash64("candidate", "before", "path")
     picked = [findings.where(F.col("label") == k).distinct().orderBy(order, "candidate", "after").limit(sample) for k in (0, 1)]
-    rows = [(r["label"], features(r["candidate"], r["before"], r["after"], r["path"])) for p in picked for r in p.collect()]
-    if len({k for k, _ in rows}) < 2:
+
+    def measure(batches):
+        for batch in batches:
+            parts = (batch.column(k).to_pylist() for k in ("candidate", "before", "after", "path"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label"), pa.array([features(*r) for r in zip(*parts)], pa.list_(pa.float64()))], names=["label", "x"])
+
+    both = picked[0].unionByName(picked[1]).withColumn("label", F.col("label").cast("int"))
+    data = save(both.mapInArrow(measure, "label INT, x ARRAY<DOUBLE>"), "features")
+    if data.select("label").distinct().count() < 2:
         return None
-    data = spark.createDataFrame(rows, "label INT, x ARRAY<DOUBLE>").withColumn("features", array_to_vector("x"))
+    data = data.coalesce(1).sortWithinPartitions("label", "x").withColumn("features", array_to_vector("x"))  # always the same trees
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED).fit(data.select("label", "features"))
     path = scratch_folder(spark, "forest")
     model.write().save(path)
@@ -201,17 +226,21 @@ def scan(docs: DataFrame, forest: Forest | None, keep: list[str], text: str = "t
                     spans.append((k, a, b, rule))
                     rows.append(features(t[a:b], *around(t, a, b), where or ""))
             if model.value is None:
-                scores = [float(rule in ("issued", "block") or label(texts[k][a:b], rule) == 1) for k, a, b, rule in spans]
+                scores = [float(label(texts[k][a:b], rule) == 1) for k, a, b, rule in spans]
             else:
                 scores = model.value.shares(np.array(rows).reshape(len(rows), len(FEATURES))).tolist()
             count, found = [0] * len(texts), [[] for _ in texts]
-            for (k, a, b, rule), s in zip(spans, scores):
+            for (k, a, b, rule), score in zip(spans, scores):
                 count[k] += 1
-                if s >= threshold:
-                    found[k].append({"start": a, "length": b - a, "rule": rule, "score": s})
+                score = 1.0 if rule in CERTAIN else score
+                if score >= threshold:
+                    found[k].append((a, b, rule, score))
+            found = [merged(fs) for fs in found]
             for k, fs in enumerate(found):
-                for f in reversed(fs):
-                    texts[k] = texts[k][: f["start"]] + REDACTED + texts[k][f["start"] + f["length"] :]
+                if fs:
+                    edges = [0, *(e for a, b, _, _ in fs for e in (a, b)), len(texts[k])]
+                    texts[k] = REDACTED.join(texts[k][a:b] for a, b in zip(edges[::2], edges[1::2]))
+            found = [[{"start": a, "length": b - a, "rule": rule, "score": score} for a, b, rule, score in fs] for fs in found]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(count, pa.int64()), pa.array(found, pa.list_(struct)), pa.array(texts, pa.string())],
                 names=names)
