@@ -10,6 +10,8 @@ operators define; columns beside those of ``documents`` are carried to the last
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docledger.llm import exact_dedup, ngram_join, packing, quality, secrets
@@ -17,18 +19,38 @@ from docledger.llm.queries import table, word_tokenizer
 from docledger.llm.tables import save
 
 
+#: Rows of a batch of texts in the tasks: every stage adds workers and buffers to an executor,
+#: which keep the size of the largest batches they have seen.
+BATCH_ROWS = 1_000
+
+
+def small_batches(stage):
+    """The stage with the session's batches of texts kept small."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@small_batches
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
+@small_batches
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept_documents(docs)
 
 
+@small_batches
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.one_per_group(docs)
 
 
+@small_batches
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = secrets.scan(docs, secrets.train_on(docs), docs.columns)
     changed = F.size("llm_findings") > 0
@@ -36,6 +58,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
+@small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, word_tokenizer())
 
