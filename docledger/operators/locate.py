@@ -23,10 +23,10 @@ def search_terms(value: Column, json_type: Column) -> Column:
     first_line = strip(F.get(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), 0))
     number = value.try_cast("double")
     is_int = value.rlike(r"^-?\d+$")
-    whole = number == F.floor(number)
+    whole = number == F.rint(number)  # floor would stop at the largest long
     number_terms = F.when(is_int, F.array(value)).otherwise(
         F.array(
-            F.when(whole, number.cast("decimal(38,0)").cast("string")), general_format(number)
+            F.when(whole, number.try_cast("decimal(38,0)").cast("string")), general_format(number)
         )
     )
     terms = (

@@ -15,7 +15,7 @@ FIELD = "STRUCT<path STRING, label STRING, kind STRING, required BOOLEAN>"
 MANIFEST_SCHEMA = (
     "key STRING, document_type STRING, business_process STRING, status STRING, "
     "accuracy STRING, json_suffix STRING, prompt_version STRING, "
-    "department STRUCT<key STRING, name STRING, `order` INT>, keywords ARRAY<STRING>, "
+    "department STRUCT<key STRING, name STRING, `order` STRING>, keywords ARRAY<STRING>, "
     f"ai_description STRING, sections ARRAY<STRUCT<title STRING, fields ARRAY<{FIELD}>>>, "
     "line_items STRUCT<path STRING, columns ARRAY<STRUCT<key STRING, label STRING, kind STRING>>>, "
     f"sap STRUCT<required ARRAY<{FIELD}>>, "
@@ -98,7 +98,7 @@ def parse_manifests(texts: DataFrame) -> DataFrame:
         F.coalesce("m.prompt_version", F.lit("v1")).alias("prompt_version"),
         F.coalesce("m.department.key", F.lit("")).alias("department"),
         F.coalesce("m.department.name", F.lit("")).alias("department_name"),
-        F.coalesce("m.department.order", F.lit(DEFAULT_DEPARTMENT_ORDER)).alias("department_order"),
+        F.coalesce(strip(F.col("m.department.order")).try_cast("int"), F.lit(DEFAULT_DEPARTMENT_ORDER)).alias("department_order"),
         lower_keywords.alias("keywords"),
         F.coalesce("m.ai_description", F.lit("")).alias("ai_description"),
         sections.alias("sections"),

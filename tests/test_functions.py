@@ -119,6 +119,7 @@ def test_error_verdicts(values):
 def test_search_terms(values):
     cases = [
         ("12.0", "number", ["12"]), ("7", "number", []), ("1234567.0", "number", ["1234567", "1.23457e+06"]),
+        ("1E20", "number", ["100000000000000000000", "1e+20"]),
         ("3.25", "number", ["3.25"]), (" a\nb ", "string", ["a\nb"]), ("first line\nsecond", "string", ["first line\nsecond", "first line"]),
         ("true", "bool", []), (None, "null", []), ("x", "string", []),
     ]
