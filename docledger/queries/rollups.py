@@ -80,15 +80,19 @@ def batch_counts(spark, sf):
 
 
 @query("batch_by_type", f"""
-WITH {STATUS}, c AS (SELECT batch_id, key AS label, count(*) AS n FROM docs WHERE status = 'done' GROUP BY ALL)
-SELECT batch_id, string_agg(label || '=' || n, ';' ORDER BY label) AS by_type FROM c GROUP BY batch_id
+WITH {STATUS}, c AS (SELECT batch_id, key AS label, count(*) FILTER (status = 'done') AS n, count(*) FILTER (status <> 'done') AS m FROM docs GROUP BY ALL)
+SELECT batch_id, coalesce(string_agg(label || '=' || n, ';' ORDER BY label) FILTER (n > 0), '') AS by_type,
+  coalesce(string_agg(label || '=' || m, ';' ORDER BY label) FILTER (m > 0), '') AS other_by_type FROM c GROUP BY batch_id
 """)
 def batch_by_type(spark, sf):
-    m = rollups.batch_by_type(b.doc_status(spark, sf))
-    shown = F.transform(
-        F.map_entries("by_type"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))
-    )
-    return m.select("batch_id", F.array_join(shown, ";").alias("by_type"))
+    """Every document of every batch: the processed ones by type, and the others."""
+    m = rollups.batch_by_type(b.doc_status(spark, sf), every=True)
+
+    def shown(counts: str):
+        entries = F.transform(F.map_entries(counts), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))
+        return F.array_join(entries, ";").alias(counts)
+
+    return m.select("batch_id", shown("by_type"), shown("other_by_type"))
 
 
 _HISTORY = """
