@@ -41,7 +41,7 @@ from . import fuse
 from .exact_dedup import fingerprints
 from .passages import heavy_join
 from .tables import save, text_key, without
-from .words import chunks, mix, span_hashes
+from .words import all_spans, chunks, mix, span_hashes
 
 LENGTH = 50
 #: Bytes of a minimizer's gram: long enough that unrelated texts seldom share one.
@@ -51,47 +51,59 @@ WINDOWS = 256
 #: Distinct strings of one minimizer that are merged in one bin, strings in a bin and shard.
 HOT = 256
 BIN = 500
+#: A minimizer may have one in ``SHARE`` of all strings, up to ``MOST``, before its windows are dealt
+#: out: the rows that windows make then grow with the strings, and a bin stays some MB.
+SHARE = 2000
+MOST = 4096
 SHARD = 128
+#: Text scanned at once: its hashes fit a core's cache.
+SCAN_BYTES = 1 << 16
 #: Bytes of one symbol in suffix sorting and merging; nine bits each must fit 64.
 GROUP = 7
 
 
+def _least_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """The least hash of the grams in each window of ``length`` bytes, as ``span_hashes`` gives them."""
+    least = all_spans(data, GRAM)
+    spare = np.empty_like(least)
+    width, have = length - GRAM + 1, 1
+    while have < width:
+        step = min(have, width - have)
+        n = len(least) - step
+        np.minimum(least[:n], least[step:], out=spare[:n])
+        least, spare = spare[:n], least
+        have += step
+    return least
+
+
 def minimizers(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minimizer, document, start and end (in the chunk) of each string of a chunk."""
     none = np.zeros(0, np.int64)
-    n = len(data)
-    if n < length:
+    if len(data) < length:
         return none.astype(np.uint64), none, none, none
-    at = np.arange(n + 1 - GRAM)
-    least = span_hashes(data, at, at + GRAM)
-    width, have = length - GRAM + 1, 1
-    while 2 * have <= width:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    if have < width:
-        least = np.minimum(least[: have - width], least[width - have :])
-    docs = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
-    valid = np.arange(len(least)) + length <= offsets[1:][docs]
+    least = _least_hashes(data, length)
+    sizes = np.diff(offsets)
+    short = np.minimum(sizes, length - 1)  # the last places of a document start no window
+    valid = np.repeat(np.tile([True, False], len(sizes)), np.stack([sizes - short, short], 1).ravel())[: len(least)]
     opens = valid.copy()
-    opens[1:] &= (least[1:] != least[:-1]) | (docs[1:] != docs[:-1]) | ~valid[:-1]
-    starts = np.flatnonzero(opens)
-    if not len(starts):
-        return none.astype(np.uint64), none, none, none
-    run = np.cumsum(opens) - 1
-    late = valid & (run >= 0)
-    late &= (np.arange(len(least)) - starts[np.maximum(run, 0)]) % WINDOWS == 0
-    starts = np.flatnonzero(late)
+    opens[1:] &= (least[1:] != least[:-1]) | ~valid[:-1]
     closes = valid.copy()
-    closes[:-1] &= late[1:] | ~valid[1:]
-    ends = np.flatnonzero(closes) + length
-    return least[starts], docs[starts], starts, ends
+    closes[:-1] &= opens[1:] | ~valid[1:]
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    parts = -(-(ends - starts) // WINDOWS)
+    if len(parts) and parts.max() > 1:
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts = np.repeat(starts, parts) + nth * WINDOWS
+        ends = np.minimum(np.repeat(ends, parts), starts + WINDOWS)
+    docs = np.searchsorted(offsets, starts, "right") - 1
+    return least[starts], docs, starts, ends + (length - 1)
 
 
 def _first_scan(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = fuse.ids(batch.column("doc_id")).view(np.int64)
-            for a, b, data, offsets in chunks(batch.column("_text")):
+            for a, b, data, offsets in chunks(batch.column("_text"), SCAN_BYTES):
                 m, d, _, _ = minimizers(data, offsets, length)
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(ids[a:b][d])], names=["m", "doc"])
 
@@ -105,7 +117,7 @@ def _second_scan(docs: DataFrame, length: int, held) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, keys = fuse.ids(batch.column("doc_id")).view(np.int64), batch.column("text_key").to_numpy()
-            for a, b, data, offsets in chunks(batch.column("_text")):
+            for a, b, data, offsets in chunks(batch.column("_text"), SCAN_BYTES):
                 m, d, starts, ends = minimizers(data, offsets, length)
                 pick = held.value.contains(m) if held else np.ones(len(m), bool)
                 m, d, starts, ends = m[pick], d[pick], starts[pick], ends[pick]
@@ -129,7 +141,7 @@ def _third_scan(docs: DataFrame, length: int, held, hot, want_hot: bool) -> Data
     def run(batches):
         for batch in batches:
             ids = fuse.ids(batch.column("doc_id")).view(np.int64)
-            for a, b, data, offsets in chunks(batch.column("_text")):
+            for a, b, data, offsets in chunks(batch.column("_text"), SCAN_BYTES):
                 m, d, starts, ends = minimizers(data, offsets, length)
                 m, sid, doc = _short(m), span_hashes(data, starts, ends), ids[a:b][d]
                 pick = held.value.contains(sid ^ mix(doc.view(np.uint64))) if held else np.ones(len(m), bool)
@@ -268,11 +280,41 @@ def _windows(length: int):
     return run
 
 
+def _runs(length: int):
+    """The windows of each string as the byte ranges they cover, windows that follow each other in one."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("at")
+            at = lists.flatten().to_numpy()
+            of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            order = np.lexsort((at, of))
+            at, of = at[order].astype(np.int64), of[order]
+            opens = np.ones(len(at), bool)
+            opens[1:] = (of[1:] != of[:-1]) | (at[1:] > at[:-1] + 1)
+            starts = np.flatnonzero(opens)
+            lo, hi = at[starts], at[np.append(starts[1:], len(at)) - 1] + length
+            ranges = pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], fields=list(_RANGES.value_type))
+            offsets = np.searchsorted(of[starts], np.arange(len(lists) + 1)).astype(np.int32)
+            ranges = pa.ListArray.from_arrays(pa.array(offsets), ranges, type=_RANGES)
+            yield pa.RecordBatch.from_arrays([batch.column("m"), batch.column("sid"), ranges, batch.column("least")], names=["m", "sid", "ranges", "least"])
+
+    return run
+
+
+def _crowd(total: int) -> int:
+    """Strings of one minimizer that are merged in one bin, of ``total`` strings of all."""
+    return max(HOT, min(total // SHARE, MOST))
+
+
 def _inner(points: DataFrame, strings: DataFrame, length: int) -> DataFrame:
     """``m, sid, ranges`` of the strings that hold windows of a smaller document; ``strings``: ``m, sid, least``, saved."""
     counts = save(strings.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     held = fuse.screen(save(_pairs(strings.join(counts.select("m"), "m", "left_semi")).distinct(), "several"), "pair")
-    crowded = save(counts.where(F.col("n") > HOT).select(F.col("m").cast("long")), "crowded")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    crowded = save(counts.where(F.col("n") > _crowd(total)).select(F.col("m").cast("long")), "crowded")
     some_crowded = crowded.count() > 0
     hot = fuse.screen(crowded, "m") if some_crowded else None
 
@@ -296,7 +338,6 @@ def _inner(points: DataFrame, strings: DataFrame, length: int) -> DataFrame:
         out = [(m, sid, [{"lo": a, "hi": b} for a, b in ranges]) for (_, m, sid), ranges in zip(least.values(), found) if ranges]
         return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), _RANGES))], names=["m", "sid", "ranges"])
 
-    total = counts.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-total // BIN))
     merged = scanned(False).withColumn("bin", F.expr(f"pmod(xxhash64(m), {bins})")).groupBy("bin").applyInArrow(work, _FOUND)
     if not some_crowded:
@@ -307,8 +348,9 @@ def _inner(points: DataFrame, strings: DataFrame, length: int) -> DataFrame:
     met = single.groupBy("w1", "w2").agg(F.min("least").alias("lowest"), F.max("least").alias("highest"), F.count(F.lit(1)).alias("n"))
     met = save(met.where("lowest < highest"), "shared-windows")
     hits = heavy_join(single, met.select("w1", "w2", "lowest"), met.select("w1", "w2", "n"), ["w1", "w2"]).where("lowest < least")
-    hits = hits.join(strings.select("m", "sid", "least"), ["m", "sid", "least"], "left_semi").withColumn("at", F.col("at").cast("long"))
-    ranges = hits.groupBy("m", "sid").agg(F.collect_list(F.struct(F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))).alias("ranges"))
+    # one row per string before it is looked up: windows of strings in a crowd grow faster than the text
+    found = hits.groupBy("m", "sid", "least").agg(F.collect_list("at").alias("at")).mapInArrow(_runs(length), f"{_FOUND}, least LONG")
+    ranges = found.join(strings.select("m", "sid", "least"), ["m", "sid", "least"], "left_semi").drop("least")
     return merged.unionByName(ranges)
 
 

@@ -85,6 +85,19 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
 
 
+def all_spans(data: np.ndarray, size: int) -> np.ndarray:
+    """``span_hashes`` of every span of ``size`` bytes, without a lookup per span."""
+    n = len(data)
+    values = _VALUES.take(data)
+    values *= _powers(_BASE, n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values, out=sums[1:])
+    out = sums[size:] - sums[:-size]
+    out *= _powers(_INVERSE, len(out))
+    out += np.uint64(size)
+    return mix(out)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document and start of each word ``[^\\x20\\x09-\\x0D]+``."""
     starts, ends = runs(~BLANK[data], offsets)
