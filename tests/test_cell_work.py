@@ -46,3 +46,12 @@ def test_summary_of_scores(spark):
     rows = spark.sql("SELECT transform(array(0, 50, 75, 94, 95, 100, NULL), x -> named_struct('score', x)) AS c")
     s = rows.select(confidence.summary(F.col("c")).alias("s")).first()["s"].asDict()
     assert s == {"scored": 5, "score_sum": 414, "high": 2, "review": 2, "verify": 2}
+
+
+def test_members_are_not_searched_by_name(spark):
+    texts = ['{"b": 1, "a": {"c": [2, {"d": "x"}], "_confidence": {"c": 9}}, "_confidence": {"b": 5}}', '{"a.b": 1, "a": {"b": 2}}', "{}"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, raw STRING").withColumn("data", F.try_parse_json("raw"))
+    out = rows.select("i", jsondoc.flatten(F.col("data"), F.col("raw")).alias("f")).orderBy("i")
+    got = [sorted((c.path, c.v) for c in r["f"]) for r in out.collect()]
+    assert got == [[("a.c[0]", "2"), ("a.c[1].d", "x"), ("b", "1")], [("a.b", "2")], []]
+    assert "map_entries(" in plan_of(out)
