@@ -218,49 +218,42 @@ def derive_spec(samples: DataFrame, raw: str = "raw") -> DataFrame:
     v = F.try_parse_json(raw)
     top = F.filter(F.json_object_keys(raw), lambda k: ~k.isin(SKIPPED_KEYS))
 
-    def member(text: Column, key: Column) -> Column:
-        entries = text.try_cast("map<string,variant>")
-        return F.try_element_at(entries, key)
+    def entries(x: Column) -> Column:
+        """Members of an object as ``key, t``: its entries are listed once, not searched by name."""
+        members = F.map_entries(x.try_cast("map<string,variant>"))
+        return F.transform(members, lambda e: F.struct(e.key.alias("key"), jsondoc.json_type(e.value).alias("t")))
 
-    def kind(x: Column) -> Column:
-        return F.when(jsondoc.json_type(x) == "number", "number").otherwise("text")
+    def kind(t: Column) -> Column:
+        return F.when(t == "number", "number").otherwise("text")
 
-    def keys_of(x: Column) -> Column:
-        return F.map_keys(x.try_cast("map<string,variant>"))
+    def block(k: Column, x: Column) -> Column:
+        return let(F.try_variant_get(x, "$[0]", "variant"), lambda first: F.struct(
+            k.alias("k"), entries(x).alias("members"), entries(first).alias("first"),
+        ))
 
     blocks = let(
         v.try_cast("map<string,variant>"),
-        lambda m: F.transform(
-            top, lambda k: F.struct(k.alias("k"), F.try_element_at(m, k).alias("x"))
-        ),
-    )
-    lists = F.filter(
-        F.col("blocks"),
-        lambda b: jsondoc.json_type(F.try_variant_get(b.x, "$[0]", "variant")) == "object",
+        lambda m: F.transform(top, lambda k: block(k, F.try_element_at(m, k))),
     )
     scalars = F.flatten(
         F.transform(
-            F.filter(F.col("blocks"), lambda b: jsondoc.json_type(b.x) == "object"),
+            F.filter(F.col("blocks"), lambda b: b.members.isNotNull()),
             lambda b: F.transform(
-                F.filter(
-                    keys_of(b.x),
-                    lambda k: ~jsondoc.json_type(member(b.x, k)).isin("object", "array"),
-                ),
-                lambda k: F.struct(
+                F.filter(b.members, lambda e: ~e.t.isin("object", "array")),
+                lambda e: F.struct(
                     F.lit("field").alias("part"), title_from_key(b.k).alias("section"),
-                    F.concat(b.k, F.lit("."), k).alias("path"), title_from_key(k).alias("label"),
-                    kind(member(b.x, k)).alias("kind"),
+                    F.concat(b.k, F.lit("."), e.key).alias("path"), title_from_key(e.key).alias("label"),
+                    kind(e.t).alias("kind"),
                 ),
             ),
         )
     )
-    first = F.get(lists, 0)
-    first_item = F.try_variant_get(first.x, "$[0]", "variant")
+    first = F.get(F.filter(F.col("blocks"), lambda b: b.first.isNotNull()), 0)
     items = F.transform(
-        keys_of(first_item),
-        lambda k: F.struct(
-            F.lit("item").alias("part"), first.k.alias("section"), k.alias("path"),
-            title_from_key(k).alias("label"), kind(member(first_item, k)).alias("kind"),
+        first.first,
+        lambda e: F.struct(
+            F.lit("item").alias("part"), first.k.alias("section"), e.key.alias("path"),
+            title_from_key(e.key).alias("label"), kind(e.t).alias("kind"),
         ),
     )
     rows = F.concat(
