@@ -21,7 +21,7 @@ from docledger.llm.tables import save
 
 #: Rows of a batch of texts in the tasks: every stage adds workers and buffers to an executor,
 #: which keep the size of the largest batches they have seen.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 250
 
 
 def small_batches(stage):

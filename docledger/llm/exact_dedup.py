@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import fuse
-from .tables import save, small, text_key, without
+from .tables import frugal, save, small, text_key, without
 from .words import binary
 
 BATCHES = 2
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", lower:
                 names=["doc_id", "text_key", "n_bytes", "digest", "key"],
             )
 
-    return _narrow(docs, id, text).mapInArrow(run, PRINTS)
+    return _narrow(docs, id, text).mapInArrow(frugal(run), PRINTS)
 
 
 def _narrow(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -150,7 +150,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, digest) -> DataFrame:
                 names=["key", "digest", "doc_id", "text_key", "data"],
             )
 
-    return docs.mapInArrow(run, "key LONG, digest BINARY, doc_id LONG, text_key LONG, data BINARY")
+    return docs.mapInArrow(frugal(run), "key LONG, digest BINARY, doc_id LONG, text_key LONG, data BINARY")
 
 
 def _equal_texts(docs: DataFrame, repeated: DataFrame, digest) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import fuse
 from .components import components
-from .tables import save, small, text_key, without
+from .tables import frugal, save, small, text_key, without
 from .words import chunks, shingle_sets
 
 PERCENT = 80
@@ -118,7 +118,7 @@ def set_sizes(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 [pa.nulls(m, pa.int64())] * 3 + [pa.nulls(m, pa.binary())] * 2 + [pa.array(every[starts[some]].view(np.int64)), pa.array(seen[some])],
                 names=names)
 
-    return docs.mapInArrow(run, ONE_SET)
+    return docs.mapInArrow(frugal(run), ONE_SET)
 
 
 def anchors(docs: DataFrame, moved, percent: int, words: int, held=None) -> DataFrame:
@@ -149,7 +149,7 @@ def anchors(docs: DataFrame, moved, percent: int, words: int, held=None) -> Data
                 columns = [s.view(np.int64), ids[a:b][which], np.array(sizes, np.int64)[which], own[which]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["s", "x", "n", "own"])
 
-    return docs.mapInArrow(run, "s LONG, x LONG, n LONG, own LONG")
+    return docs.mapInArrow(frugal(run), "s LONG, x LONG, n LONG, own LONG")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -166,7 +166,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 items = [s.view(np.int64) for s in shingle_sets(data, offsets, words)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(items, pa.list_(pa.int64()))], names=["x", "items"])
 
-    return docs.mapInArrow(run, "x LONG, items ARRAY<LONG>")
+    return docs.mapInArrow(frugal(run), "x LONG, items ARRAY<LONG>")
 
 
 def _measured(pairs: DataFrame, docs: DataFrame, words: int, rounds: int = 1) -> DataFrame:
@@ -209,7 +209,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     left = sketches.select(F.col("x").alias("a"), F.col("sketch").alias("left"))
     right = sketches.select(F.col("x").alias("b"), F.col("sketch").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(run, "a LONG, b LONG, na LONG, nb LONG, apart LONG").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(frugal(run), "a LONG, b LONG, na LONG, nb LONG, apart LONG").distinct()
 
 
 def _chunk_join(percent: int, tile: int = 256):

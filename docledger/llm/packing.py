@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import numbered, save
+from .tables import frugal, numbered, save
 from .tokens import word_table
 from .words import chunks
 
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", c
                         out.append(row + (part.astype(np.int32),) if with_ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return docs.select(id, text).mapInArrow(run, PIECES + (", ids ARRAY<INT>" if with_ids else ""))
+    return docs.select(id, text).mapInArrow(frugal(run), PIECES + (", ids ARRAY<INT>" if with_ids else ""))
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:

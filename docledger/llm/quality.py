@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import numbered, save, text_key, without
+from .tables import frugal, numbered, save, text_key, without
 from .words import BLANK, chunks, grams, runs, span_hashes
 
 BUCKETS = 1 << 16
@@ -92,7 +92,7 @@ def fit(rows: DataFrame, targets) -> tuple[np.ndarray, np.ndarray]:
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (some, raw[some], target[some])], names=["bucket", "raw", "target"])
 
-    counted = rows.mapInArrow(count, "bucket LONG, raw LONG, target LONG").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
+    counted = rows.mapInArrow(frugal(count), "bucket LONG, raw LONG, target LONG").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for bucket, r, t in counted:
         raw[bucket], target[bucket] = r, t
@@ -129,7 +129,7 @@ def score(rows: DataFrame, counts, targets) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     noise = F.shiftrightunsigned(F.xxhash64("doc_id", "text_key", F.lit(SEED)), 11).alias("noise")
-    return rows.select("*", noise).mapInArrow(run, "doc_id LONG, text_key LONG, n_grams LONG, log_weight DOUBLE, key DOUBLE, target BOOLEAN")
+    return rows.select("*", noise).mapInArrow(frugal(run), "doc_id LONG, text_key LONG, n_grams LONG, log_weight DOUBLE, key DOUBLE, target BOOLEAN")
 
 
 def resample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", targets: int = TARGETS) -> DataFrame:

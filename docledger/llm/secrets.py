@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import scratch_folder
-from .tables import save
+from .tables import frugal, save
 
 SAMPLE = 5_000
 TREES = 24
@@ -151,7 +151,7 @@ def labelled_findings(docs: DataFrame, text: str = "text", path: str = "source")
                 [pa.array([o[k] for o in out], pa.string()) for k in range(4)] + [pa.array([o[4] for o in out], pa.int32())],
                 names=["candidate", "before", "after", "path", "label"])
 
-    return docs.select(F.col(text).alias("_text"), F.col(path).cast("string").alias("_path")).mapInArrow(run, FINDING + ", label INT")
+    return docs.select(F.col(text).alias("_text"), F.col(path).cast("string").alias("_path")).mapInArrow(frugal(run), FINDING + ", label INT")
 
 
 class Forest:
@@ -200,7 +200,7 @@ def train(findings: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth:
                 [batch.column("label"), pa.array([features(*r) for r in zip(*parts)], pa.list_(pa.float64()))], names=["label", "x"])
 
     both = picked[0].unionByName(picked[1]).withColumn("label", F.col("label").cast("int"))
-    data = save(both.mapInArrow(measure, "label INT, x ARRAY<DOUBLE>"), "features")
+    data = save(both.mapInArrow(frugal(measure), "label INT, x ARRAY<DOUBLE>"), "features")
     if data.select("label").distinct().count() < 2:
         return None
     data = data.coalesce(1).sortWithinPartitions("label", "x").withColumn("features", array_to_vector("x"))  # always the same trees
@@ -248,7 +248,7 @@ def scan(docs: DataFrame, forest: Forest | None, keep: list[str], text: str = "t
     rows = docs.select(*(docs[c] for c in keep), docs[text].alias("llm_text"), docs[path].cast("string").alias("llm_path"))
     found = "ARRAY<STRUCT<start: INT, length: INT, rule: STRING, score: DOUBLE>>"
     extra = T._parse_datatype_string(f"llm_candidates LONG, llm_findings {found}, llm_redacted STRING")
-    return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *extra.fields]))
+    return rows.mapInArrow(frugal(run), T.StructType([*(docs.schema[c] for c in keep), *extra.fields]))
 
 
 def redacted(docs: DataFrame, forest: Forest | None, text: str = "text", path: str = "source") -> DataFrame:
